@@ -1,0 +1,41 @@
+"""Cutting lineage where a result is read several times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        shared = tempfile.mkdtemp(prefix="shelfwatch-checkpoint-")
+    context.setCheckpointDir(shared)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+
+    Used where a compact result feeds several branches of one plan: the input is computed once, the
+    branches cannot disagree, and a lost executor costs a re-read instead of a recomputation.
+    """
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def broadcast_checked(written: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast a written table when its rows fit the limit; leave the join to Spark otherwise.
+
+    ``row_bytes`` is a generous size of one row in a hash table. Counting a written table is cheap.
+    """
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written

@@ -4,10 +4,11 @@
 puts the whole group into one task. Neither survives a group that holds a third of all rows. Here a
 group is cut into value ranges first:
 
-1. equal values collapse to one row with a count (map-side combined);
-2. a mergeable quantile sketch per group proposes cut points;
+1. equal values collapse to one row with a count (map-side combined), written once;
+2. a mergeable quantile sketch per group proposes cut points, written as well, so that every later
+   branch and every retried task sees the same ones;
 3. each value falls into the bucket given by the number of cut points below it;
-4. per-bucket counts give each bucket its rank offset (at most ``buckets + 1`` rows per group);
+4. per-bucket counts give each bucket its rank offset (at most ``BUCKETS`` rows per group, written);
 5. a running sum inside (group, bucket) adds the rest of the rank.
 
 The sketch only decides how even the buckets are. Any cut points give the same, exact ranks.
@@ -17,12 +18,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.lineage import broadcast_checked, settle
+
 BUCKETS = 128
 
 
+def collapse(df: DataFrame, groups: list[str], value: Column | str) -> DataFrame:
+    """One row per group and distinct value (NULL included) with its number of rows, ``ties``.
+
+    Runs a job: the input is read once, here, however often the result is used.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    return settle(df.groupBy(*groups, value.alias("value")).agg(F.count("*").alias("ties")))
+
+
 @dataclass(frozen=True)
 class RankedValues:
     """``values``: groups, bucket, value, first_rank, last_rank (1-based, inclusive).
@@ -32,86 +44,75 @@ class RankedValues:
     values: DataFrame
     buckets: DataFrame
 
+    def sizes(self) -> DataFrame:
+        """Number of ranked rows per group, ``n``."""
+        return self.buckets.groupBy(*self.groups).agg(F.sum("inside").alias("n"))
 
-def rank_values(df: DataFrame, groups: list[str], value: str, buckets: int = BUCKETS) -> RankedValues:
-    keys = list(groups) or ["_all"]
-    source = df if groups else df.withColumn("_all", F.lit(1))
-    distinct = (
-        source.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("value"))
-        .agg(F.count("*").alias("ties"))
-    )
-    cuts = distinct.groupBy(*keys).agg(
-        F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 100 * buckets).alias("cuts")
-    )
-    bucketed = distinct.join(cuts, keys).select(
-        *keys, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
+
+def rank_values(collapsed: DataFrame, groups: list[str]) -> RankedValues:
+    """Rank the non-NULL values of a collapsed table within each group."""
+    known = collapsed.filter(F.col("value").isNotNull())
+    cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
+        "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
+    bucketed = known.join(broadcast_checked(cuts, 16 * BUCKETS), groups).select(
+        *groups, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
     )
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "bucket")
+    earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = broadcast_checked(settle(
+        bucketed.groupBy(*groups, "bucket")
         .agg(F.sum("ties").alias("inside"))
         .withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
-    )
+    ), 128)
     within = (
-        Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*groups, "bucket").orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     values = (
         bucketed.withColumn("so_far", F.sum("ties").over(within))
-        .join(offsets, [*keys, "bucket"])
+        .join(offsets, [*groups, "bucket"])
         .select(
-            *keys, "bucket", "value",
+            *groups, "bucket", "value",
             (F.col("before") + F.col("so_far") - F.col("ties") + 1).alias("first_rank"),
             (F.col("before") + F.col("so_far")).alias("last_rank"),
         )
     )
-    return RankedValues(keys, values, offsets)
+    return RankedValues(groups, values, offsets)
 
 
-def group_sizes(ranked: RankedValues) -> DataFrame:
-    """Number of ranked rows per group."""
-    return ranked.buckets.groupBy(*ranked.groups).agg(F.sum("inside").alias("n"))
-
-
-def values_at(ranked: RankedValues, wanted: DataFrame, rank: str = "rank") -> DataFrame:
+def values_at(ranked: RankedValues, wanted: DataFrame) -> DataFrame:
     """Add ``value``, the order statistic at ``rank``, to every row of ``wanted``.
 
     The rank is placed in its bucket through the small offset table, so the large side is met on
     (group, bucket) and each request reads one bucket only.
     """
-    keys = ranked.groups
+    rank = F.col("rank")
     placed = (
-        wanted.join(ranked.buckets, keys)
-        .filter((F.col(rank) > F.col("before")) & (F.col(rank) <= F.col("before") + F.col("inside")))
+        wanted.join(ranked.buckets, ranked.groups)
+        .filter((rank > F.col("before")) & (rank <= F.col("before") + F.col("inside")))
         .drop("before", "inside")
     )
     return (
-        placed.join(ranked.values, [*keys, "bucket"])
-        .filter(F.col(rank).between(F.col("first_rank"), F.col("last_rank")))
+        placed.join(ranked.values, [*ranked.groups, "bucket"])
+        .filter(rank.between(F.col("first_rank"), F.col("last_rank")))
         .drop("bucket", "first_rank", "last_rank")
     )
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group; one output column per entry of ``quantiles``."""
-    ranked = rank_values(df, groups, value)
-    keys = ranked.groups
-    wanted = (
-        group_sizes(ranked)
-        .select(*keys, "n", F.explode(F.create_map(
-            *[F.lit(x) for name, q in quantiles.items() for x in (name, q)])).alias("quantile", "q"))
-        .withColumn("position", F.col("q") * (F.col("n") - 1))
-        .select(
-            *keys, "quantile", (F.col("position") - F.floor("position")).alias("weight"),
-            F.explode(F.array_distinct(F.array(F.floor("position") + 1, F.ceil("position") + 1))).alias("rank"),
-        )
+def medians(ranked: RankedValues, min_rows: int = 1) -> DataFrame:
+    """Exact median per group with at least ``min_rows`` values: groups, n, median."""
+    n = F.col("n")
+    middle = ranked.sizes().filter(n >= min_rows).select(
+        *ranked.groups, "n", F.explode(F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1)).alias("rank")
     )
-    low, high = F.min("value"), F.max("value")
-    result = (
-        values_at(ranked, wanted)
-        .groupBy(*keys, "quantile")
-        .agg((low + (high - low) * F.max("weight")).alias("value"))
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("quantile") == name, F.col("value"))).alias(name) for name in quantiles])
+    return values_at(ranked, middle).groupBy(*ranked.groups, "n").agg(F.avg("value").alias("median"))
+
+
+def quantile(ranked: RankedValues, q: float, name: str) -> DataFrame:
+    """Exact linear-interpolation quantile per group: groups, ``name``."""
+    position = F.lit(q) * (F.col("n") - 1)
+    wanted = ranked.sizes().select(
+        *ranked.groups, (position - F.floor(position)).alias("weight"),
+        F.explode(F.array_distinct(F.array(F.floor(position) + 1, F.ceil(position) + 1))).alias("rank"),
     )
-    return result if groups else result.drop("_all")
+    low, high = F.min("value"), F.max("value")
+    return values_at(ranked, wanted).groupBy(*ranked.groups).agg((low + (high - low) * F.max("weight")).alias(name))

@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import group_sizes, rank_values, values_at
+from shelfwatch.functions.ranking import RankedValues, collapse, medians, rank_values, values_at
 from shelfwatch.params import Params
 
+# metric name in the summary -> column of the event table
 METRICS = {"uplift": "uplift", "dip": "post_dip", "net": "net_lift"}
 
 
@@ -40,72 +41,70 @@ def _rank_draws(sizes: DataFrame, groups: list[str], resamples: int, seed: int)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                key = "\x1f".join(str(getattr(row, g)) for g in groups)
+            for row in batch.to_dict("records"):
+                key = "\x1f".join(str(row[g]) for g in groups)
                 stream = int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big")
-                low, high = median_ranks(int(row.n), resamples, np.random.default_rng([seed, stream]))
+                low, high = median_ranks(int(row["n"]), resamples, np.random.default_rng([seed, stream]))
                 yield pd.DataFrame({
-                    **{g: getattr(row, g) for g in groups},
+                    **{g: row[g] for g in groups},
                     "replicate": np.arange(resamples, dtype="int32"), "low": low, "high": high,
                 })
 
-    fields = ", ".join(f"{sizes.schema[g].name} {sizes.schema[g].dataType.simpleString()}" for g in groups)
-    return sizes.mapInPandas(draw, f"{fields}, replicate INT, low BIGINT, high BIGINT")
+    fields = ", ".join(f"`{g}` {sizes.schema[g].dataType.simpleString()}" for g in groups)
+    return sizes.select(*groups, "n").mapInPandas(draw, f"{fields}, replicate INT, low BIGINT, high BIGINT")
 
 
-def bootstrap_median_ci(
-    df: DataFrame, groups: list[str], value: str, resamples: int, seed: int, min_rows: int = 1
-) -> DataFrame:
+def median_intervals(ranked: RankedValues, resamples: int, seed: int, min_rows: int = 1) -> DataFrame:
     """Median with a percentile-bootstrap 95% interval per group: groups, n, median, lo, hi.
 
-    Groups with fewer than ``min_rows`` values are left out. NULL values are ignored. The work in
-    Python is ``resamples`` draws per group, whatever the group's size.
+    Groups with fewer than ``min_rows`` values are left out. The work in Python is ``resamples`` draws
+    per group, whatever the group's size.
     """
-    ranked = rank_values(df, groups, value)
-    keys = ranked.groups
-    sizes = group_sizes(ranked).filter(F.col("n") >= min_rows)
-    draws = _rank_draws(sizes, keys, resamples, seed)
-    # replicate -1 is the plain median of the data
-    middle = sizes.select(
-        *keys, F.lit(-1).alias("replicate"),
-        F.floor((F.col("n") + 1) / 2).alias("low"), (F.floor(F.col("n") / 2) + 1).alias("high"),
-    )
-    wanted = draws.unionByName(middle).select(*keys, "replicate", F.explode(F.array("low", "high")).alias("rank"))
-    medians = (
-        values_at(ranked, wanted).groupBy(*keys, "replicate").agg(F.avg("value").alias("median"))
+    groups = ranked.groups
+    sizes = ranked.sizes().filter(F.col("n") >= min_rows)
+    wanted = _rank_draws(sizes, groups, resamples, seed).select(
+        *groups, "replicate", F.explode(F.array("low", "high")).alias("rank")
     )
+    resampled = values_at(ranked, wanted).groupBy(*groups, "replicate").agg(F.avg("value").alias("median"))
     # bounded: one row per replicate
-    bounds = F.percentile(F.when(F.col("replicate") >= 0, F.col("median")), [0.025, 0.975])
-    result = (
-        medians.groupBy(*keys)
-        .agg(F.max(F.when(F.col("replicate") < 0, F.col("median"))).alias("median"), bounds.alias("ci"))
-        .join(sizes, keys)
-        .select(*keys, "n", "median", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+    interval = resampled.groupBy(*groups).agg(F.percentile("median", [0.025, 0.975]).alias("ci"))
+    return (
+        medians(ranked, min_rows).join(interval, groups)
+        .select(*groups, "n", "median", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
     )
-    return result if groups else result.drop("_all")
 
 
-def family_values(events: DataFrame, p: Params) -> DataFrame:
-    """One row per event and metric for families with enough events: family, metric, value.
+def bootstrap_median_ci(df: DataFrame, groups: list[str], value: str, resamples: int, seed: int) -> DataFrame:
+    """``median_intervals`` of a plain column. NULL values are ignored."""
+    return median_intervals(rank_values(collapse(df, groups, value), groups), resamples, seed)
 
-    The family test is a count joined back, not a window, so a dominant family is not gathered.
-    """
+
+def _metric_values(events: DataFrame, p: Params) -> DataFrame:
+    """(family, metric, value, ties) of the families with enough events; one pass over the events."""
+    stacked = events.filter(F.col("family").isNotNull()).select(
+        "family",
+        F.explode(F.create_map(*[x for m, c in METRICS.items() for x in (F.lit(m), F.col(c))])).alias("metric", "v"),
+    )
+    per_metric = collapse(stacked, ["family", "metric"], "v")
     enough = (
-        events.filter(F.col("family").isNotNull()).groupBy("family")
-        .agg(F.count("*").alias("n_events")).filter(F.col("n_events") >= p.min_family_events)
+        per_metric.filter(F.col("metric") == "uplift")  # every event has one row per metric, NULL or not
+        .groupBy("family").agg(F.sum("ties").alias("n_events"))
+        .filter(F.col("n_events") >= p.min_family_events)
+    )
+    return per_metric.join(enough, "family")
+
+
+def _family_table(values: DataFrame, estimates: DataFrame, columns: list[str]) -> DataFrame:
+    """Spread (family, metric) estimates over columns, beside the number of values behind each."""
+
+    def count_of(metric: str):
+        known = (F.col("metric") == metric) & F.col("value").isNotNull()
+        return F.coalesce(F.sum(F.when(known, F.col("ties"))), F.lit(0))
+
+    counts = values.groupBy("family", "n_events").agg(
+        count_of("dip").alias("n_dip_events"), count_of("net").alias("n_net_events")
     )
-    metric_map = F.create_map(*[x for name, column in METRICS.items() for x in (F.lit(name), F.col(column))])
-    return events.join(enough, "family").select("family", F.explode(metric_map).alias("metric", "value"))
-
-
-def _by_family(per_metric: DataFrame, events: DataFrame, p: Params, columns: list[str]) -> DataFrame:
-    """Spread (family, metric) rows over columns; counts come from the events themselves."""
-    counts = events.filter(F.col("family").isNotNull()).groupBy("family").agg(
-        F.count("*").alias("n_events"),
-        F.count("post_dip").alias("n_dip_events"),
-        F.count("net_lift").alias("n_net_events"),
-    ).filter(F.col("n_events") >= p.min_family_events)
-    spread = per_metric.groupBy("family").agg(*[
+    spread = estimates.groupBy("family").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in columns
     ])
     return counts.join(spread, "family", "left").select(
@@ -113,7 +112,7 @@ def _by_family(per_metric: DataFrame, events: DataFrame, p: Params, columns: lis
         "n_events", *[f"uplift_{c}" for c in columns],
         "n_dip_events", *[f"dip_{c}" for c in columns],
         "n_net_events", *[f"net_{c}" for c in columns],
-    )
+    ).orderBy(F.desc("uplift_median"), "family")
 
 
 def family_summary(events: DataFrame, p: Params) -> DataFrame:
@@ -122,17 +121,13 @@ def family_summary(events: DataFrame, p: Params) -> DataFrame:
     Families with too few events are skipped. Dip and net lift exist only for events with a quiet week
     after, so they have their own counts and are NULL below the minimum. Best uplift first.
     """
-    intervals = bootstrap_median_ci(
-        family_values(events, p), ["family", "metric"], "value", p.bootstrap_resamples, p.seed, p.min_family_events
-    )
-    return _by_family(intervals, events, p, ["median", "lo", "hi"]).orderBy(F.desc("uplift_median"), "family")
+    values = _metric_values(events, p)
+    ranked = rank_values(values, ["family", "metric"])
+    intervals = median_intervals(ranked, p.bootstrap_resamples, p.seed, p.min_family_events)
+    return _family_table(values, intervals, ["median", "lo", "hi"])
 
 
 def family_medians(events: DataFrame, p: Params) -> DataFrame:
     """The medians of ``family_summary`` alone, without the intervals."""
-    ranked = rank_values(family_values(events, p), ["family", "metric"], "value")
-    sizes = group_sizes(ranked).filter(F.col("n") >= p.min_family_events)
-    middle = sizes.select("family", "metric", F.explode(F.array(
-        F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)).alias("rank"))
-    medians = values_at(ranked, middle).groupBy("family", "metric").agg(F.avg("value").alias("median"))
-    return _by_family(medians, events, p, ["median"])
+    values = _metric_values(events, p)
+    return _family_table(values, medians(rank_values(values, ["family", "metric"]), p.min_family_events), ["median"])

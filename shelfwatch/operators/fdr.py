@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import rank_values
+from shelfwatch.functions.ranking import collapse, rank_values
 
 
-def bh_cutoff(runs: DataFrame, q: float, p_value: str = "p_value") -> DataFrame:
-    """The largest p(i) with p(i) <= i * q / m, as a one-row table; NULL when no test passes.
+def _contenders(runs: DataFrame, q: float, p_values: list[str]) -> DataFrame:
+    """(test, value, ties) per p-value column. No rank exceeds m, so only values up to q can pass (kept
+    with a hair of slack for rounding); all others fall into one NULL row that still counts towards m."""
+    tests = F.create_map(*[x for name in p_values for x in (F.lit(name), F.col(name))])
+    stacked = runs.select(F.explode(tests).alias("test", "p"))
+    return collapse(stacked, ["test"], F.when(F.col("p") <= q * (1 + 1e-9), F.col("p")))
+
 
-    No rank exceeds m, so only values up to q can pass (kept with a hair of slack for rounding) and
-    the rest are merely counted. Equal values share the highest rank among them, which is the rank
-    the step-up rule uses. Ranking is spread over value ranges; no step sorts all runs in one task.
+def _cutoffs(contenders: DataFrame, q: float) -> DataFrame:
+    """test, m, cutoff: the largest p(i) with p(i) <= i * q / m, NULL when no test passes.
+
+    Equal values share the highest rank among them, which is the rank the step-up rule uses. Ranking
+    is spread over value ranges; no step sorts all runs in one task.
     """
-    tests = runs.agg(F.count("*").alias("m"))
-    contenders = runs.select(F.col(p_value).alias("p")).filter(F.col("p") <= q * (1 + 1e-9))
-    ranked = rank_values(contenders, [], "p").values
-    return ranked.filter(F.col("value") <= F.col("last_rank") * F.lit(q) / tests.scalar()).agg(
-        F.max("value").alias("cutoff")
-    )
+    totals = contenders.groupBy("test").agg(F.sum("ties").alias("m"))
+    ranked = rank_values(contenders, ["test"]).values
+    passing = ranked.join(totals, "test").filter(F.col("value") <= F.col("last_rank") * F.lit(q) / F.col("m"))
+    return totals.join(passing.groupBy("test").agg(F.max("value").alias("cutoff")), "test", "left")
+
+
+def bh_cutoff(runs: DataFrame, q: float, p_value: str = "p_value") -> DataFrame:
+    """The Benjamini–Hochberg cut-off as a one-row table; NULL when nothing passes."""
+    return _cutoffs(_contenders(runs, q, [p_value]), q).agg(F.max("cutoff").alias("cutoff"))
 
 
 def flag_bh(runs: DataFrame, q: float, p_value: str = "p_value") -> tuple[DataFrame, DataFrame]:
     """Runs with ``is_flagged``, and the one-row cut-off table.
 
-    The cut-off joins in as a scalar subquery, so nothing passes through the driver. ``runs`` is read
-    three times: hand in a written table, not a long plan.
+    Reads ``runs`` once for the cut-off, when called, and once more in the result. The cut-off enters
+    as a scalar subquery and does not pass through the driver.
     """
     cutoff = bh_cutoff(runs, q, p_value)
     flag = F.coalesce(F.col(p_value) <= cutoff.scalar(), F.lit(False))
@@ -36,16 +46,18 @@ def flag_bh(runs: DataFrame, q: float, p_value: str = "p_value") -> tuple[DataFr
 
 def bh_summary(runs: DataFrame, q: float) -> DataFrame:
     """One row: tests, flags, the cut-off, how many flags may be chance, and what a plain Poisson test of
-    the same runs would have flagged."""
-    cutoff = bh_cutoff(runs, q).scalar()
-    poisson = bh_cutoff(runs, q, "p_poisson").scalar()
+    the same runs would have flagged. One pass over the runs serves both tests."""
+    contenders = _contenders(runs, q, ["p_value", "p_poisson"])
+    nb, poisson = F.col("test") == "p_value", F.col("test") == "p_poisson"
+    passes = F.when(F.col("value") <= F.col("cutoff"), F.col("ties")).otherwise(0)
     return (
-        runs.agg(
-            F.count("*").alias("tested_runs"),
-            F.count_if(F.col("p_value") <= cutoff).alias("flagged_runs"),
-            F.count_if(F.col("p_poisson") <= poisson).alias("poisson_flagged_runs"),
+        contenders.join(_cutoffs(contenders, q), "test")
+        .agg(
+            F.coalesce(F.sum(F.when(nb, F.col("ties"))), F.lit(0)).alias("tested_runs"),
+            F.coalesce(F.sum(F.when(nb, passes)), F.lit(0)).alias("flagged_runs"),
+            F.max(F.when(nb, F.col("cutoff"))).alias("bh_cutoff"),
+            F.coalesce(F.sum(F.when(poisson, passes)), F.lit(0)).alias("poisson_flagged_runs"),
         )
-        .withColumn("bh_cutoff", cutoff)
         .select("tested_runs", "flagged_runs", "bh_cutoff",
                 (F.col("tested_runs") * F.coalesce("bh_cutoff", F.lit(0.0))).alias("max_chance_flags"),
                 "poisson_flagged_runs")

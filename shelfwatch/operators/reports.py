@@ -7,22 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import exact_quantiles
-from shelfwatch.params import Params
+from shelfwatch.functions.ranking import collapse, medians, quantile, rank_values
 
 HISTOGRAM_BINS = 60
 
 
 def _percent(c: Column) -> Column:
-    return F.round(c * 100, 2)
+    return F.round(F.round(c * 100, 10), 2)
 
 
 def stockout_month(risk: DataFrame, dates: DataFrame) -> DataFrame:
-    """Flagged days and estimated lost units per month."""
+    """Flagged days and estimated lost units per month. Summed as DECIMAL: whether a total rounds up or
+    down must not depend on the order of addition."""
+    lost = F.sum(F.col("expected_units").cast("decimal(38,6)"))
     return (
         risk.join(F.broadcast(dates.select("date_key", "year", "month_num")), "date_key")
         .groupBy("year", "month_num")
-        .agg(F.count("*").alias("flagged_days"), F.round(F.sum("expected_units")).alias("est_lost_units"))
+        .agg(F.count("*").alias("flagged_days"), F.round(lost).cast("double").alias("est_lost_units"))
         .orderBy("year", "month_num")
     )
 
@@ -74,11 +75,10 @@ def payday_gap(events: DataFrame, min_events: int) -> DataFrame:
     a family need at least ``min_events`` events."""
     groups = ["family", "touches_payday_or_holiday"]
     known = events.filter(F.col("family").isNotNull() & F.col("touches_payday_or_holiday").isNotNull())
-    sizes = known.groupBy(*groups).agg(F.count("*").alias("n")).filter(F.col("n") >= min_events)
-    medians = exact_quantiles(known, groups, "uplift", {"median": 0.5}).join(sizes, groups)
+    typical = medians(rank_values(collapse(known, groups, "uplift"), groups), min_events)
     touching = F.col("touches_payday_or_holiday")
     return (
-        medians.groupBy("family")
+        typical.groupBy("family")
         .agg(F.max(F.when(~touching, F.col("median"))).alias("other"),
              F.max(F.when(touching, F.col("median"))).alias("touching"))
         .filter(F.col("other").isNotNull() & F.col("touching").isNotNull())
@@ -135,13 +135,16 @@ def stockout_grid(weekly: DataFrame) -> DataFrame:
 def stockout_grid_cap(weekly: DataFrame) -> DataFrame:
     """The 95th percentile of the heat-map cells: the top of its colour scale."""
     cells = weekly.groupBy("store_key", "week_start").agg(F.round(F.sum("rate") * 100, 4).alias("rate_pct"))
-    return exact_quantiles(cells, [], "rate_pct", {"cap_pct": 0.95})
+    ranked = rank_values(collapse(cells.withColumn("grid", F.lit(1)), ["grid"], "rate_pct"), ["grid"])
+    return quantile(ranked, 0.95, "cap_pct").select("cap_pct")
 
 
 def dispersion_headline(dispersion: DataFrame) -> DataFrame:
-    """One row: exact median dispersion and the share of store-items above 1."""
-    median = exact_quantiles(dispersion, [], "dispersion", {"median_dispersion": 0.5})
-    share = dispersion.agg(F.avg((F.col("dispersion") > 1).cast("int")).alias("share_over_1"))
+    """One row: exact median dispersion and the share of store-items above 1. One pass over the input."""
+    values = collapse(dispersion.withColumn("all", F.lit(1)), ["all"], "dispersion")
+    above = F.sum(F.when(F.col("value") > 1, F.col("ties")).otherwise(0))
+    share = values.filter(F.col("value").isNotNull()).agg((above / F.sum("ties")).alias("share_over_1"))
+    median = medians(rank_values(values, ["all"])).select("median")
     return share.select(median.scalar().alias("median_dispersion"), "share_over_1")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.dates import date_key
+from shelfwatch.functions.lineage import broadcast_checked, settle
 from shelfwatch.params import Params
 
 PAIR = ["store_nbr", "item_nbr"]
@@ -32,18 +33,36 @@ def eligible_pairs(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def full_trading_days(store_days: DataFrame, p: Params) -> DataFrame:
-    """Trading days and whether each was a full one, judged by the previous calendar days' receipts.
+def store_calendar(store_days: DataFrame, p: Params) -> DataFrame:
+    """Trading days (receipts > 0) of each store, judged by the previous calendar days.
 
-    ``full_day`` is NULL where no earlier trading day falls in the lookback.
+    ``full_day``: receipts reach the given share of their mean over those days; NULL where none of
+    them was a trading day. ``trading_days``: how many of them were. One window serves both.
     """
     before = Window.partitionBy("store_nbr").orderBy(F.unix_date("date")).rangeBetween(-p.lookback_days, -1)
     usual = F.avg("receipts").over(before)
     return store_days.filter(F.col("receipts") > 0).select(
-        "store_nbr", "date", (F.col("receipts") >= p.min_receipts_share * usual).alias("full_day")
+        "store_nbr", "date",
+        (F.col("receipts") >= p.min_receipts_share * usual).alias("full_day"),
+        F.count("*").over(before).alias("trading_days"),
     )
 
 
+def full_trading_days(store_days: DataFrame, p: Params) -> DataFrame:
+    """Trading days and whether each was a full one."""
+    return store_calendar(store_days, p).drop("trading_days")
+
+
+def calendar_lookup(calendar: DataFrame) -> DataFrame:
+    """The store calendar as the small side of a join on (store, date).
+
+    Written once and broadcast if it fits: then the large side keeps its partitioning by store-item.
+    If it does not fit, the join falls back to an exchange on (store, date), a key fine enough to
+    spread a dominant store over its days.
+    """
+    return broadcast_checked(settle(calendar), row_bytes=64)
+
+
 def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
     """Every calendar day from first to last sale of each eligible store-item.
 
@@ -65,23 +84,18 @@ def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
 
 def trading_spine(sales: DataFrame, store_days: DataFrame, p: Params) -> DataFrame:
     """Store-item × trading day between first and last sale."""
-    trading = store_days.filter(F.col("receipts") > 0).select("store_nbr", "date")
+    trading = calendar_lookup(store_days.filter(F.col("receipts") > 0).select("store_nbr", "date"))
     return _days_of_pairs(sales, p).join(trading, ["store_nbr", "date"]).select(*PAIR, "date")
 
 
 def stockout_series(sales: DataFrame, store_days: DataFrame, p: Params) -> DataFrame:
     """The spine with zero-filled units and, over the previous ``lookback_days`` trading days, the mean
-    rate, sample variance and number of days known.
-
-    The join meets store-days on (store, date): when the store calendar is small Spark broadcasts it
-    and the panel stays partitioned by store-item; when it is not, the key is fine enough to spread a
-    dominant store over its days.
-    """
+    rate, sample variance and number of days known."""
     before = Window.partitionBy(*PAIR).orderBy("date").rowsBetween(-p.lookback_days, -1)
     sold_today = F.col("date") == F.col("sale_date")
     return (
         _days_of_pairs(sales, p)
-        .join(full_trading_days(store_days, p), ["store_nbr", "date"])
+        .join(calendar_lookup(full_trading_days(store_days, p)), ["store_nbr", "date"])
         .select(*PAIR, "date",
                 F.when(sold_today, F.col("units")).otherwise(0.0).alias("units"),
                 (~sold_today).alias("no_sale_row"),

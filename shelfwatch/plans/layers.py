@@ -7,7 +7,7 @@ the table and hands back the written copy, so later tables start from storage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ def _lazy(layer: str, name: str, df: DataFrame) -> DataFrame:
 
 
 class Layers:
-    def __init__(self, raw: dict[str, DataFrame], p: Params, keep: Keep = _lazy):
+    def __init__(self, raw: Mapping[str, DataFrame], p: Params, keep: Keep = _lazy):
         self.raw, self.p, self._keep = raw, p, keep
 
     def tables(self, names: list[str]) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -61,7 +62,7 @@ def slice_raw(spark: SparkSession, source: str, target: str, start: date, end: d
     return counts
 
 
-def slice_counts(raw: dict[str, DataFrame], start: date, end: date) -> DataFrame:
+def slice_counts(raw: Mapping[str, DataFrame], start: date, end: date) -> DataFrame:
     """Rows each file keeps in the slice, as one table."""
     parts = [
         slice_rows(df, name, start, end).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")

@@ -6,10 +6,11 @@ part's type and size class is the item, the ship date is the day.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The part types, in alphabetical order.
@@ -28,6 +29,16 @@ HOLIDAYS = [
     (12, 24, "Additional", "National", "Country", "Christmas eve", False),
 ]
 
+# The columns read from each table. Stated, so that opening a table runs no job.
+COLUMNS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_type STRING, p_size INT",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
 
 @dataclass(frozen=True)
 class Grain:
@@ -42,58 +53,95 @@ class Grain:
         return "n_regionkey" if self.store == "region" else "n_nationkey"
 
 
-def raw_tables(spark: SparkSession, folder: str, grain: Grain = Grain()) -> dict[str, DataFrame]:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
-    store_of = F.col(grain.store_column).cast("int")
-    size_class = (F.col("p_size") > 25).cast("int")
-    item_of = (2 * (F.array_position(F.lit(PART_TYPES), F.col("p_type")) - 1) + size_class).cast("int")
-
-    places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("l_suppkey"), store_of.alias("store_nbr")
-    )
-    products = table("part").select(F.col("p_partkey").alias("l_partkey"), item_of.alias("item_nbr"))
-    # the ship-date bound reaches the Parquet scan; the per-store opening needs the store first
-    shipped = table("lineitem").filter(F.col("l_shipdate") >= F.lit(grain.first_day).cast("timestamp_ntz"))
-    lines = (
-        shipped.join(places, "l_suppkey")
-        .withColumn("date", F.col("l_shipdate").cast("date"))
-        .filter(F.col("date") >= F.date_add(F.lit(grain.first_day), F.col("store_nbr") * grain.opening_gap_days))
-    )
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-    train = lines.join(products, "l_partkey").select(
-        F.col("l_orderkey").alias("id"), "date", "store_nbr", "item_nbr",
-        F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("unit_sales"),
-        F.when(F.col("l_discount") != 0, F.col("l_discount") >= 0.09).alias("onpromotion"),
-    )
-    transactions = lines.groupBy("date", "store_nbr").agg(
-        F.count_distinct("l_orderkey").cast("int").alias("transactions")
-    )
-    stores = (
-        table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(store_of.alias("store_nbr"))
-        .agg(F.min("r_name").alias("city"), F.min("n_name").alias("state"),
-             F.min("n_regionkey").cast("int").alias("cluster"))
-        .withColumn("type", F.when(F.col("cluster") < 2, "A").otherwise("B"))
-        .select("store_nbr", "city", "state", "type", "cluster")
-    )
-    items = (
-        table("part").groupBy(item_of.alias("item_nbr"), F.col("p_type").alias("family"), size_class.alias("class"))
-        .agg(F.lit(1).alias("present"))
-        .select("item_nbr", "family", "class", (F.col("item_nbr") % 3 == 0).cast("int").alias("perishable"))
-    )
-    # every year that ships anything gets the same eight entries
-    entries = F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in zip(
-            ("month", "day", "type", "locale", "locale_name", "description", "transferred"), row)])
-        for row in HOLIDAYS
-    ])
-    holidays = (
-        shipped.select(F.year("l_shipdate").alias("year")).distinct()
-        .select("year", F.inline(entries))
-        .select(F.make_date("year", "month", "day").alias("date"),
-                "type", "locale", "locale_name", "description", "transferred")
-    )
-    return {"train": train, "transactions": transactions, "stores": stores, "items": items,
-            "holidays_events": holidays}
+class StarSchemaTables(Mapping):
+    """The raw retail tables by name. A table is put together when it is first asked for."""
+
+    NAMES = ("train", "transactions", "stores", "items", "holidays_events")
+
+    def __init__(self, spark: SparkSession, folder: str, grain: Grain = Grain()):
+        self._spark, self._folder, self._grain = spark, folder, grain
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if name not in self._made:
+            self._made[name] = getattr(self, f"_{name}")()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    @property
+    def _store(self) -> Column:
+        return F.col(self._grain.store_column).cast("int")
+
+    @property
+    def _large(self) -> Column:
+        return (F.col("p_size") > 25).cast("int")
+
+    @property
+    def _item(self) -> Column:
+        return (2 * (F.array_position(F.lit(PART_TYPES), F.col("p_type")) - 1) + self._large).cast("int")
+
+    def _shipped(self) -> DataFrame:
+        # the bound on the ship date reaches the Parquet scan
+        return self._table("lineitem").filter(F.col("l_shipdate") >= F.lit(self._grain.first_day).cast("timestamp_ntz"))
+
+    def _lines(self) -> DataFrame:
+        """Line items with their store and day, from the day the store opens."""
+        places = self._table("supplier").join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        opening = F.date_add(F.lit(self._grain.first_day), F.col("store_nbr") * self._grain.opening_gap_days)
+        return (
+            self._shipped()
+            .join(places.select(F.col("s_suppkey").alias("l_suppkey"), self._store.alias("store_nbr")), "l_suppkey")
+            .withColumn("date", F.col("l_shipdate").cast("date"))
+            .filter(F.col("date") >= opening)
+        )
+
+    def _train(self) -> DataFrame:
+        products = self._table("part").select(F.col("p_partkey").alias("l_partkey"), self._item.alias("item_nbr"))
+        returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+        return self._lines().join(products, "l_partkey").select(
+            F.col("l_orderkey").alias("id"), "date", "store_nbr", "item_nbr",
+            F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("unit_sales"),
+            F.when(F.col("l_discount") != 0, F.col("l_discount") >= 0.09).alias("onpromotion"),
+        )
+
+    def _transactions(self) -> DataFrame:
+        return self._lines().groupBy("date", "store_nbr").agg(
+            F.count_distinct("l_orderkey").cast("int").alias("transactions"))
+
+    def _stores(self) -> DataFrame:
+        return (
+            self._table("nation").join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .groupBy(self._store.alias("store_nbr"))
+            .agg(F.min("r_name").alias("city"), F.min("n_name").alias("state"),
+                 F.min("n_regionkey").cast("int").alias("cluster"))
+            .select("store_nbr", "city", "state", F.when(F.col("cluster") < 2, "A").otherwise("B").alias("type"), "cluster")
+        )
+
+    def _items(self) -> DataFrame:
+        return (
+            self._table("part").select(self._item.alias("item_nbr"), F.col("p_type").alias("family"),
+                                       self._large.alias("class")).distinct()
+            .withColumn("perishable", (F.col("item_nbr") % 3 == 0).cast("int"))
+        )
+
+    def _holidays_events(self) -> DataFrame:
+        """Every year that ships anything gets the same entries."""
+        fields = ("month", "day", "type", "locale", "locale_name", "description", "transferred")
+        entries = F.array(*[
+            F.struct(*[F.lit(value).alias(field) for field, value in zip(fields, row)]) for row in HOLIDAYS
+        ])
+        return (
+            self._shipped().select(F.year("l_shipdate").alias("year")).distinct()
+            .select("year", F.inline(entries))
+            .select(F.make_date("year", "month", "day").alias("date"), *fields[2:])
+        )
