@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwatch.functions.lineage import settle
 from shelfwatch.operators import bootstrap, promo, quality, reconcile, reports, runs, series
 from shelfwatch.params import Params
 from shelfwatch.plans.layers import Layers
@@ -43,16 +44,19 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*[cast(f) for f in df.schema.fields])
 
 
-def _rounded_p(layer: str, name: str, df: DataFrame) -> DataFrame:
-    """Round p-values where runs are handed on to ranking: engines differ in the last bits of exp and ln,
-    and a rank must not depend on that."""
-    if name != "stockout_run_tested":
-        return df
-    return df.withColumns({c: F.round(c, P_DECIMALS) for c in ("p_value", "p_poisson")})
+def _keep(layer: str, name: str, df: DataFrame) -> DataFrame:
+    """Write the tables that several later ones read, as a pipeline run would.
+
+    p-values are rounded where runs are handed on to ranking: engines differ in the last bits of exp
+    and ln, and a rank must not depend on that.
+    """
+    if name == "stockout_run_tested":
+        df = df.withColumns({c: F.round(c, P_DECIMALS) for c in ("p_value", "p_poisson")})
+    return settle(df) if name in ("sales", "store_day", "stockout_run_tested") else df
 
 
 def layers(spark: SparkSession, folder: str, p: Params = PARAMS, grain: Grain = Grain()) -> Layers:
-    return Layers(StarSchemaTables(spark, folder, grain), p, keep=_rounded_p)
+    return Layers(StarSchemaTables(spark, folder, grain), p, keep=_keep)
 
 
 def _reconcile_inputs(spark: SparkSession, folder: str):
