@@ -33,9 +33,12 @@ def settle(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def broadcast_checked(written: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast a written table when its rows fit the limit; leave the join to Spark otherwise.
+def fits(written: DataFrame, row_bytes: int) -> bool:
+    """Whether a written table may be broadcast. ``row_bytes`` is a generous size of one row in a hash
+    table; counting a written table is cheap."""
+    return written.count() * row_bytes <= BROADCAST_BYTES
 
-    ``row_bytes`` is a generous size of one row in a hash table. Counting a written table is cheap.
-    """
-    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+def broadcast_checked(written: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast a written table if it fits; leave the join to Spark otherwise."""
+    return F.broadcast(written) if fits(written, row_bytes) else written

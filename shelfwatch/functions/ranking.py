@@ -9,7 +9,8 @@ group is cut into value ranges first:
    branch and every retried task sees the same ones;
 3. each value falls into the bucket given by the number of cut points below it;
 4. per-bucket counts give each bucket its rank offset (at most ``BUCKETS`` rows per group, written);
-5. a running sum inside (group, bucket) adds the rest of the rank.
+5. only buckets that hold a wanted rank are sorted: a running sum inside (group, bucket) adds the rest
+   of the rank.
 
 The sketch only decides how even the buckets are. Any cut points give the same, exact ranks.
 """
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.lineage import broadcast_checked, settle
+from shelfwatch.functions.lineage import fits, settle
 
 BUCKETS = 128
 
@@ -36,83 +37,99 @@ def collapse(df: DataFrame, groups: list[str], value: Column | str) -> DataFrame
 
 
 @dataclass(frozen=True)
-class RankedValues:
-    """``values``: groups, bucket, value, first_rank, last_rank (1-based, inclusive).
-    ``buckets``: groups, bucket, before, inside — the rank offset and size of each bucket."""
+class RankIndex:
+    """``values``: groups, bucket, value, ties. ``buckets``: groups, bucket, before, inside, lowest,
+    highest — rank offset, size and value range of each bucket."""
 
     groups: list[str]
     values: DataFrame
     buckets: DataFrame
+    small: bool  # the bucket table, and any selection from it, may be broadcast
+
+    @property
+    def bucket_key(self) -> list[str]:
+        return [*self.groups, "bucket"]
 
     def sizes(self) -> DataFrame:
         """Number of ranked rows per group, ``n``."""
         return self.buckets.groupBy(*self.groups).agg(F.sum("inside").alias("n"))
 
+    def as_small(self, selection: DataFrame) -> DataFrame:
+        return F.broadcast(selection) if self.small else selection
+
 
-def rank_values(collapsed: DataFrame, groups: list[str]) -> RankedValues:
-    """Rank the non-NULL values of a collapsed table within each group."""
+def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
+    """Prepare ranks of the non-NULL values of a collapsed table within each group. Runs two small jobs."""
     known = collapsed.filter(F.col("value").isNotNull())
     cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
         "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
-    bucketed = known.join(broadcast_checked(cuts, 16 * BUCKETS), groups).select(
+    small = fits(cuts, row_bytes=128 * BUCKETS)
+    values = known.join(F.broadcast(cuts) if small else cuts, groups).select(
         *groups, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
     )
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = broadcast_checked(settle(
-        bucketed.groupBy(*groups, "bucket")
-        .agg(F.sum("ties").alias("inside"))
+    buckets = settle(
+        values.groupBy(*groups, "bucket")
+        .agg(F.sum("ties").alias("inside"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
         .withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
-    ), 128)
-    within = (
-        Window.partitionBy(*groups, "bucket").orderBy("value")
+    )
+    return RankIndex(groups, values, buckets, small)
+
+
+def ranks_within(index: RankIndex, chosen: DataFrame) -> DataFrame:
+    """Values of the chosen buckets (rows with group, bucket, before) with ``last_rank``, the highest
+    1-based rank among their ties."""
+    upto = (
+        Window.partitionBy(*index.bucket_key).orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    values = (
-        bucketed.withColumn("so_far", F.sum("ties").over(within))
-        .join(offsets, [*groups, "bucket"])
-        .select(
-            *groups, "bucket", "value",
-            (F.col("before") + F.col("so_far") - F.col("ties") + 1).alias("first_rank"),
-            (F.col("before") + F.col("so_far")).alias("last_rank"),
-        )
+    return index.values.join(index.as_small(chosen.select(*index.bucket_key, "before")), index.bucket_key).select(
+        *index.bucket_key, "value", (F.col("before") + F.sum("ties").over(upto)).alias("last_rank")
     )
-    return RankedValues(groups, values, offsets)
 
 
-def values_at(ranked: RankedValues, wanted: DataFrame) -> DataFrame:
+def values_at(index: RankIndex, wanted: DataFrame) -> DataFrame:
     """Add ``value``, the order statistic at ``rank``, to every row of ``wanted``.
 
-    The rank is placed in its bucket through the small offset table, so the large side is met on
-    (group, bucket) and each request reads one bucket only.
+    A rank is placed in its bucket through the bucket table. Inside the bucket, wanted ranks and values
+    are merged in rank order and each rank takes the nearest value at or above it: one pass, no pairs.
     """
     rank = F.col("rank")
     placed = (
-        wanted.join(ranked.buckets, ranked.groups)
+        wanted.join(index.as_small(index.buckets.drop("lowest", "highest")), index.groups)
         .filter((rank > F.col("before")) & (rank <= F.col("before") + F.col("inside")))
-        .drop("before", "inside")
+        .drop("inside")
+    )
+    values = ranks_within(index, placed.select(*index.bucket_key, "before").distinct()).withColumnRenamed(
+        "last_rank", "rank")
+    from_above = (
+        Window.partitionBy(*index.bucket_key).orderBy(F.desc("rank"), F.col("wanted"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.join(ranked.values, [*ranked.groups, "bucket"])
-        .filter(rank.between(F.col("first_rank"), F.col("last_rank")))
-        .drop("bucket", "first_rank", "last_rank")
+        values.withColumn("wanted", F.lit(False))
+        .unionByName(placed.drop("before").withColumn("wanted", F.lit(True)), allowMissingColumns=True)
+        .withColumn("value", F.last("value", ignorenulls=True).over(from_above))
+        .filter("wanted")
+        .drop("wanted", "bucket")
     )
 
 
-def medians(ranked: RankedValues, min_rows: int = 1) -> DataFrame:
+def medians(index: RankIndex, min_rows: int = 1) -> DataFrame:
     """Exact median per group with at least ``min_rows`` values: groups, n, median."""
     n = F.col("n")
-    middle = ranked.sizes().filter(n >= min_rows).select(
-        *ranked.groups, "n", F.explode(F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1)).alias("rank")
+    middle = index.sizes().filter(n >= min_rows).select(
+        *index.groups, "n", F.explode(F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1)).alias("rank")
     )
-    return values_at(ranked, middle).groupBy(*ranked.groups, "n").agg(F.avg("value").alias("median"))
+    return values_at(index, middle).groupBy(*index.groups, "n").agg(F.avg("value").alias("median"))
 
 
-def quantile(ranked: RankedValues, q: float, name: str) -> DataFrame:
+def quantile(index: RankIndex, q: float, name: str) -> DataFrame:
     """Exact linear-interpolation quantile per group: groups, ``name``."""
     position = F.lit(q) * (F.col("n") - 1)
-    wanted = ranked.sizes().select(
-        *ranked.groups, (position - F.floor(position)).alias("weight"),
+    wanted = index.sizes().select(
+        *index.groups, (position - F.floor(position)).alias("weight"),
         F.explode(F.array_distinct(F.array(F.floor(position) + 1, F.ceil(position) + 1))).alias("rank"),
     )
     low, high = F.min("value"), F.max("value")
-    return values_at(ranked, wanted).groupBy(*ranked.groups).agg((low + (high - low) * F.max("weight")).alias(name))
+    return values_at(index, wanted).groupBy(*index.groups).agg((low + (high - low) * F.max("weight")).alias(name))

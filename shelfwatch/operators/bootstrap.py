@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import RankedValues, collapse, medians, rank_values, values_at
+from shelfwatch.functions.ranking import RankIndex, collapse, medians, rank_index, values_at
 from shelfwatch.params import Params
 
 # metric name in the summary -> column of the event table
@@ -54,29 +54,29 @@ def _rank_draws(sizes: DataFrame, groups: list[str], resamples: int, seed: int)
     return sizes.select(*groups, "n").mapInPandas(draw, f"{fields}, replicate INT, low BIGINT, high BIGINT")
 
 
-def median_intervals(ranked: RankedValues, resamples: int, seed: int, min_rows: int = 1) -> DataFrame:
+def median_intervals(index: RankIndex, resamples: int, seed: int, min_rows: int = 1) -> DataFrame:
     """Median with a percentile-bootstrap 95% interval per group: groups, n, median, lo, hi.
 
     Groups with fewer than ``min_rows`` values are left out. The work in Python is ``resamples`` draws
     per group, whatever the group's size.
     """
-    groups = ranked.groups
-    sizes = ranked.sizes().filter(F.col("n") >= min_rows)
+    groups = index.groups
+    sizes = index.sizes().filter(F.col("n") >= min_rows)
     wanted = _rank_draws(sizes, groups, resamples, seed).select(
         *groups, "replicate", F.explode(F.array("low", "high")).alias("rank")
     )
-    resampled = values_at(ranked, wanted).groupBy(*groups, "replicate").agg(F.avg("value").alias("median"))
+    resampled = values_at(index, wanted).groupBy(*groups, "replicate").agg(F.avg("value").alias("median"))
     # bounded: one row per replicate
     interval = resampled.groupBy(*groups).agg(F.percentile("median", [0.025, 0.975]).alias("ci"))
     return (
-        medians(ranked, min_rows).join(interval, groups)
+        medians(index, min_rows).join(interval, groups)
         .select(*groups, "n", "median", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
     )
 
 
 def bootstrap_median_ci(df: DataFrame, groups: list[str], value: str, resamples: int, seed: int) -> DataFrame:
     """``median_intervals`` of a plain column. NULL values are ignored."""
-    return median_intervals(rank_values(collapse(df, groups, value), groups), resamples, seed)
+    return median_intervals(rank_index(collapse(df, groups, value), groups), resamples, seed)
 
 
 def _metric_values(events: DataFrame, p: Params) -> DataFrame:
@@ -122,12 +122,12 @@ def family_summary(events: DataFrame, p: Params) -> DataFrame:
     after, so they have their own counts and are NULL below the minimum. Best uplift first.
     """
     values = _metric_values(events, p)
-    ranked = rank_values(values, ["family", "metric"])
-    intervals = median_intervals(ranked, p.bootstrap_resamples, p.seed, p.min_family_events)
+    index = rank_index(values, ["family", "metric"])
+    intervals = median_intervals(index, p.bootstrap_resamples, p.seed, p.min_family_events)
     return _family_table(values, intervals, ["median", "lo", "hi"])
 
 
 def family_medians(events: DataFrame, p: Params) -> DataFrame:
     """The medians of ``family_summary`` alone, without the intervals."""
     values = _metric_values(events, p)
-    return _family_table(values, medians(rank_values(values, ["family", "metric"]), p.min_family_events), ["median"])
+    return _family_table(values, medians(rank_index(values, ["family", "metric"]), p.min_family_events), ["median"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import collapse, rank_values
+from shelfwatch.functions.lineage import settle
+from shelfwatch.functions.ranking import collapse, rank_index, ranks_within
 
 
 def _contenders(runs: DataFrame, q: float, p_values: list[str]) -> DataFrame:
@@ -19,13 +20,27 @@ def _contenders(runs: DataFrame, q: float, p_values: list[str]) -> DataFrame:
 def _cutoffs(contenders: DataFrame, q: float) -> DataFrame:
     """test, m, cutoff: the largest p(i) with p(i) <= i * q / m, NULL when no test passes.
 
-    Equal values share the highest rank among them, which is the rank the step-up rule uses. Ranking
-    is spread over value ranges; no step sorts all runs in one task.
+    Equal values share the highest rank among them, which is the rank the step-up rule uses. The
+    bucket table settles most of the question: a bucket's largest value has a known rank, and a bucket
+    whose smallest value exceeds the bound at its last rank cannot pass. Only the undecided buckets
+    above the highest one that passes in full are ranked value by value.
     """
-    totals = contenders.groupBy("test").agg(F.sum("ties").alias("m"))
-    ranked = rank_values(contenders, ["test"]).values
-    passing = ranked.join(totals, "test").filter(F.col("value") <= F.col("last_rank") * F.lit(q) / F.col("m"))
-    return totals.join(passing.groupBy("test").agg(F.max("value").alias("cutoff")), "test", "left")
+    totals = settle(contenders.groupBy("test").agg(F.sum("ties").alias("m")))
+    index = rank_index(contenders, ["test"])
+    bound = (F.col("before") + F.col("inside")) * F.lit(q) / F.col("m")
+    buckets = index.buckets.join(F.broadcast(totals), "test")  # one row per test
+    sure = buckets.filter(F.col("highest") <= bound).groupBy("test").agg(F.max("highest").alias("sure"))
+    undecided = (
+        buckets.filter(F.col("lowest") <= bound).join(F.broadcast(sure), "test", "left")
+        .filter(F.col("sure").isNull() | (F.col("lowest") > F.col("sure")))
+    )
+    passing = (
+        ranks_within(index, undecided).join(F.broadcast(totals), "test")
+        .filter(F.col("value") <= F.col("last_rank") * F.lit(q) / F.col("m"))
+        .groupBy("test").agg(F.max("value").alias("found"))
+    )
+    return totals.join(sure, "test", "left").join(passing, "test", "left").select(
+        "test", "m", F.greatest("sure", "found").alias("cutoff"))
 
 
 def bh_cutoff(runs: DataFrame, q: float, p_value: str = "p_value") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import collapse, medians, quantile, rank_values
+from shelfwatch.functions.ranking import collapse, medians, quantile, rank_index
 
 HISTOGRAM_BINS = 60
 
@@ -75,7 +75,7 @@ def payday_gap(events: DataFrame, min_events: int) -> DataFrame:
     a family need at least ``min_events`` events."""
     groups = ["family", "touches_payday_or_holiday"]
     known = events.filter(F.col("family").isNotNull() & F.col("touches_payday_or_holiday").isNotNull())
-    typical = medians(rank_values(collapse(known, groups, "uplift"), groups), min_events)
+    typical = medians(rank_index(collapse(known, groups, "uplift"), groups), min_events)
     touching = F.col("touches_payday_or_holiday")
     return (
         typical.groupBy("family")
@@ -135,8 +135,8 @@ def stockout_grid(weekly: DataFrame) -> DataFrame:
 def stockout_grid_cap(weekly: DataFrame) -> DataFrame:
     """The 95th percentile of the heat-map cells: the top of its colour scale."""
     cells = weekly.groupBy("store_key", "week_start").agg(F.round(F.sum("rate") * 100, 4).alias("rate_pct"))
-    ranked = rank_values(collapse(cells.withColumn("grid", F.lit(1)), ["grid"], "rate_pct"), ["grid"])
-    return quantile(ranked, 0.95, "cap_pct").select("cap_pct")
+    index = rank_index(collapse(cells.withColumn("grid", F.lit(1)), ["grid"], "rate_pct"), ["grid"])
+    return quantile(index, 0.95, "cap_pct").select("cap_pct")
 
 
 def dispersion_headline(dispersion: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def dispersion_headline(dispersion: DataFrame) -> DataFrame:
     values = collapse(dispersion.withColumn("all", F.lit(1)), ["all"], "dispersion")
     above = F.sum(F.when(F.col("value") > 1, F.col("ties")).otherwise(0))
     share = values.filter(F.col("value").isNotNull()).agg((above / F.sum("ties")).alias("share_over_1"))
-    median = medians(rank_values(values, ["all"])).select("median")
+    median = medians(rank_index(values, ["all"])).select("median")
     return share.select(median.scalar().alias("median_dispersion"), "share_over_1")
 
 
