@@ -12,7 +12,8 @@ group is cut into value ranges first:
 5. only buckets that hold a wanted rank are sorted: a running sum inside (group, bucket) adds the rest
    of the rank.
 
-The sketch only decides how even the buckets are. Any cut points give the same, exact ranks.
+The sketch only decides how even the buckets are. Any cut points give the same, exact ranks. A table of
+few distinct values needs no cuts: each group is one bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.lineage import fits, settle
 
 BUCKETS = 128
+ONE_BUCKET_ROWS = 200_000  # distinct values, over all groups, that one task may sort
 
 
 def collapse(df: DataFrame, groups: list[str], value: Column | str) -> DataFrame:
@@ -59,14 +61,18 @@ class RankIndex:
 
 
 def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
-    """Prepare ranks of the non-NULL values of a collapsed table within each group. Runs two small jobs."""
+    """Prepare ranks of the non-NULL values of a collapsed table within each group. Runs small jobs
+    on the written values."""
     known = collapsed.filter(F.col("value").isNotNull())
-    cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
-        "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
-    small = fits(cuts, row_bytes=128 * BUCKETS)
-    values = known.join(F.broadcast(cuts) if small else cuts, groups).select(
-        *groups, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
-    )
+    if known.count() <= ONE_BUCKET_ROWS:
+        values, small = known.withColumn("bucket", F.lit(0)), True
+    else:
+        cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
+            "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
+        small = fits(cuts, row_bytes=128 * BUCKETS)
+        values = known.join(F.broadcast(cuts) if small else cuts, groups).select(
+            *groups, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
+        )
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = settle(
         values.groupBy(*groups, "bucket")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.lineage import settle
 from shelfwatch.functions.ranking import collapse, rank_index, ranks_within
 
 
@@ -25,10 +24,10 @@ def _cutoffs(contenders: DataFrame, q: float) -> DataFrame:
     whose smallest value exceeds the bound at its last rank cannot pass. Only the undecided buckets
     above the highest one that passes in full are ranked value by value.
     """
-    totals = settle(contenders.groupBy("test").agg(F.sum("ties").alias("m")))
+    totals = contenders.groupBy("test").agg(F.sum("ties").alias("m"))  # one row per test
     index = rank_index(contenders, ["test"])
     bound = (F.col("before") + F.col("inside")) * F.lit(q) / F.col("m")
-    buckets = index.buckets.join(F.broadcast(totals), "test")  # one row per test
+    buckets = index.buckets.join(F.broadcast(totals), "test")
     sure = buckets.filter(F.col("highest") <= bound).groupBy("test").agg(F.max("highest").alias("sure"))
     undecided = (
         buckets.filter(F.col("lowest") <= bound).join(F.broadcast(sure), "test", "left")

@@ -26,8 +26,10 @@ def duplicate_keys(fact: DataFrame) -> DataFrame:
 
 
 def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing from the dimension."""
-    return fact.select(key).join(dim.select(key), key, "left_anti").agg(F.count("*").alias("found"))
+    """Rows whose key is missing from the dimension. Rows are counted per key first, so the join sees each
+    key once however many rows share it."""
+    per_key = fact.groupBy(key).agg(F.count("*").alias("n"))
+    return per_key.join(dim.select(key), key, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
 
 
 def row_difference(left: DataFrame, right: DataFrame) -> DataFrame:

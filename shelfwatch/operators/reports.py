@@ -76,12 +76,11 @@ def payday_gap(events: DataFrame, min_events: int) -> DataFrame:
     groups = ["family", "touches_payday_or_holiday"]
     known = events.filter(F.col("family").isNotNull() & F.col("touches_payday_or_holiday").isNotNull())
     typical = medians(rank_index(collapse(known, groups, "uplift"), groups), min_events)
-    touching = F.col("touches_payday_or_holiday")
     return (
         typical.groupBy("family")
-        .agg(F.max(F.when(~touching, F.col("median"))).alias("other"),
-             F.max(F.when(touching, F.col("median"))).alias("touching"))
-        .filter(F.col("other").isNotNull() & F.col("touching").isNotNull())
+        .pivot("touches_payday_or_holiday", [False, True]).agg(F.max("median"))
+        .withColumnsRenamed({"false": "other", "true": "touching"})
+        .dropna(subset=["other", "touching"])
         .select("family", _percent(F.col("other")).alias("other_pct"), _percent(F.col("touching")).alias("touching_pct"),
                 (F.col("touching") - F.col("other")).alias("gap"))
         .orderBy("gap", "family")

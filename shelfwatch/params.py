@@ -21,3 +21,14 @@ class Params:
     bootstrap_resamples: int = 1000
     min_family_events: int = 30                # smaller families get no interval
     seed: int = 42
+
+    def sql_args(self) -> dict[str, date | int | float]:
+        """Named parameters for ``spark.sql(text, args=...)``; ``:stockout_from`` is the window's first day."""
+        return {
+            "slice_start": self.slice_start,
+            "stockout_from": self.window_start,
+            "lookback_days": self.lookback_days,
+            "min_expected_units": self.min_expected_units,
+            "min_receipts_share": self.min_receipts_share,
+            "post_promo_days": self.post_promo_days,
+        }

@@ -73,6 +73,20 @@ class CatalogStore(Store):
         return self.spark.table(f"{layer}.{name}")
 
 
+class ViewStore(Store):
+    """Temporary views ``layer__name``: nothing is written and every read recomputes its plan."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def save(self, layer: str, name: str, df: DataFrame) -> DataFrame:
+        df.createOrReplaceTempView(f"{layer}__{name}")
+        return df
+
+    def table(self, layer: str, name: str) -> DataFrame:
+        return self.spark.table(f"{layer}__{name}")
+
+
 def load_raw(
     spark: SparkSession, store: Store, folder: str, extension: str = ".csv.gz", spread: int | None = None
 ) -> dict[str, int]:
@@ -90,6 +104,11 @@ def load_raw(
     return counts
 
 
+def counts_table(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """Row counts as a table, to keep beside the data."""
+    return spark.createDataFrame(sorted(counts.items()), "table_name STRING, rows BIGINT")
+
+
 def build(store: Store, p: Params) -> Layers:
     """Write every silver and gold table from the bronze ones, each from the written tables before it."""
     tables = Layers({name: store.table("bronze", name) for name in RAW_SCHEMAS}, p, keep=store.save)

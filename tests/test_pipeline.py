@@ -8,7 +8,7 @@ from shelfwatch.operators.quality import ChecksFailed
 from shelfwatch.operators.runs import stockout_runs
 from shelfwatch.operators.series import stockout_series
 from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER
-from shelfwatch.plans.pipeline import CatalogStore, FolderStore, build, export, load_raw, run
+from shelfwatch.plans.pipeline import CatalogStore, FolderStore, ViewStore, build, counts_table, export, load_raw, run
 
 
 def plan(df) -> str:
@@ -42,6 +42,28 @@ def test_load_counts_rows(spark, shop, tmp_path, raw):
     assert counts == {name: df.count() for name, df in raw.items()}
 
 
+def test_views_answer_parameterised_sql(spark, shop, params, raw):
+    store = ViewStore(spark)
+    counts = load_raw_views(store, raw)
+    build(store, params)
+    row = spark.sql(
+        """SELECT count(*) AS days, min(date) AS first_day, min(units_before) AS least
+           FROM (SELECT date, sum(units) OVER (PARTITION BY store_nbr, item_nbr ORDER BY unix_date(date)
+                        RANGE BETWEEN :lookback_days PRECEDING AND 1 PRECEDING) AS units_before
+                 FROM silver__sales) WHERE date >= :stockout_from""", args=params.sql_args()).first()
+    assert row.first_day == params.window_start and row.days > 0 and row.least is not None
+    months = spark.sql("SELECT d.month_num, count(*) AS n FROM gold__fact_stockout_risk JOIN gold__dim_date d "
+                       "USING (date_key) GROUP BY 1 ORDER BY 1").collect()
+    assert [tuple(r) for r in months] == [(1, 1), (2, 1)]
+    assert dict(map(tuple, counts_table(spark, counts).collect())) == counts
+
+
+def load_raw_views(store, raw):
+    for name, df in raw.items():
+        store.save("bronze", name, df)
+    return {name: df.count() for name, df in raw.items()}
+
+
 def test_failed_checks_publish_nothing(spark, shop, params, tmp_path):
     store = FolderStore(spark, str(tmp_path / "tables"))
     load_raw(spark, store, shop, ".csv")

@@ -81,6 +81,16 @@ def test_empty_window_fails_without_raising(compare):
     assert [r.status for r in rows] == ["FAIL", "FAIL", "PASS", "PASS", "PASS"]
 
 
+def test_a_side_may_be_a_folder_or_one_file(spark, tmp_path):
+    df = spark.createDataFrame(RISK, RISK_SCHEMA)
+    df.write.parquet(str(tmp_path / "a" / "fact_stockout_risk"))
+    (tmp_path / "b").mkdir()
+    df.toPandas().to_parquet(tmp_path / "b" / "fact_stockout_risk.parquet")
+    for side in "ab":
+        rows = reconcile.read_contract(spark, str(tmp_path / side), "fact_stockout_risk").collect()
+        assert sorted(map(tuple, rows)) == RISK
+
+
 def lines(pattern):
     found = []
     for path in sorted(glob(pattern)):
