@@ -8,16 +8,21 @@ of a *rank*, not n draws of a value, and the values only have to be looked up at
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.ranking import RankIndex, collapse, medians, rank_index, values_at
 from shelfwatch.params import Params
 
+# the draws travel to Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # metric name in the summary -> column of the event table
 METRICS = {"uplift": "uplift", "dip": "post_dip", "net": "net_lift"}
 
@@ -55,22 +60,26 @@ def _rank_draws(sizes: DataFrame, groups: list[str], resamples: int, seed: int)
 
 
 def median_intervals(index: RankIndex, resamples: int, seed: int, min_rows: int = 1) -> DataFrame:
-    """Median with a percentile-bootstrap 95% interval per group: groups, n, median, lo, hi.
+    """Median with a percentile-bootstrap 95% interval per group: groups, median, lo, hi.
 
     Groups with fewer than ``min_rows`` values are left out. The work in Python is ``resamples`` draws
     per group, whatever the group's size.
     """
-    groups = index.groups
-    sizes = index.sizes().filter(F.col("n") >= min_rows)
-    wanted = _rank_draws(sizes, groups, resamples, seed).select(
-        *groups, "replicate", F.explode(F.array("low", "high")).alias("rank")
-    )
-    resampled = values_at(index, wanted).groupBy(*groups, "replicate").agg(F.avg("value").alias("median"))
-    # bounded: one row per replicate
-    interval = resampled.groupBy(*groups).agg(F.percentile("median", [0.025, 0.975]).alias("ci"))
+    groups, n, replicate = index.groups, F.col("n"), F.col("replicate")
+    sizes = index.sizes().filter(n >= min_rows)
+    # replicate -1 asks for the plain median, so that one lookup serves everything
+    plain = sizes.select(
+        *groups, F.lit(-1).alias("replicate"), F.floor((n + 1) / 2).alias("low"), (F.floor(n / 2) + 1).alias("high"))
+    wanted = _rank_draws(sizes, groups, resamples, seed).unionByName(plain).select(
+        *groups, "replicate", F.explode(F.array("low", "high")).alias("rank"))
+    middles = values_at(index, wanted).groupBy(*groups, "replicate").agg(F.avg("value").alias("middle"))
     return (
-        medians(index, min_rows).join(interval, groups)
-        .select(*groups, "n", "median", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+        middles.groupBy(*groups).agg(
+            F.max(F.when(replicate < 0, F.col("middle"))).alias("median"),
+            # bounded: one value per replicate
+            F.percentile(F.when(replicate >= 0, F.col("middle")), [0.025, 0.975]).alias("ci"),
+        )
+        .select(*groups, "median", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
     )
 
 

@@ -262,6 +262,30 @@ def _bodies() -> dict[str, str]:
                 count(*) FILTER (WHERE b.expected_units IS NULL AND abs(a.expected_units - 3.0) < 1e-9) AS only_new_ties,
                 count(*) AS either, CASE WHEN count(*) = 0 THEN 1.0 ELSE shared / count(*) END AS jaccard
          FROM {flag_sides})"""
+    report = f"""
+        SELECT 'fact_sales rows' AS name,
+               format('{{:,}} {{}} {{:,}}', rows_new, CASE WHEN rows_new = rows_old THEN '=' ELSE '≠' END, rows_old) AS value,
+               rows_new = rows_old AND rows_new > 0 AS passed, 'new vs earlier producer, analysis window only' AS note
+        FROM {reconcile_sales}
+        UNION ALL SELECT 'fact_sales Σ units', format('{{:,.2f}} vs {{:,.2f}}', units_new, units_old),
+               abs(units_new - units_old) <= 1e-6 * greatest(1.0, abs(units_old)), 'relative tolerance 1e-6'
+        FROM {reconcile_sales}
+        UNION ALL SELECT 'baseline_units within 0.01', format('{{:,}} rows differ', drifted), drifted = 0,
+               'rows where both tables have a baseline'
+        FROM {reconcile_baselines}
+        UNION ALL SELECT 'baseline NULLs only from sliced history',
+               format('{{:,}} of {{:,}} rows ({{:.3f}}%); {{:,}} where only the new side has one', mismatched, with_baseline,
+                      CASE WHEN with_baseline > 0 THEN 100 * mismatched / with_baseline ELSE 0.0 END, only_new),
+               only_new = 0 AND mismatched <= 0.005 * with_baseline,
+               'the new side may lack a baseline (later first sale), never add one; ≤ 0.5%'
+        FROM {reconcile_baselines}
+        UNION ALL SELECT 'stock-out flags ⊆ earlier producer',
+               format('Jaccard {{:.4f}}; {{:,}} only in the new side{{}}, {{:,}} only in the earlier one', jaccard, only_new,
+                      CASE WHEN only_new > 0 AND only_new = only_new_ties THEN ' (all at the rate 3 threshold)' ELSE '' END,
+                      either - shared - only_new),
+               only_new = only_new_ties AND jaccard >= 0.995,
+               'the new side may miss flags (shorter history), never add one except a tie at the threshold; Jaccard ≥ 0.995'
+        FROM {reconcile_flags}"""
     checks = """
         (SELECT 'fact_sales_duplicate_keys' AS "check", count(*) - count(DISTINCT (date_key, store_key, item_key)) AS violations FROM fact
          UNION ALL SELECT 'fact_stockout_risk_duplicate_keys', count(*) - count(DISTINCT (date_key, store_key, item_key)) FROM risk
@@ -371,6 +395,7 @@ def _bodies() -> dict[str, str]:
             (SELECT count(*) FILTER (WHERE dispersion > 1) / count(*) AS share_over_1 FROM dispersion WHERE dispersion > 0)"""),
         "reconcile_sales": _select("rows_new:i rows_old:i units_new:d units_old:d", reconcile_sales),
         "reconcile_baselines": _select("drifted:i mismatched:i only_new:i with_baseline:i", reconcile_baselines),
+        "reconcile_report": f"SELECT name, value, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, note FROM ({report})",
         "reconcile_flags": _select("shared:i only_new:i only_new_ties:i either:i jaccard:d", reconcile_flags),
     }
 

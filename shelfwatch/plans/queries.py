@@ -18,8 +18,9 @@ from shelfwatch.sources.raw import slice_counts
 from shelfwatch.sources.star_schema import Grain, StarSchemaTables
 
 PARAMS = Params(slice_start=date(1995, 1, 2), window_start=date(1996, 9, 1), window_end=date(2000, 12, 31))
-# The same analysis started from a slice: the window and a burn-in of two lookbacks.
-SLICED = replace(PARAMS, slice_start=PARAMS.window_start - timedelta(days=2 * PARAMS.lookback_days))
+# The same analysis started from a slice with a burn-in of half a lookback, too short for the first
+# baselines and histories: the two producers differ, and in one direction only.
+SLICED = replace(PARAMS, slice_start=PARAMS.window_start - timedelta(days=PARAMS.lookback_days // 2))
 
 DECIMALS = 6
 TIE_SHIFT = 1e-10
