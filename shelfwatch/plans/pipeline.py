@@ -13,11 +13,11 @@ from shelfwatch.sources.raw import RAW_SCHEMAS, counted, read_raw
 
 CHECKED = ["sales", "fact_sales", "fact_stockout_risk", "stg_store", "stg_item", "dim_date"]
 
-# Tables read in store-item windows again and again, and the names of those keys in them.
+# Tables read in store-item windows again and again: their keys, and the day that orders a store-item.
 BY_STORE_ITEM = {
-    "sales": ["store_nbr", "item_nbr"],
-    "stockout_series": ["store_nbr", "item_nbr"],
-    "fact_sales": ["store_key", "item_key"],
+    "sales": (["store_nbr", "item_nbr"], "date"),
+    "stockout_series": (["store_nbr", "item_nbr"], "date"),
+    "fact_sales": (["store_key", "item_key"], "date_key"),
 }
 
 
@@ -49,8 +49,10 @@ class CatalogStore(Store):
     """Tables ``layer.name`` in the session catalog.
 
     Tables keyed by store-item are bucketed and sorted on those keys, so the windows, island numbering
-    and groupings that follow read them without an exchange. ``buckets`` should give each bucket a few
-    hundred megabytes; one store-item is at most one row per calendar day, so buckets stay even.
+    and groupings that follow read them without an exchange. ``sales`` is exchanged once, when it is
+    written; the larger tables made from it are computed and written bucket by bucket. ``buckets``
+    should give each bucket a few hundred megabytes; one store-item is at most one row per calendar
+    day, so buckets stay even.
     """
 
     def __init__(self, spark: SparkSession, buckets: int):
@@ -60,12 +62,10 @@ class CatalogStore(Store):
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
         writer = df.write.mode("overwrite").format("parquet")
         if name in BY_STORE_ITEM:
-            keys = BY_STORE_ITEM[name]
-            # one exchange here, so that a bucket is one file and not one per task
-            writer = (
-                df.repartition(self.buckets, *keys).write.mode("overwrite").format("parquet")
-                .bucketBy(self.buckets, *keys).sortBy(*keys)
-            )
+            keys, day = BY_STORE_ITEM[name]
+            if name == "sales":
+                writer = df.repartition(self.buckets, *keys).write.mode("overwrite").format("parquet")
+            writer = writer.bucketBy(self.buckets, *keys).sortBy(*keys, day)
         writer.saveAsTable(f"{layer}.{name}")
         return self.table(layer, name)
 

@@ -79,6 +79,8 @@ def test_catalog_tables_need_no_exchange_by_store_item(spark, shop, params, tabl
     load_raw(spark, store, shop, ".csv")
     made = build(store, params)
     assert sorted(map(str, made.fact_stockout_run.collect())) == sorted(map(str, tables.fact_stockout_run.collect()))
+    for layer, name in (("silver", "sales"), ("silver", "stockout_series"), ("gold", "fact_sales")):
+        assert len(store.table(layer, name).inputFiles()) <= 4  # one file per bucket
     sales, store_day = store.table("silver", "sales"), store.table("silver", "store_day")
     for df in (
         stockout_series(sales, store_day, params),
