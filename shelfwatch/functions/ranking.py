@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.lineage import fits, settle
 
-BUCKETS = 128
+BUCKETS = 128  # a power of two
 ONE_BUCKET_ROWS = 200_000  # distinct values, over all groups, that one task may sort
 
 
@@ -60,6 +60,17 @@ class RankIndex:
         return F.broadcast(selection) if self.small else selection
 
 
+def _with_bucket(values: DataFrame) -> DataFrame:
+    """Number of cut points below the value, by bisection of the sorted ``cuts``."""
+    step, values = BUCKETS // 2, values.withColumn("bucket", F.lit(0))
+    while step:
+        probe = F.col("bucket") + step
+        below = F.element_at("cuts", probe) < F.col("value")
+        values = values.withColumn("bucket", F.when(below, probe).otherwise(F.col("bucket")))
+        step //= 2
+    return values
+
+
 def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
     """Prepare ranks of the non-NULL values of a collapsed table within each group. Runs small jobs
     on the written values."""
@@ -70,9 +81,7 @@ def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
         cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
             "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
         small = fits(cuts, row_bytes=128 * BUCKETS)
-        values = known.join(F.broadcast(cuts) if small else cuts, groups).select(
-            *groups, "value", "ties", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket")
-        )
+        values = _with_bucket(known.join(F.broadcast(cuts) if small else cuts, groups)).drop("cuts")
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = settle(
         values.groupBy(*groups, "bucket")
