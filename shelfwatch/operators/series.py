@@ -67,17 +67,19 @@ def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
     """Every calendar day from first to last sale of each eligible store-item.
 
     Each sale row carries the silent days up to the next sale, so the panel is filled in place: sales
-    rows are exchanged once by store-item and the much larger panel is not exchanged at all. The
-    store-item total comes from the same window pass.
+    rows are exchanged once by store-item and the much larger panel is not exchanged at all. Totals of
+    the store-item come from the same sorted pass; ``centre`` is its typical day, as a whole number.
     """
-    pair = Window.partitionBy(*PAIR)
-    following = F.lead("date").over(pair.orderBy("date"))
+    in_order = Window.partitionBy(*PAIR).orderBy("date")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         sales.filter(F.col("date") >= _history_start(p))
         .select(*PAIR, F.col("date").alias("sale_date"), "units",
-                F.sum("units").over(pair).alias("sold"), following.alias("next_sale"))
+                F.sum("units").over(whole).alias("sold"),
+                F.round(F.avg("units").over(whole)).alias("centre"),
+                F.lead("date").over(in_order).alias("next_sale"))
         .filter(F.col("sold") >= p.min_expected_units * p.lookback_days)
-        .select(*PAIR, "sale_date", "units",
+        .select(*PAIR, "sale_date", "units", "centre",
                 F.explode(F.sequence("sale_date", F.coalesce(F.date_sub("next_sale", 1), "sale_date"))).alias("date"))
     )
 
@@ -93,18 +95,28 @@ def stockout_series(sales: DataFrame, store_days: DataFrame, p: Params) -> DataF
     rate, sample variance and number of days known."""
     before = Window.partitionBy(*PAIR).orderBy("date").rowsBetween(-p.lookback_days, -1)
     sold_today = F.col("date") == F.col("sale_date")
+    off = F.col("units") - F.col("centre")
+    n, total, squares = F.col("history_days"), F.col("total"), F.col("squares")
+    off_total = total - n * F.col("centre")
     return (
         _days_of_pairs(sales, p)
         .join(calendar_lookup(full_trading_days(store_days, p)), ["store_nbr", "date"])
-        .select(*PAIR, "date",
+        .select(*PAIR, "date", "centre",
                 F.when(sold_today, F.col("units")).otherwise(0.0).alias("units"),
                 (~sold_today).alias("no_sale_row"),
                 F.coalesce("full_day", F.lit(False)).alias("full_day"))
+        # sliding sums are several times cheaper than a sliding var_samp; taken around the typical
+        # day they lose no digits
         .withColumns({
-            "lambda_units": F.avg("units").over(before),
-            "var_units": F.var_samp("units").over(before),
             "history_days": F.count("*").over(before),
+            "total": F.sum("units").over(before),
+            "squares": F.sum(off * off).over(before),
         })
+        .select(*PAIR, "date", "units", "no_sale_row", "full_day",
+                F.when(n > 0, total / n).alias("lambda_units"),
+                F.when(n > 1, F.greatest((n * squares - off_total * off_total) / (n * (n - 1)), F.lit(0.0)))
+                .alias("var_units"),
+                "history_days")
     )
 
 
