@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.lineage import fits, settle
 
-BUCKETS = 128  # a power of two
+BUCKETS = 512  # a power of two
 ONE_BUCKET_ROWS = 200_000  # distinct values, over all groups, that one task may sort
 
 
@@ -79,8 +79,8 @@ def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
         values, small = known.withColumn("bucket", F.lit(0)), True
     else:
         cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
-            "value", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("cuts")))
-        small = fits(cuts, row_bytes=128 * BUCKETS)
+            "value", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts")))
+        small = fits(cuts, row_bytes=16 * BUCKETS)
         values = _with_bucket(known.join(F.broadcast(cuts) if small else cuts, groups)).drop("cuts")
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = settle(

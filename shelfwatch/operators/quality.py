@@ -46,6 +46,7 @@ def total_differs(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 def dq_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """All checks as one table (check, violations)."""
     fact, risk = tables["fact_sales"], tables["fact_stockout_risk"]
+    # The names under which the checks report.
     checks = {
         "fact_sales_duplicate_keys": duplicate_keys(fact),
         "fact_stockout_risk_duplicate_keys": duplicate_keys(risk),

@@ -3,11 +3,12 @@ import re
 
 import pytest
 
+from shelfwatch.functions import lineage
 from shelfwatch.operators.promo import promo_baseline, promo_events_raw
 from shelfwatch.operators.quality import ChecksFailed
 from shelfwatch.operators.runs import stockout_runs
 from shelfwatch.operators.series import stockout_series
-from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER
+from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER, Layers
 from shelfwatch.plans.pipeline import CatalogStore, FolderStore, ViewStore, build, counts_table, export, load_raw, run
 
 
@@ -44,7 +45,7 @@ def test_load_counts_rows(spark, shop, tmp_path, raw):
 
 def test_views_answer_parameterised_sql(spark, shop, params, raw):
     store = ViewStore(spark)
-    counts = load_raw_views(store, raw)
+    counts = load_raw(spark, store, shop, ".csv")
     build(store, params)
     row = spark.sql(
         """SELECT count(*) AS days, min(date) AS first_day, min(units_before) AS least
@@ -55,15 +56,10 @@ def test_views_answer_parameterised_sql(spark, shop, params, raw):
     months = spark.sql("SELECT d.month_num, count(*) AS n FROM gold__fact_stockout_risk JOIN gold__dim_date d "
                        "USING (date_key) GROUP BY 1 ORDER BY 1").collect()
     assert [tuple(r) for r in months] == [(1, 1), (2, 1)]
+    assert counts == {name: df.count() for name, df in raw.items()}
     assert dict(map(tuple, counts_table(spark, counts).collect())) == counts
 
 
-def load_raw_views(store, raw):
-    for name, df in raw.items():
-        store.save("bronze", name, df)
-    return {name: df.count() for name, df in raw.items()}
-
-
 def test_failed_checks_publish_nothing(spark, shop, params, tmp_path):
     store = FolderStore(spark, str(tmp_path / "tables"))
     load_raw(spark, store, shop, ".csv")
@@ -109,6 +105,19 @@ def test_no_step_gathers_rows_in_one_task(spark, written, params):
             assert "HashAggregate" in above, text
 
 
+def test_results_do_not_depend_on_broadcasting(spark, tables, params, monkeypatch):
+    """Without any broadcast of the calendar the joins fall back to exchanges; the rows stay the same."""
+    monkeypatch.setattr(lineage, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = Layers(tables.raw, params)
+        for name in ("stockout_series", "fact_sales", "fact_promo_event", "fact_stockout_run", "stockout_store_week"):
+            assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(tables, name).collect()))
+        assert "SortMergeJoin" in plan(again.stockout_series)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_date_bound_reaches_the_scan(spark, written, params):
     _, made = written
     text = plan(stockout_series(made.sales, made.store_day, params))
