@@ -18,6 +18,7 @@ few distinct values needs no cuts: each group is one bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,15 +61,18 @@ class RankIndex:
         return F.broadcast(selection) if self.small else selection
 
 
-def _with_bucket(values: DataFrame) -> DataFrame:
-    """Number of cut points below the value, by bisection of the sorted ``cuts``."""
-    step, values = BUCKETS // 2, values.withColumn("bucket", F.lit(0))
+def _with_count_below(df: DataFrame, ascending: Callable[[Column], Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: how many entries of an ascending array lie below ``value``, by bisection.
+
+    ``ascending(i)`` is the i-th entry, NULL past the end. A handful of lookups per row, whatever the
+    array's length, in place of a join that pairs each row with every entry.
+    """
+    step, df = BUCKETS, df.withColumn(name, F.lit(0))
     while step:
-        probe = F.col("bucket") + step
-        below = F.element_at("cuts", probe) < F.col("value")
-        values = values.withColumn("bucket", F.when(below, probe).otherwise(F.col("bucket")))
+        probe = F.col(name) + step
+        df = df.withColumn(name, F.when(ascending(probe - 1) < F.col(value), probe).otherwise(F.col(name)))
         step //= 2
-    return values
+    return df
 
 
 def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
@@ -81,7 +85,9 @@ def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
         cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
             "value", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts")))
         small = fits(cuts, row_bytes=16 * BUCKETS)
-        values = _with_bucket(known.join(F.broadcast(cuts) if small else cuts, groups)).drop("cuts")
+        values = _with_count_below(
+            known.join(F.broadcast(cuts) if small else cuts, groups), lambda i: F.get("cuts", i), "value", "bucket"
+        ).drop("cuts")
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = settle(
         values.groupBy(*groups, "bucket")
@@ -106,14 +112,17 @@ def ranks_within(index: RankIndex, chosen: DataFrame) -> DataFrame:
 def values_at(index: RankIndex, wanted: DataFrame) -> DataFrame:
     """Add ``value``, the order statistic at ``rank``, to every row of ``wanted``.
 
-    A rank is placed in its bucket through the bucket table. Inside the bucket, wanted ranks and values
+    A rank is placed in its bucket by bisection of the group's rank offsets. Inside the bucket, wanted ranks and values
     are merged in rank order and each rank takes the nearest value at or above it: one pass, no pairs.
     """
-    rank = F.col("rank")
-    placed = (
-        wanted.join(index.as_small(index.buckets.drop("lowest", "highest")), index.groups)
-        .filter((rank > F.col("before")) & (rank <= F.col("before") + F.col("inside")))
-        .drop("inside")
+    starts = index.buckets.groupBy(*index.groups).agg(  # at most BUCKETS entries per group
+        F.sort_array(F.collect_list(F.struct("before", "bucket"))).alias("starts"))
+    found = F.get("starts", F.col("nth") - 1)
+    placed = settle(
+        _with_count_below(wanted.join(index.as_small(starts), index.groups),
+                          lambda i: F.get("starts", i)["before"], "rank", "nth")
+        .withColumns({"bucket": found["bucket"], "before": found["before"]})
+        .drop("starts", "nth")
     )
     values = ranks_within(index, placed.select(*index.bucket_key, "before").distinct()).withColumnRenamed(
         "last_rank", "rank")
