@@ -118,6 +118,8 @@ def values_at(index: RankIndex, wanted: DataFrame) -> DataFrame:
     starts = index.buckets.groupBy(*index.groups).agg(  # at most BUCKETS entries per group
         F.sort_array(F.collect_list(F.struct("before", "bucket"))).alias("starts"))
     found = F.get("starts", F.col("nth") - 1)
+    # written, because it is read twice and because filters on the result would otherwise be pushed
+    # down by inlining every step of the bisection
     placed = settle(
         _with_count_below(wanted.join(index.as_small(starts), index.groups),
                           lambda i: F.get("starts", i)["before"], "rank", "nth")
