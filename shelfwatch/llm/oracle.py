@@ -60,6 +60,38 @@ from parts p left join rules r
 group by row
 """
 
+DECONTAMINATION = r"""
+with docs as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), items as (
+  select cast(item_id as varchar) as item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark
+), windows as (
+  select distinct item_id, least(13, len(words)) as size, array_to_string(words[i:i + 12], ' ') as gram
+  from (select *, unnest(range(1, greatest(len(words) - 12, 1) + 1)) as i from items where len(words) > 0)
+), sizes as (select distinct size from windows
+), grams as (
+  select row, i, size, array_to_string(words[i:i + size - 1], ' ') as gram
+  from (select d.*, size, unnest(range(1, len(words) - size + 2)) as i from docs d, sizes where len(words) >= size)
+), hits as (
+  select row, i, w.size, item_id from grams g join windows w on g.size = w.size and g.gram = w.gram
+), counted as (
+  select row, count(distinct word) as n_hit
+  from (select row, unnest(range(i, i + size)) as word from hits) group by row
+), ids as (
+  select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct row, item_id from hits) group by row
+)
+select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(words) as contaminated
+from docs left join counted using (row) left join ids using (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": SOURCE_MIX, "op10_url_filter": URL_FILTER}
+    return {"op2_source_mix": SOURCE_MIX, "op9_decontamination": DECONTAMINATION, "op10_url_filter": URL_FILTER}

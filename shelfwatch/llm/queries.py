@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import mixing, shards, url_filter
+from shelfwatch.llm import decontaminate, licenses, mixing, pii, quality, shards, toxicity, url_filter
+from shelfwatch.llm.common import held_out
 
 # The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -24,20 +25,58 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_personal_data(spark, folder):
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(documents, pii.fit_selector(documents))
+    counts = [F.size(F.filter("pii.base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("pii.base")), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("pii.spans")).alias("spans"))
+
+
 def op2_source_mix(spark, folder):
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+def _scored(documents, score, threshold):
+    return documents.select("doc_id", score.alias("score")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark, folder):
+    documents = _table(spark, folder, "documents")
+    model = quality.train(documents, _table(spark, folder, "labels"))
+    return _scored(documents, quality.quality_score(documents, model), 0.5)
+
+
 def op5_byte_shards(spark, folder):
     return shards.shard_by_bytes(_table(spark, folder, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark, folder):
+    documents = _table(spark, folder, "documents")
+    model = toxicity.train(documents, _table(spark, folder, "labels"))
+    return _scored(documents, toxicity.toxicity_score(documents, model), 0.7)
+
+
+def op8_license_scan(spark, folder):
+    return licenses.scan_licenses(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", *[f"licenses.{c}" for c in (
+            "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+def op9_decontamination(spark, folder):
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_contamination(documents, _table(spark, folder, "benchmark")).select("doc_id", "contamination.*")
+
+
 def op10_url_filter(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mix, op5_byte_shards, op10_url_filter)}
+    return {f.__name__: f for f in (
+        op1_personal_data, op2_source_mix, op3_quality, op5_byte_shards, op7_toxicity, op8_license_scan, op9_decontamination, op10_url_filter)}
