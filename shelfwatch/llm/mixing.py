@@ -12,7 +12,7 @@ sums per source and task. A source that owns a third of all rows is no harder th
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; empty documents are taken 0
 words. The document in which the budget ends is taken if that comes nearer to the budget. Repeated rows (same id and text)
 share one hash: if the budget ends among them they share it evenly, in words. A source without words has target 0. An
-empty table gives an empty result. Further columns do not matter, those named like a result column are replaced.
+empty table gives an empty result. Further columns do not matter.
 """
 
 from __future__ import annotations
@@ -107,10 +107,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumn("digits", F.lit(digits))
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many of its words the mix takes, repeats counted."""
-    sized = store(
-        documents.select("doc_id", "source", words_in(text_of()).alias("size"), document_hash().alias("hash")), "mix-sizes")
+def _taken(sized: DataFrame) -> DataFrame:
+    """The rows of the stored table (source, size, hash and more) with source_size, target and taken, without source and
+    hash."""
     targets = store(source_targets(sized), "mix-targets")
     edges = thresholds(sized, targets)
     # digits is null where a source's budget ends with a whole round
@@ -122,7 +121,32 @@ def mix(documents: DataFrame) -> DataFrame:
         .otherwise(F.floor(F.col("size") * F.col("left") / F.col("inside")))
     )
     of_source = targets.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    kept = [c for c in sized.columns if c not in ("source", "hash")]
     return (
         sized.withColumnRenamed("source", "own").join(of_source, F.col("own").eqNullSafe(F.col("source")))
-        .select("doc_id", "size", "source_size", "target", (_rounds() * F.col("size") + extra).cast("bigint").alias("taken"))
+        .select(*kept, "source_size", "target", (_rounds() * F.col("size") + extra).cast("bigint").alias("taken"))
+    )
+
+
+def _sized(documents: DataFrame, *more: Column) -> DataFrame:
+    return store(documents.select(
+        *more, "source", words_in(text_of()).alias("size"), document_hash().alias("hash")), "mix-sizes")
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many of its words the mix takes, repeats counted."""
+    return _taken(_sized(documents, F.col("doc_id")))
+
+
+def mixed_documents(documents: DataFrame) -> DataFrame:
+    """The documents as often as the mix takes them (rounded, 0 to 2 times), with their own columns. Empty ones cost nothing
+    and stay once."""
+    numbered = store(documents.withColumn("_place", F.monotonically_increasing_id()), "mix-input")
+    taken = _taken(_sized(numbered, F.col("_place")))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    chosen = taken.select("_place", times.alias("_times")).filter("_times > 0")
+    return (
+        numbered.join(chosen, "_place")
+        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select(*documents.columns)
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import decontaminate, licenses, mixing, pii, quality, shards, toxicity, url_filter
+from shelfwatch.llm import decontaminate, licenses, mixing, ngram_join, pii, quality, shards, toxicity, url_filter, vector_graph
 from shelfwatch.llm.common import held_out
 
 # The rules of the URL query (host, path, verdict).
@@ -48,12 +48,20 @@ def op3_quality(spark, folder):
     return _scored(documents, quality.quality_score(documents, model), 0.5)
 
 
+def op4_vector_links(spark, folder):
+    return vector_graph.link_vectors(_table(spark, folder, "embeddings"))
+
+
 def op5_byte_shards(spark, folder):
     return shards.shard_by_bytes(_table(spark, folder, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_join(spark, folder):
+    return ngram_join.mark_groups(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_toxicity(spark, folder):
     documents = _table(spark, folder, "documents")
     model = toxicity.train(documents, _table(spark, folder, "labels"))
@@ -76,6 +84,13 @@ def op10_url_filter(spark, folder):
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark, folder):
+    from corpus_pipeline import run  # which imports this module
+
+    return run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_personal_data, op2_source_mix, op3_quality, op5_byte_shards, op7_toxicity, op8_license_scan, op9_decontamination, op10_url_filter)}
+        op1_personal_data, op2_source_mix, op3_quality, op4_vector_links, op5_byte_shards, op6_ngram_join, op7_toxicity,
+        op8_license_scan, op9_decontamination, op10_url_filter, pipeline)}
