@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwatch.functions.stored import store
+from shelfwatch.functions.workers import importable
 from shelfwatch.llm import decontaminate, mixing, ngram_join, quality, shards
 from shelfwatch.llm.queries import SHARDS
 
@@ -48,6 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's result is written and read by the next."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)

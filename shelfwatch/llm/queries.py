@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.workers import importable
 from shelfwatch.llm import decontaminate, licenses, mixing, ngram_join, pii, quality, shards, toxicity, url_filter, vector_graph
 from shelfwatch.llm.common import held_out
 
@@ -90,7 +91,18 @@ def pipeline(spark, folder):
     return run(spark, folder)
 
 
+QUERIES = (
+    op1_personal_data, op2_source_mix, op3_quality, op4_vector_links, op5_byte_shards, op6_ngram_join, op7_toxicity,
+    op8_license_scan, op9_decontamination, op10_url_filter, pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
-        op1_personal_data, op2_source_mix, op3_quality, op4_vector_links, op5_byte_shards, op6_ngram_join, op7_toxicity,
-        op8_license_scan, op9_decontamination, op10_url_filter, pipeline)}
+    def with_workers(query):
+        def run(spark, folder):
+            importable(spark)
+            return query(spark, folder)
+
+        return run
+
+    return {q.__name__: with_workers(q) for q in QUERIES}
