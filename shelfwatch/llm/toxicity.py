@@ -5,8 +5,9 @@ identity terms swapped for another of the same group, and is penalised for the s
 group must not move the score by themselves, only what is said.
 
 - Fitting takes about ``TRAIN_DOCUMENTS`` labelled documents (chosen by the hash of their id). Spark counts, over all of
-  them, in how many toxic and other documents each feature occurs; the ``FEATURES`` that tell most are kept (at the driver:
-  those and their weights). The fit itself is a logistic regression over that bounded sample, from zero, full batch.
+  them, in how many toxic and other documents each feature occurs; of the features whose two shares differ by more than
+  chance the ``FEATURES`` that tell most are kept (at the driver: those and their weights). The fit itself is a logistic
+  regression over that bounded sample, from zero, full batch.
 - A feature counts once in a document, however often it occurs and however long the text is, and features that say little
   are not in the model: length alone does not make a text toxic.
 - Scoring is one pass over all whole texts in Arrow batches; nothing is shuffled.
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.stored import store
 from shelfwatch.llm.common import WORD, text_of, training_rows
 
-TRAIN_DOCUMENTS = 12_000  # bound of the fitting sample
+TRAIN_DOCUMENTS = 8000  # bound of the fitting sample
 FEATURES = 2048
-LEAST_DOCUMENTS = 4       # a feature must occur in
-BEGINNINGS = (4, 5, 6)    # characters
+LEAST_DOCUMENTS = 4     # a feature must occur in
+LEAST_Z = 4.5           # standard errors between its shares of toxic and of other documents
+BEGINNINGS = (4, 5, 6)  # characters
 STEPS, RATE, DECAY, FAIRNESS = 300, 0.1, 2e-4, 5.0
 
 # Identity terms by group; a term is swapped for the next of its group.
@@ -62,12 +64,17 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass
 class WordModel:
+    """Weights of words, and of beginnings by their length."""
+
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
+    words: dict[str, float] = field(default_factory=dict)
+    beginnings: dict[int, dict[str, float]] = field(default_factory=dict)
 
     def score(self, text: str) -> float:
-        known = self.weights
-        total = self.bias + sum(known[f] for f in features(set(_words(text.lower()))) if f in known)
+        words = set(_words(text.lower()))
+        total = self.bias + sum(self.words[w] for w in words & self.words.keys())
+        for n, known in self.beginnings.items():
+            total += sum(known[w] for w in {w[:n] for w in words if len(w) > n} & known.keys())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
@@ -109,12 +116,13 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS)
         return WordModel(bias=30.0 if toxic else -30.0)
     other = all_rows - toxic
     in_toxic, in_other = (F.col("toxic") + 0.1) / (toxic + 0.2), (F.col("n") - F.col("toxic") + 0.1) / (other + 0.2)
-    # signed root of the likelihood-ratio statistic of the two shares, larger is more telling
     telling = F.abs(in_toxic - in_other) * F.abs(F.log(in_toxic / in_other))
+    share = F.col("n") / all_rows
+    z = F.abs(in_toxic - in_other) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / other))
     chosen = [r["feature"] for r in (
         sample.select("label", F.explode("features").alias("feature"))
         .groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-        .filter(F.col("n") >= LEAST_DOCUMENTS)
+        .filter((F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") < all_rows) & (z >= LEAST_Z))
         .orderBy(telling.desc(), "feature").limit(FEATURES).collect()
     )]
     index = {f: i for i, f in enumerate(chosen)}
@@ -129,7 +137,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS)
         for matrix, have in ((present, own), (swapped, (own - gone) | features(swap_identities(set(row["terms"]))))):
             matrix[i, [index[f] for f in have if f in index]] = 1
     w, b = _fit(present, swapped, np.array([r["label"] for r in held], np.float32))
-    return WordModel(b, {f: float(w[i]) for f, i in index.items() if w[i]})
+    weights = {f: float(w[i]) for f, i in index.items()}
+    return WordModel(b, {f: v for f, v in weights.items() if not f.endswith("-")}, {
+        n: {f[:-1]: v for f, v in weights.items() if f.endswith("-") and len(f) == n + 1} for n in BEGINNINGS})
 
 
 def toxicity_score(documents: DataFrame, model: WordModel) -> Column:
