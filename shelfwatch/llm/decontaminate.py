@@ -70,7 +70,8 @@ def _count_shingles(documents: DataFrame, wanted: set, singles: bool) -> dict:
                 found.update(filter(wanted.__contains__, zip(words, words[1:])))
                 if singles:
                     found.update(filter(wanted.__contains__, zip(words)))
-        yield pd.DataFrame({"shingle": [" ".join(s) for s in found], "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"shingle": [" ".join(s) for s in found], "n": list(found.values())})
 
     rows = (
         documents.select(ascii_lower(text_of()).alias("text")).mapInPandas(count, "shingle string, n bigint")
@@ -112,7 +113,7 @@ def _add_spans(documents: DataFrame, filed: dict, singles: bool, into: str) -> D
         for value, known in zip(texts, earlier):
             words = _words(value)
             n_words.append(len(words))
-            found.append([*known, *_occurrences(words, filed, singles)])
+            found.append([(s["start"], s["end"], s["item_id"]) for s in known] + [*_occurrences(words, filed, singles)])
         return pd.DataFrame({"n_words": n_words, "spans": found})
 
     scanned = F.pandas_udf(scan, f"n_words bigint, spans {SPANS}")
