@@ -1,143 +1,106 @@
 """Exact ranks and quantiles without putting a whole group into one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer and an ordered window
-puts the whole group into one task. Neither survives a group that holds a third of all rows. Here a
-group is cut into value ranges first:
-
-1. equal values collapse to one row with a count (map-side combined), written once;
-2. a mergeable quantile sketch per group proposes cut points, written as well, so that every later
-   branch and every retried task sees the same ones;
-3. each value falls into the bucket given by the number of cut points below it;
-4. per-bucket counts give each bucket its rank offset (at most ``BUCKETS`` rows per group, written);
-5. only buckets that hold a wanted rank are sorted: a running sum inside (group, bucket) adds the rest
-   of the rank.
-
-The sketch only decides how even the buckets are. Any cut points give the same, exact ranks. A table of
-few distinct values needs no cuts: each group is one bucket.
+``percentile`` keeps every distinct value of a group in one aggregation buffer and an ordered window puts the whole group
+into one task. Neither survives a group that holds a third of all rows. Here the values are ordered by ranges:
+
+1. equal values collapse to one row with a count (map-side combined);
+2. these rows are range-partitioned by group and value and written once, each with the number of its partition, so a large
+   group lies in many partitions;
+3. the counts per group and partition give each partition its rank offset within the group;
+4. a running sum inside (group, partition) adds the rest of the rank.
+
+There is one path for tables of any size; the number of partitions is the session's shuffle setting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.lineage import fits, settle
-
-BUCKETS = 512  # a power of two
-ONE_BUCKET_ROWS = 200_000  # distinct values, over all groups, that one task may sort
-
-
-def collapse(df: DataFrame, groups: list[str], value: Column | str) -> DataFrame:
-    """One row per group and distinct value (NULL included) with its number of rows, ``ties``.
-
-    Runs a job: the input is read once, here, however often the result is used.
-    """
-    value = F.col(value) if isinstance(value, str) else value
-    return settle(df.groupBy(*groups, value.alias("value")).agg(F.count("*").alias("ties")))
+from shelfwatch.functions.stored import store
 
 
 @dataclass(frozen=True)
 class RankIndex:
-    """``values``: groups, bucket, value, ties. ``buckets``: groups, bucket, before, inside, lowest,
-    highest — rank offset, size and value range of each bucket."""
+    """``values``: groups, value (NULL included), ties, part. Read once from the input, however often it is used."""
 
     groups: list[str]
     values: DataFrame
-    buckets: DataFrame
-    small: bool  # the bucket table, and any selection from it, may be broadcast
 
     @property
-    def bucket_key(self) -> list[str]:
-        return [*self.groups, "bucket"]
-
-    def sizes(self) -> DataFrame:
-        """Number of ranked rows per group, ``n``."""
-        return self.buckets.groupBy(*self.groups).agg(F.sum("inside").alias("n"))
-
-    def as_small(self, selection: DataFrame) -> DataFrame:
-        return F.broadcast(selection) if self.small else selection
-
-
-def _with_count_below(df: DataFrame, ascending: Callable[[Column], Column], value: str, name: str) -> DataFrame:
-    """Add ``name``: how many entries of an ascending array lie below ``value``, by bisection.
-
-    ``ascending(i)`` is the i-th entry, NULL past the end. A handful of lookups per row, whatever the
-    array's length, in place of a join that pairs each row with every entry.
-    """
-    step, df = BUCKETS, df.withColumn(name, F.lit(0))
-    while step:
-        probe = F.col(name) + step
-        df = df.withColumn(name, F.when(ascending(probe - 1) < F.col(value), probe).otherwise(F.col(name)))
-        step //= 2
-    return df
-
-
-def rank_index(collapsed: DataFrame, groups: list[str]) -> RankIndex:
-    """Prepare ranks of the non-NULL values of a collapsed table within each group. Runs small jobs
-    on the written values."""
-    known = collapsed.filter(F.col("value").isNotNull())
-    if known.count() <= ONE_BUCKET_ROWS:
-        values, small = known.withColumn("bucket", F.lit(0)), True
-    else:
-        cuts = settle(known.groupBy(*groups).agg(F.percentile_approx(
-            "value", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts")))
-        small = fits(cuts, row_bytes=16 * BUCKETS)
-        values = _with_count_below(
-            known.join(F.broadcast(cuts) if small else cuts, groups), lambda i: F.get("cuts", i), "value", "bucket"
-        ).drop("cuts")
-    earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = settle(
-        values.groupBy(*groups, "bucket")
-        .agg(F.sum("ties").alias("inside"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
-        .withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
-    )
-    return RankIndex(groups, values, buckets, small)
+    def part_key(self) -> list[str]:
+        return [*self.groups, "part"]
 
+    @property
+    def known(self) -> DataFrame:
+        return self.values.filter(F.col("value").isNotNull())
 
-def ranks_within(index: RankIndex, chosen: DataFrame) -> DataFrame:
-    """Values of the chosen buckets (rows with group, bucket, before) with ``last_rank``, the highest
-    1-based rank among their ties."""
-    upto = (
-        Window.partitionBy(*index.bucket_key).orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return index.values.join(index.as_small(chosen.select(*index.bucket_key, "before")), index.bucket_key).select(
-        *index.bucket_key, "value", (F.col("before") + F.sum("ties").over(upto)).alias("last_rank")
+    def sizes(self) -> DataFrame:
+        """Number of values per group, ``n``."""
+        return self.known.groupBy(*self.groups).agg(F.sum("ties").alias("n"))
+
+    def offsets(self) -> DataFrame:
+        """groups, part, before: how many values of the group lie in earlier partitions. A row per group and partition."""
+        earlier = Window.partitionBy(*self.groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        return (
+            self.known.groupBy(*self.part_key).agg(F.sum("ties").alias("inside"))
+            .select(*self.part_key, F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before"))
+        )
+
+    def ranks(self) -> DataFrame:
+        """groups, part, value, ties, last_rank: the highest 1-based rank among the ties."""
+        upto = (
+            Window.partitionBy(*self.part_key).orderBy("value")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return (
+            self.known.withColumn("within", F.sum("ties").over(upto))
+            .join(self.offsets(), self.part_key)
+            .select(*self.part_key, "value", "ties", (F.col("before") + F.col("within")).alias("last_rank"))
+        )
+
+
+def rank_index(df: DataFrame, groups: list[str], value: Column | str) -> RankIndex:
+    """Collapse, order and write the values of each group. Runs the jobs that do so."""
+    value = F.col(value) if isinstance(value, str) else value
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        df.groupBy(*groups, value.alias("value")).agg(F.count("*").alias("ties"))
+        .repartitionByRange(parts, *groups, "value")
+        .withColumn("part", F.spark_partition_id())
     )
+    return RankIndex(groups, store(ordered, "ranks"))
 
 
 def values_at(index: RankIndex, wanted: DataFrame) -> DataFrame:
     """Add ``value``, the order statistic at ``rank``, to every row of ``wanted``.
 
-    A rank is placed in its bucket by bisection of the group's rank offsets. Inside the bucket, wanted ranks and values
-    are merged in rank order and each rank takes the nearest value at or above it: one pass, no pairs.
+    Wanted ranks and the first ranks of the partitions are merged in rank order, which places each rank in a partition (as
+    many rows per group as there are partitions and wanted ranks). Inside the partition, wanted ranks and values are merged
+    the same way and each rank takes the nearest value at or above it. One pass each, no pairs.
     """
-    starts = index.buckets.groupBy(*index.groups).agg(  # at most BUCKETS entries per group
-        F.sort_array(F.collect_list(F.struct("before", "bucket"))).alias("starts"))
-    found = F.get("starts", F.col("nth") - 1)
-    # written, because it is read twice and because filters on the result would otherwise be pushed
-    # down by inlining every step of the bisection
-    placed = settle(
-        _with_count_below(wanted.join(index.as_small(starts), index.groups),
-                          lambda i: F.get("starts", i)["before"], "rank", "nth")
-        .withColumns({"bucket": found["bucket"], "before": found["before"]})
-        .drop("starts", "nth")
+    starts = index.offsets().select(*index.groups, (F.col("before") + 1).alias("rank"), "part", F.lit(False).alias("wanted"))
+    so_far = (
+        Window.partitionBy(*index.groups).orderBy("rank", "wanted")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = (
+        starts.unionByName(wanted.withColumn("wanted", F.lit(True)), allowMissingColumns=True)
+        .withColumn("part", F.last("part", ignorenulls=True).over(so_far))
+        .filter("wanted")
     )
-    values = ranks_within(index, placed.select(*index.bucket_key, "before").distinct()).withColumnRenamed(
-        "last_rank", "rank")
     from_above = (
-        Window.partitionBy(*index.bucket_key).orderBy(F.desc("rank"), F.col("wanted"))
+        Window.partitionBy(*index.part_key).orderBy(F.desc("rank"), F.col("wanted"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        values.withColumn("wanted", F.lit(False))
-        .unionByName(placed.drop("before").withColumn("wanted", F.lit(True)), allowMissingColumns=True)
+        index.ranks().select(*index.part_key, "value", F.col("last_rank").alias("rank"), F.lit(False).alias("wanted"))
+        .unionByName(placed, allowMissingColumns=True)
         .withColumn("value", F.last("value", ignorenulls=True).over(from_above))
         .filter("wanted")
-        .drop("wanted", "bucket")
+        .drop("wanted", "part")
     )
 
 

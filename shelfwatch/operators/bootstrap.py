@@ -8,21 +8,17 @@ of a *rank*, not n draws of a value, and the values only have to be looked up at
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import RankIndex, collapse, medians, rank_index, values_at
+from shelfwatch.functions.ranking import RankIndex, medians, rank_index, values_at
+from shelfwatch.functions.workers import importable
 from shelfwatch.params import Params
 
-# the draws travel to Python workers, which need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # metric name in the summary -> column of the event table
 METRICS = {"uplift": "uplift", "dip": "post_dip", "net": "net_lift"}
 
@@ -42,7 +38,12 @@ def median_ranks(n: int, draws: int, rng: np.random.Generator) -> tuple[np.ndarr
 
 def _rank_draws(sizes: DataFrame, groups: list[str], resamples: int, seed: int) -> DataFrame:
     """``resamples`` rank pairs per group. The stream is seeded by the group's own key, so the result
-    does not depend on how groups are spread over tasks."""
+    does not depend on how groups are spread over tasks.
+
+    Meant for groups that are few against the rows, such as families: a group costs ``resamples`` draws and twice as many
+    rows in the lookup, however many values it holds.
+    """
+    importable(sizes.sparkSession)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,34 +86,45 @@ def median_intervals(index: RankIndex, resamples: int, seed: int, min_rows: int
 
 def bootstrap_median_ci(df: DataFrame, groups: list[str], value: str, resamples: int, seed: int) -> DataFrame:
     """``median_intervals`` of a plain column. NULL values are ignored."""
-    return median_intervals(rank_index(collapse(df, groups, value), groups), resamples, seed)
+    return median_intervals(rank_index(df, groups, value), resamples, seed)
+
 
+def order_intervals(index: RankIndex, min_rows: int = 1, widths: float = 1.96) -> DataFrame:
+    """Median with an interval of two order statistics per group: groups, median, lo, hi.
 
-def _metric_values(events: DataFrame, p: Params) -> DataFrame:
-    """(family, metric, value, ties) of the families with enough events; one pass over the events."""
+    How many of n values lie below the median is binomial, so the order statistics about ``widths`` * sqrt(n) / 2 ranks
+    from the middle enclose it. Free of draws, and what the bootstrap comes to for large n.
+    """
+    groups, n = index.groups, F.col("n")
+    half = F.lit(widths) * F.sqrt(n) / 2
+    ends = {"lo": F.greatest(F.floor(n / 2 - half), F.lit(1)), "hi": F.least(F.ceil(n / 2 + half) + 1, n)}
+    wanted = index.sizes().filter(n >= min_rows).select(
+        *groups, "n", F.explode(F.create_map(*[x for k, v in ends.items() for x in (F.lit(k), v.cast("bigint"))])).alias("end", "rank"))
+    found = values_at(index, wanted).groupBy(*groups).agg(
+        *[F.max(F.when(F.col("end") == e, F.col("value"))).alias(e) for e in ends])
+    return medians(index, min_rows).select(*groups, "median").join(found, groups)
+
+
+def _metric_values(events: DataFrame, p: Params) -> tuple[RankIndex, DataFrame]:
+    """(family, metric) values, written in one pass over the events, and the families with enough events."""
     stacked = events.filter(F.col("family").isNotNull()).select(
         "family",
         F.explode(F.create_map(*[x for m, c in METRICS.items() for x in (F.lit(m), F.col(c))])).alias("metric", "v"),
     )
-    per_metric = collapse(stacked, ["family", "metric"], "v")
-    enough = (
-        per_metric.filter(F.col("metric") == "uplift")  # every event has one row per metric, NULL or not
-        .groupBy("family").agg(F.sum("ties").alias("n_events"))
-        .filter(F.col("n_events") >= p.min_family_events)
+    index = rank_index(stacked, ["family", "metric"], "v")
+    # every event has one row per metric, NULL or not
+    count_of = lambda metric, known: F.coalesce(
+        F.sum(F.when((F.col("metric") == metric) & known, F.col("ties"))), F.lit(0))
+    there = F.col("value").isNotNull()
+    counts = index.values.groupBy("family").agg(
+        count_of("uplift", F.lit(True)).alias("n_events"),
+        count_of("dip", there).alias("n_dip_events"), count_of("net", there).alias("n_net_events"),
     )
-    return per_metric.join(enough, "family")
+    return index, counts.filter(F.col("n_events") >= p.min_family_events)
 
 
-def _family_table(values: DataFrame, estimates: DataFrame, columns: list[str]) -> DataFrame:
+def _family_table(counts: DataFrame, estimates: DataFrame, columns: list[str]) -> DataFrame:
     """Spread (family, metric) estimates over columns, beside the number of values behind each."""
-
-    def count_of(metric: str):
-        known = (F.col("metric") == metric) & F.col("value").isNotNull()
-        return F.coalesce(F.sum(F.when(known, F.col("ties"))), F.lit(0))
-
-    counts = values.groupBy("family", "n_events").agg(
-        count_of("dip").alias("n_dip_events"), count_of("net").alias("n_net_events")
-    )
     spread = estimates.groupBy("family").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in columns
     ])
@@ -124,19 +136,40 @@ def _family_table(values: DataFrame, estimates: DataFrame, columns: list[str]) -
     ).orderBy(F.desc("uplift_median"), "family")
 
 
-def family_summary(events: DataFrame, p: Params) -> DataFrame:
-    """Median uplift, post-promotion dip and net lift per family with bootstrap 95% intervals.
+def family_summary(events: DataFrame, p: Params, interval: str = "bootstrap") -> DataFrame:
+    """Median uplift, post-promotion dip and net lift per family with 95% intervals: "bootstrap", or "order" for those of
+    order statistics.
 
     Families with too few events are skipped. Dip and net lift exist only for events with a quiet week
     after, so they have their own counts and are NULL below the minimum. Best uplift first.
     """
-    values = _metric_values(events, p)
-    index = rank_index(values, ["family", "metric"])
-    intervals = median_intervals(index, p.bootstrap_resamples, p.seed, p.min_family_events)
-    return _family_table(values, intervals, ["median", "lo", "hi"])
+    index, counts = _metric_values(events, p)
+    if interval == "bootstrap":
+        intervals = median_intervals(index, p.bootstrap_resamples, p.seed, p.min_family_events)
+    elif interval == "order":
+        intervals = order_intervals(index, p.min_family_events)
+    else:
+        raise ValueError(f"interval must be 'bootstrap' or 'order', not {interval!r}")
+    return _family_table(counts, intervals, ["median", "lo", "hi"])
 
 
 def family_medians(events: DataFrame, p: Params) -> DataFrame:
     """The medians of ``family_summary`` alone, without the intervals."""
-    values = _metric_values(events, p)
-    return _family_table(values, medians(rank_index(values, ["family", "metric"]), p.min_family_events), ["median"])
+    index, counts = _metric_values(events, p)
+    return _family_table(counts, medians(index, p.min_family_events), ["median"])
+
+
+def interval_brackets(events: DataFrame, p: Params, widths: float = 4.0) -> DataFrame:
+    """Whether the bootstrap intervals lie where they must, per family and metric: around the median, and within the order
+    statistics ``widths`` standard deviations of rank from the middle. n, median and those two are exact."""
+    index, counts = _metric_values(events, p)
+    drawn = median_intervals(index, p.bootstrap_resamples, p.seed, p.min_family_events)
+    outer = order_intervals(index, p.min_family_events, widths).select(
+        "family", "metric", F.col("lo").alias("outer_lo"), F.col("hi").alias("outer_hi"))
+    return (
+        drawn.join(outer, ["family", "metric"]).join(index.sizes(), ["family", "metric"])
+        .join(counts.select("family"), "family", "left_semi")
+        .select("family", "metric", "n", "median", "outer_lo", "outer_hi",
+                F.col("median").between(F.col("lo"), F.col("hi")).alias("holds_median"),
+                (F.col("lo") >= F.col("outer_lo")).alias("lo_inside"), (F.col("hi") <= F.col("outer_hi")).alias("hi_inside"))
+    )

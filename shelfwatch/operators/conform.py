@@ -11,6 +11,8 @@ from shelfwatch.params import Params
 # The holiday types that close or change a trading day nationally.
 NATIONAL_TYPES = ["Holiday", "Transfer", "Additional", "Bridge"]
 
+MOST_DAYS = 100 * 366  # that a calendar may span
+
 
 def sales_daily(train: DataFrame, p: Params) -> DataFrame:
     """One row per store, item and day, with returns kept apart from units sold.
@@ -51,7 +53,10 @@ def dim_date(sales: DataFrame, store_days: DataFrame, holidays: DataFrame) -> Da
     edges = sales.select("date").unionByName(store_days.select("date")).agg(
         F.min("date").alias("first"), F.max("date").alias("last")
     )
-    days = edges.filter(F.col("first").isNotNull()).select(F.explode(F.sequence("first", "last")).alias("date"))
+    # one wrong date far off would make a calendar that cannot be sent out
+    span = F.datediff("last", "first")
+    last = F.when(span > MOST_DAYS, F.raise_error(F.lit(f"the dates span more than {MOST_DAYS} days"))).otherwise(F.col("last"))
+    days = edges.filter(F.col("first").isNotNull()).select(F.explode(F.sequence("first", last)).alias("date"))
     holiday = holidays.select("date", F.lit(True).alias("holiday"))
     weekday = F.weekday("date") + 1
     return (

@@ -1,63 +1,71 @@
-"""Data checks that gate publication. Each check yields a number of violations; 0 passes."""
+"""Data checks that gate publication. Each check yields a number of violations; 0 passes.
+
+Each fact is read once: rows are counted per key, the dimensions are looked up for the keys, and one aggregate holds what all
+checks of that fact need.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["date_key", "store_key", "item_key"]
+EXACT = "decimal(38,6)"  # the sum of doubles depends on the order of addition
 
 
 class ChecksFailed(RuntimeError):
     """Raised before anything is published when a check has violations."""
 
 
-def _as_check(name: str, one_number: DataFrame) -> DataFrame:
-    return one_number.select(F.lit(name).alias("check"), F.col("found").cast("bigint").alias("violations"))
-
-
-def duplicate_keys(fact: DataFrame) -> DataFrame:
-    """Rows beyond the first of their key. A row with a missing key part counts as a violation."""
-    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in KEY])
-    surplus = F.when(incomplete, F.col("n")).otherwise(F.col("n") - 1)
-    return fact.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("found"))
-
+def _whole(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
-def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing from the dimension. Rows are counted per key first, so the join sees each
-    key once however many rows share it."""
-    per_key = fact.groupBy(key).agg(F.count("*").alias("n"))
-    return per_key.join(dim.select(key), key, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
 
-
-def row_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.agg(F.count("*").alias("n")).select(F.abs(F.col("n") - right.agg(F.count("*")).scalar()).alias("found"))
-
-
-def total_differs(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """1 when the totals differ. Summed as DECIMAL: the sum of doubles depends on the order of addition."""
-    total = F.sum(F.col(column).cast("decimal(38,6)"))
-    same = F.col("total") == right.agg(total).scalar()
-    return left.agg(total.alias("total")).select(F.when(same, 0).otherwise(1).alias("found"))
+def fact_measures(fact: DataFrame, dimensions: dict[str, DataFrame], units: str | None = None) -> DataFrame:
+    """One row about a fact: ``rows``; ``duplicates``, rows beyond the first of their key, all of them where a part of the key
+    is missing; ``orphans_<key>``, rows whose key the dimension lacks; ``units``, the exact total of that column."""
+    total = F.sum(F.col(units).cast(EXACT)) if units else F.lit(None).cast(EXACT)
+    keyed = fact.groupBy(*KEY).agg(F.count("*").alias("n"), total.alias("units"))
+    for key, dimension in dimensions.items():
+        keyed = keyed.join(dimension.select(key).distinct().withColumn(f"has_{key}", F.lit(True)), key, "left")
+    incomplete = reduce(Column.__or__, [F.col(c).isNull() for c in KEY])
+    n = F.col("n")
+    return keyed.agg(
+        _whole(n).alias("rows"),
+        _whole(F.when(incomplete, n).otherwise(n - 1)).alias("duplicates"),
+        F.sum("units").alias("units"),
+        *[_whole(F.when(F.col(f"has_{key}").isNull(), n)).alias(f"orphans_{key}") for key in dimensions],
+    )
 
 
 def dq_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """All checks as one table (check, violations)."""
-    fact, risk = tables["fact_sales"], tables["fact_stockout_risk"]
+    stores, items, dates = (tables[t] for t in ("stg_store", "stg_item", "dim_date"))
+    sales = tables["sales"].agg(F.count("*").alias("rows"), F.sum(F.col("units").cast(EXACT)).alias("units"))
+    measured = {
+        "sales": sales,
+        "fact": fact_measures(tables["fact_sales"], {"store_key": stores, "item_key": items, "date_key": dates}, "units"),
+        "risk": fact_measures(tables["fact_stockout_risk"], {"date_key": dates}),
+    }
+    one_row_each = [df.withColumnsRenamed({c: f"{name}_{c}" for c in df.columns}) for name, df in measured.items()]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_each)
+    c = {name: F.col(name) for name in stacked.columns}
     # The names under which the checks report.
-    checks = {
-        "fact_sales_duplicate_keys": duplicate_keys(fact),
-        "fact_stockout_risk_duplicate_keys": duplicate_keys(risk),
-        "fact_sales_orphan_store": orphans(fact, tables["stg_store"], "store_key"),
-        "fact_sales_orphan_item": orphans(fact, tables["stg_item"], "item_key"),
-        "fact_sales_orphan_date": orphans(fact, tables["dim_date"], "date_key"),
-        "fact_stockout_risk_orphan_date": orphans(risk, tables["dim_date"], "date_key"),
-        "rows_silver_vs_gold": row_difference(tables["sales"], fact),
-        "units_silver_vs_gold": total_differs(tables["sales"], fact, "units"),
+    violations = {
+        "fact_sales_duplicate_keys": c["fact_duplicates"],
+        "fact_stockout_risk_duplicate_keys": c["risk_duplicates"],
+        "fact_sales_orphan_store": c["fact_orphans_store_key"],
+        "fact_sales_orphan_item": c["fact_orphans_item_key"],
+        "fact_sales_orphan_date": c["fact_orphans_date_key"],
+        "fact_stockout_risk_orphan_date": c["risk_orphans_date_key"],
+        "rows_silver_vs_gold": F.abs(c["sales_rows"] - c["fact_rows"]),
+        "units_silver_vs_gold": F.when(c["sales_units"].eqNullSafe(c["fact_units"]), 0).otherwise(1),
     }
-    return reduce(DataFrame.unionByName, [_as_check(name, df) for name, df in checks.items()])
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns]).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("check"), value.cast("bigint").alias("violations")) for name, value in violations.items()
+    ])))
 
 
 def failing(checks: DataFrame) -> DataFrame:

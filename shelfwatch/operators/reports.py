@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import collapse, medians, quantile, rank_index
+from shelfwatch.functions.ranking import medians, quantile, rank_index
 
 HISTOGRAM_BINS = 60
 
@@ -40,7 +40,7 @@ def layer_profile(tables: dict[str, DataFrame]) -> DataFrame:
 def uplift_ranking(summary: DataFrame) -> DataFrame:
     """Median uplift per family in percent with the two error-bar lengths, best family first."""
     mid = F.col("uplift_median")
-    best = summary.agg(F.max_by("family", mid)).scalar()
+    best = summary.agg(F.max(F.struct(mid, "family"))["family"]).scalar()  # of equal ones the last by name
     return summary.select(
         "family", "n_events",
         _percent(mid).alias("uplift_pct"),
@@ -75,7 +75,7 @@ def payday_gap(events: DataFrame, min_events: int) -> DataFrame:
     a family need at least ``min_events`` events."""
     groups = ["family", "touches_payday_or_holiday"]
     known = events.filter(F.col("family").isNotNull() & F.col("touches_payday_or_holiday").isNotNull())
-    typical = medians(rank_index(collapse(known, groups, "uplift"), groups), min_events)
+    typical = medians(rank_index(known, groups, "uplift"), min_events)
     return (
         typical.groupBy("family")
         .pivot("touches_payday_or_holiday", [False, True]).agg(F.max("median"))
@@ -92,18 +92,13 @@ def payday_headline(gaps: DataFrame) -> DataFrame:
     return gaps.agg(F.count_if(F.col("gap") > 0).alias("inflated"), F.count("*").alias("families"))
 
 
-def _labelled(weekly: DataFrame) -> DataFrame:
-    label = F.concat(F.lit("Store "), F.col("store_key").cast("string"), F.lit(" · "), F.coalesce("city", F.lit("?")))
-    return weekly.withColumn("label", label)
-
-
 def store_stockout_rank(weekly: DataFrame) -> DataFrame:
     """Stores by share of tested item-days inside a flagged run over the whole window, worst first."""
     return (
-        _labelled(weekly).groupBy("label")
+        weekly.groupBy("store_key", "city")
         .agg(F.sum("flagged_days").alias("flagged_days"), F.sum("item_days").alias("item_days"))
         .withColumn("rate", F.col("flagged_days") / F.col("item_days"))
-        .orderBy(F.desc("rate"), "label")
+        .orderBy(F.desc("rate"), "store_key")
     )
 
 
@@ -118,32 +113,31 @@ def stockout_grid(weekly: DataFrame) -> DataFrame:
     Each store lists the weeks between the first and the last one seen; weeks nobody was tested in are
     dropped again. Only equi-joins are involved.
     """
-    cells = _labelled(weekly)
-    weeks = cells.select("week_start").distinct()
+    weeks = weekly.select("week_start").distinct()
     first, last = weeks.agg(F.min("week_start")).scalar(), weeks.agg(F.max("week_start")).scalar()
     return (
-        cells.select("label").distinct()
+        weekly.select("store_key", "city").distinct()
         .withColumn("first", first).withColumn("last", last)
-        .select("label", F.explode(F.sequence("first", "last", F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
+        .select("store_key", "city", F.explode(F.sequence("first", "last", F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
         .join(weeks, "week_start", "left_semi")
-        .join(cells.groupBy("label", "week_start").agg(F.sum("rate").alias("rate")), ["label", "week_start"], "left")
-        .select("label", "week_start", F.round(F.col("rate") * 100, 4).alias("rate_pct"))
+        .join(weekly.groupBy("store_key", "week_start").agg(F.sum("rate").alias("rate")), ["store_key", "week_start"], "left")
+        .select("store_key", "city", "week_start", F.round(F.col("rate") * 100, 4).alias("rate_pct"))
     )
 
 
 def stockout_grid_cap(weekly: DataFrame) -> DataFrame:
     """The 95th percentile of the heat-map cells: the top of its colour scale."""
     cells = weekly.groupBy("store_key", "week_start").agg(F.round(F.sum("rate") * 100, 4).alias("rate_pct"))
-    index = rank_index(collapse(cells.withColumn("grid", F.lit(1)), ["grid"], "rate_pct"), ["grid"])
+    index = rank_index(cells.withColumn("grid", F.lit(1)), ["grid"], "rate_pct")
     return quantile(index, 0.95, "cap_pct").select("cap_pct")
 
 
 def dispersion_headline(dispersion: DataFrame) -> DataFrame:
     """One row: exact median dispersion and the share of store-items above 1. One pass over the input."""
-    values = collapse(dispersion.withColumn("all", F.lit(1)), ["all"], "dispersion")
+    index = rank_index(dispersion.withColumn("all", F.lit(1)), ["all"], "dispersion")
     above = F.sum(F.when(F.col("value") > 1, F.col("ties")).otherwise(0))
-    share = values.filter(F.col("value").isNotNull()).agg((above / F.sum("ties")).alias("share_over_1"))
-    median = medians(rank_index(values, ["all"])).select("median")
+    share = index.known.agg((above / F.sum("ties")).alias("share_over_1"))
+    median = medians(index).select("median")
     return share.select(median.scalar().alias("median_dispersion"), "share_over_1")
 
 

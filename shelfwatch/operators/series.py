@@ -7,11 +7,11 @@ calendar, whatever the sales volume behind a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.dates import date_key
-from shelfwatch.functions.lineage import broadcast_checked, settle
+from shelfwatch.functions.stored import store
 from shelfwatch.params import Params
 
 PAIR = ["store_nbr", "item_nbr"]
@@ -22,13 +22,18 @@ def _history_start(p: Params):
     return F.date_sub(F.lit(p.window_start), 2 * p.lookback_days)
 
 
+def _sold_enough(sold: Column, p: Params) -> Column:
+    """Whether a store-item could ever reach the rate threshold. Rounded: the order of addition must not decide."""
+    return F.round(sold, 6) >= p.min_expected_units * p.lookback_days
+
+
 def eligible_pairs(sales: DataFrame, p: Params) -> DataFrame:
     """Store-items that sold enough to ever reach the rate threshold, with their first and last sale."""
     return (
         sales.filter(F.col("date") >= _history_start(p))
         .groupBy(*PAIR)
         .agg(F.min("date").alias("first_sale"), F.max("date").alias("last_sale"), F.sum("units").alias("sold"))
-        .filter(F.col("sold") >= p.min_expected_units * p.lookback_days)
+        .filter(_sold_enough(F.col("sold"), p))
         .drop("sold")
     )
 
@@ -56,11 +61,11 @@ def full_trading_days(store_days: DataFrame, p: Params) -> DataFrame:
 def calendar_lookup(calendar: DataFrame) -> DataFrame:
     """The store calendar as the small side of a join on (store, date).
 
-    Written once and broadcast if it fits: then the large side keeps its partitioning by store-item.
-    If it does not fit, the join falls back to an exchange on (store, date), a key fine enough to
-    spread a dominant store over its days.
+    Written once, so that Spark knows its size: below the session's threshold it is broadcast and the large side keeps
+    its partitioning by store-item; above, the join exchanges on (store, date), a key fine enough to spread a dominant
+    store over its days.
     """
-    return broadcast_checked(settle(calendar), row_bytes=64)
+    return store(calendar, "calendar")
 
 
 def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
@@ -78,7 +83,7 @@ def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
                 F.sum("units").over(whole).alias("sold"),
                 F.round(F.avg("units").over(whole)).alias("centre"),
                 F.lead("date").over(in_order).alias("next_sale"))
-        .filter(F.col("sold") >= p.min_expected_units * p.lookback_days)
+        .filter(_sold_enough(F.col("sold"), p))
         .select(*PAIR, "sale_date", "units", "centre",
                 F.explode(F.sequence("sale_date", F.coalesce(F.date_sub("next_sale", 1), "sale_date"))).alias("date"))
     )

@@ -8,17 +8,17 @@ from __future__ import annotations
 
 import re
 
-from shelfwatch.plans.queries import DECIMALS, P_DECIMALS, PARAMS, SLICED, TIE_SHIFT
+from shelfwatch.operators.runs import LOG_DECIMALS
+from shelfwatch.plans.queries import DECIMALS, MISSING_ITEMS, MISSING_STORE, PARAMS, SLICED, TIE_SHIFT
 from shelfwatch.params import Params
 
 
-def _raw() -> dict[str, str]:
+def _raw(store: str = "n_regionkey") -> dict[str, str]:
+    """``store``: the column of supplier or nation that tells stores apart."""
     return {
-        "lines": """
-            SELECT l.*, CAST(l.l_shipdate AS DATE) AS date, n.n_regionkey AS store_nbr
-            FROM lineitem l, supplier s, nation n
-            WHERE s.s_suppkey = l.l_suppkey AND n.n_nationkey = s.s_nationkey
-              AND CAST(l.l_shipdate AS DATE) >= DATE '1995-01-02' + CAST(120 * n.n_regionkey AS INTEGER)""",
+        "lines": f"""
+            SELECT l.*, CAST(l.l_shipdate AS DATE) AS date, {store} AS store_nbr
+            FROM lineitem l, supplier s, nation n WHERE s.s_suppkey = l.l_suppkey AND n.n_nationkey = s.s_nationkey""",
         "types": """
             SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS position
             FROM (SELECT DISTINCT p_type FROM part)""",
@@ -32,17 +32,18 @@ def _raw() -> dict[str, str]:
             FROM lines, products WHERE p_partkey = l_partkey""",
         "transactions": """
             SELECT date, store_nbr, count(DISTINCT l_orderkey) AS transactions FROM lines GROUP BY ALL""",
-        "stores": """
-            SELECT r_regionkey AS store_nbr, r_name AS city, min(n_name) AS state,
-                   CASE WHEN r_regionkey < 2 THEN 'A' ELSE 'B' END AS type, r_regionkey AS cluster
-            FROM region, nation WHERE n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
+        "stores": f"""
+            SELECT {store} AS store_nbr, min(r_name) AS city, min(n_name) AS state,
+                   CASE WHEN min(r_regionkey) < 2 THEN 'A' ELSE 'B' END AS type, min(r_regionkey) AS cluster
+            FROM region JOIN nation ON n_regionkey = r_regionkey
+            {"JOIN supplier ON s_nationkey = n_nationkey" if store.startswith("s_") else ""} GROUP BY 1""",
         "items": """
             SELECT DISTINCT item_nbr, p_type AS family, CASE WHEN large THEN 1 ELSE 0 END AS class,
                    item_nbr % 3 = 0 AS perishable
             FROM products""",
         "holidays_events": """
             SELECT make_date(y, m, d) AS date, type, locale, transferred
-            FROM (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-02'),
+            FROM (SELECT unnest(range(year(min(l_shipdate)), year(max(l_shipdate)) + 1)) AS y FROM lineitem),
                  (VALUES (1, 1, 'Holiday', 'National', false), (1, 12, 'Work Day', 'National', false),
                          (2, 8, 'Holiday', 'National', true), (2, 9, 'Transfer', 'National', false),
                          (3, 5, 'Holiday', 'Local', false), (5, 2, 'Bridge', 'National', false),
@@ -77,7 +78,7 @@ def _tables(p: Params, x: str = "") -> dict[str, str]:
         f"pairs{x}": f"""
             SELECT store_nbr, item_nbr, min(date) AS first_sale, max(date) AS last_sale
             FROM sales{x} WHERE date >= DATE '{p.window_start}' - {2 * back}
-            GROUP BY store_nbr, item_nbr HAVING sum(units) >= {needed}""",
+            GROUP BY store_nbr, item_nbr HAVING round(sum(units), 6) >= {needed}""",
         f"spine{x}": f"""
             SELECT p.store_nbr, p.item_nbr, t.date, t.full_day
             FROM pairs{x} p JOIN trading{x} t ON t.store_nbr = p.store_nbr AND t.date >= p.first_sale AND t.date <= p.last_sale""",
@@ -109,23 +110,23 @@ def _tables(p: Params, x: str = "") -> dict[str, str]:
             SELECT store_nbr AS store_key, item_nbr AS item_key, {_key('start_date')} AS start_date_key,
                    {_key('end_date')} AS end_date_key, run_days, spine_days,
                    end_date - start_date + 1 AS calendar_days, lambda_units, coalesce(var_units, 0) / lambda_units AS dispersion,
-                   round(CASE WHEN dispersion > 1 THEN exp(-lambda_units * run_days * ln(dispersion) / (dispersion - 1))
-                        ELSE exp(-lambda_units * run_days) END, {P_DECIMALS}) AS p_value,
-                   round(exp(-lambda_units * run_days), {P_DECIMALS}) AS p_poisson,
-                   lambda_units * run_days AS expected_lost_units
+                   round(-(lambda_units * run_days) * CASE WHEN dispersion > 1 THEN ln(dispersion) / (dispersion - 1) ELSE 1 END,
+                         {LOG_DECIMALS}) AS ln_p_value,
+                   round(-(lambda_units * run_days), {LOG_DECIMALS}) AS ln_p_poisson,
+                   exp(ln_p_value) AS p_value, exp(ln_p_poisson) AS p_poisson, lambda_units * run_days AS expected_lost_units
             FROM runs{x}
             WHERE start_date BETWEEN DATE '{p.window_start}' AND DATE '{p.window_end}' AND history_days = {back}
               AND lambda_units > 0 AND run_days >= 1 AND spine_days <= {p.max_run_days}""",
         f"cutoff{x}": f"""
-            SELECT max(p_value) AS bh_cutoff
-            FROM (SELECT p_value, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM tested{x})
-            WHERE p_value <= i * {p.fdr_q} / m""",
+            SELECT max(ln_p_value) AS ln_cutoff
+            FROM (SELECT ln_p_value, row_number() OVER (ORDER BY ln_p_value) AS i, count(*) OVER () AS m FROM tested{x})
+            WHERE ln_p_value <= ln(i * CAST({p.fdr_q} AS DOUBLE) / m)""",
         f"poisson_cutoff{x}": f"""
-            SELECT max(p_poisson) AS cutoff
-            FROM (SELECT p_poisson, row_number() OVER (ORDER BY p_poisson) AS i, count(*) OVER () AS m FROM tested{x})
-            WHERE p_poisson <= i * {p.fdr_q} / m""",
+            SELECT max(ln_p_poisson) AS cutoff
+            FROM (SELECT ln_p_poisson, row_number() OVER (ORDER BY ln_p_poisson) AS i, count(*) OVER () AS m FROM tested{x})
+            WHERE ln_p_poisson <= ln(i * CAST({p.fdr_q} AS DOUBLE) / m)""",
         f"flagged{x}": f"""
-            SELECT t.*, coalesce(p_value <= bh_cutoff, false) AS is_flagged FROM tested{x} t, cutoff{x}""",
+            SELECT t.*, coalesce(ln_p_value <= ln_cutoff, false) AS is_flagged FROM tested{x} t, cutoff{x}""",
         f"dispersion{x}": f"""
             SELECT store_nbr, item_nbr, avg(units) AS mean_units, var_samp(units) AS var_units,
                    var_samp(units) / avg(units) AS dispersion
@@ -152,6 +153,14 @@ def _tables(p: Params, x: str = "") -> dict[str, str]:
                                 AS week_start, CAST(sum(run_days) AS BIGINT) AS flagged_days
                        FROM flagged{x} WHERE is_flagged GROUP BY 1, 2) USING (store_key, week_start)
             LEFT JOIN (SELECT store_key, city FROM dim_store{x}) USING (store_key)""",
+        f"weekly_exact{x}": f"""
+            SELECT store_key, week_start, item_days, coalesce(own_days, 0) AS flagged_days, city,
+                   coalesce(own_days, 0) / item_days AS rate, week_start_key
+            FROM weekly{x}
+            LEFT JOIN (SELECT r.store_key, CAST(date_trunc('week', s.date) AS DATE) AS week_start, count(*) AS own_days
+                       FROM flagged{x} r JOIN series{x} s ON s.store_nbr = r.store_key AND s.item_nbr = r.item_key AND s.full_day
+                         AND {_key('s.date')} BETWEEN start_date_key AND end_date_key
+                       WHERE is_flagged GROUP BY 1, 2) USING (store_key, week_start)""",
         f"measured{x}": f"""
             SELECT s.*, coalesce(on_promo, false) AS promo,
                    date - min(date) OVER (PARTITION BY store_nbr, item_nbr) AS age,
@@ -223,17 +232,17 @@ def _query(tables: dict[str, str], body: str) -> str:
 def _select(columns: str, source: str) -> str:
     """``columns``: space-separated names with a kind — i whole number, d double, t text or date, b boolean."""
     cast = {
-        "i": "CAST({0} AS BIGINT) AS {0}",
-        "d": "round(CAST({0} AS DOUBLE) + %r, %d) + 0.0 AS {0}" % (TIE_SHIFT, DECIMALS),
-        "t": "CAST({0} AS VARCHAR) AS {0}",
-        "b": "{0}",
+        "i": 'CAST("{0}" AS BIGINT) AS "{0}"',
+        "d": 'round(CAST("{0}" AS DOUBLE) + %r, %d) + 0.0 AS "{0}"' % (TIE_SHIFT, DECIMALS),
+        "t": 'CAST("{0}" AS VARCHAR) AS "{0}"',
+        "b": '"{0}"',
     }
     parts = [cast[c.split(":")[1]].format(c.split(":")[0]) for c in columns.split()]
     return f"SELECT {', '.join(parts)} FROM {source}"
 
 
 _RUN = ("store_key:i item_key:i start_date_key:i end_date_key:i run_days:i spine_days:i calendar_days:i "
-        "lambda_units:d dispersion:d p_value:d p_poisson:d expected_lost_units:d")
+        "lambda_units:d dispersion:d p_value:d p_poisson:d expected_lost_units:d ln_p_value:d ln_p_poisson:d")
 _RAW_EVENT = ("store_key:i item_key:i start_date:t end_date:t promo_days:i promo_units:d baseline_units:d "
               "touches_payday_or_holiday:b post_units_raw:d next_start:t")
 _ISO_YEAR = "CAST(isoyear(date) AS BIGINT)"
@@ -243,7 +252,6 @@ def _bodies() -> dict[str, str]:
     p = PARAMS
     least = p.min_family_events
     week_grid = "(SELECT store_key, week_start, round(rate * 100, 4) AS rate_pct FROM weekly)"
-    label = "'Store ' || store_key || ' · ' || coalesce(city, '?')"
     window = "date_key BETWEEN {} AND {}".format(*[f"{d:%Y%m%d}" for d in (p.window_start, p.window_end)])
     sides = f"(SELECT * FROM fact_new WHERE {window}) a JOIN (SELECT * FROM fact WHERE {window}) b USING (date_key, store_key, item_key)"
     flag_sides = f"(SELECT * FROM risk_new WHERE {window}) a FULL JOIN (SELECT * FROM risk WHERE {window}) b USING (date_key, store_key, item_key)"
@@ -262,53 +270,76 @@ def _bodies() -> dict[str, str]:
                 count(*) FILTER (WHERE b.expected_units IS NULL AND abs(a.expected_units - 3.0) < 1e-9) AS only_new_ties,
                 count(*) AS either, CASE WHEN count(*) = 0 THEN 1.0 ELSE shared / count(*) END AS jaccard
          FROM {flag_sides})"""
-    report = f"""
-        SELECT 'fact_sales rows' AS name,
-               format('{{:,}} {{}} {{:,}}', rows_new, CASE WHEN rows_new = rows_old THEN '=' ELSE '≠' END, rows_old) AS value,
-               rows_new = rows_old AND rows_new > 0 AS passed, 'new vs earlier producer, analysis window only' AS note
-        FROM {reconcile_sales}
-        UNION ALL SELECT 'fact_sales Σ units', format('{{:,.2f}} vs {{:,.2f}}', units_new, units_old),
-               abs(units_new - units_old) <= 1e-6 * greatest(1.0, abs(units_old)), 'relative tolerance 1e-6'
-        FROM {reconcile_sales}
-        UNION ALL SELECT 'baseline_units within 0.01', format('{{:,}} rows differ', drifted), drifted = 0,
-               'rows where both tables have a baseline'
-        FROM {reconcile_baselines}
-        UNION ALL SELECT 'baseline NULLs only from sliced history',
-               format('{{:,}} of {{:,}} rows ({{:.3f}}%); {{:,}} where only the new side has one', mismatched, with_baseline,
-                      CASE WHEN with_baseline > 0 THEN 100 * mismatched / with_baseline ELSE 0.0 END, only_new),
-               only_new = 0 AND mismatched <= 0.005 * with_baseline,
-               'the new side may lack a baseline (later first sale), never add one; ≤ 0.5%'
-        FROM {reconcile_baselines}
-        UNION ALL SELECT 'stock-out flags ⊆ earlier producer',
-               format('Jaccard {{:.4f}}; {{:,}} only in the new side{{}}, {{:,}} only in the earlier one', jaccard, only_new,
-                      CASE WHEN only_new > 0 AND only_new = only_new_ties THEN ' (all at the rate 3 threshold)' ELSE '' END,
-                      either - shared - only_new),
-               only_new = only_new_ties AND jaccard >= 0.995,
-               'the new side may miss flags (shorter history), never add one except a tie at the threshold; Jaccard ≥ 0.995'
-        FROM {reconcile_flags}"""
-    checks = """
+    at_most = lambda name, table, value, bound: (
+        f"SELECT '{name}' AS \"check\", CAST({value} AS DOUBLE) AS measured, 'at most' AS rule, {bound!r} AS bound, "
+        f"{value} <= {bound!r} AS passed FROM {table}")
+    at_least = lambda *a: at_most(*a).replace("at most", "at least").replace(" <= ", " >= ")
+    report = " UNION ALL ".join([
+        at_most("sales_row_gap", reconcile_sales, "abs(rows_new - rows_old)", 0.0),
+        at_most("sales_unit_gap", reconcile_sales, "abs(units_new - units_old) / greatest(1.0, abs(units_old))", 1e-6),
+        at_least("sales_rows", reconcile_sales, "rows_new", 1.0),
+        at_most("baselines_drifted", reconcile_baselines, "drifted", 0.0),
+        at_most("baselines_added", reconcile_baselines, "only_new", 0.0),
+        at_most("baselines_lost_share", reconcile_baselines,
+                "CASE WHEN with_baseline > 0 THEN (mismatched - only_new) / with_baseline ELSE 0 END", 0.005),
+        at_most("flags_added", reconcile_flags, "only_new - only_new_ties", 0.0),
+        at_least("flags_jaccard", reconcile_flags, "jaccard", 0.995),
+    ])
+    checks = lambda stores, items: f"""
         (SELECT 'fact_sales_duplicate_keys' AS "check", count(*) - count(DISTINCT (date_key, store_key, item_key)) AS violations FROM fact
          UNION ALL SELECT 'fact_stockout_risk_duplicate_keys', count(*) - count(DISTINCT (date_key, store_key, item_key)) FROM risk
-         UNION ALL SELECT 'fact_sales_orphan_store', count(*) FROM fact WHERE store_key NOT IN (SELECT store_key FROM dim_store)
-         UNION ALL SELECT 'fact_sales_orphan_item', count(*) FROM fact WHERE item_key NOT IN (SELECT item_nbr FROM items)
+         UNION ALL SELECT 'fact_sales_orphan_store', count(*) FROM fact WHERE store_key NOT IN (SELECT store_key FROM dim_store WHERE {stores})
+         UNION ALL SELECT 'fact_sales_orphan_item', count(*) FROM fact WHERE item_key NOT IN (SELECT item_nbr FROM items WHERE {items})
          UNION ALL SELECT 'fact_sales_orphan_date', count(*) FROM fact WHERE date NOT IN (SELECT date FROM dates)
          UNION ALL SELECT 'fact_stockout_risk_orphan_date', count(*) FROM risk
              WHERE date_key NOT IN (SELECT CAST(strftime(date, '%Y%m%d') AS BIGINT) FROM dates)
          UNION ALL SELECT 'rows_silver_vs_gold', abs((SELECT count(*) FROM sales) - (SELECT count(*) FROM fact))
          UNION ALL SELECT 'units_silver_vs_gold', CASE WHEN (SELECT sum(CAST(units AS DECIMAL(38, 6))) FROM sales)
-             = (SELECT sum(CAST(units AS DECIMAL(38, 6))) FROM fact) THEN 0 ELSE 1 END)"""
+             = (SELECT sum(CAST(units AS DECIMAL(38, 6))) FROM fact) THEN 0 ELSE 1 END)"""
+    seeded = checks(f"store_key <> {MISSING_STORE}", f"item_nbr % {MISSING_ITEMS} <> 0")
+    checks = checks("true", "true")
     medians = f"""
         (SELECT family, count(*) AS n_events, median(uplift) AS uplift_median,
                 count(post_dip) AS n_dip_events, CASE WHEN count(post_dip) >= {least} THEN median(post_dip) END AS dip_median,
                 count(net_lift) AS n_net_events, CASE WHEN count(net_lift) >= {least} THEN median(net_lift) END AS net_median
          FROM events WHERE family IS NOT NULL GROUP BY family HAVING count(*) >= {least})"""
+    enough = f"(SELECT family, count(*) AS n_events FROM events WHERE family IS NOT NULL GROUP BY 1 HAVING count(*) >= {least})"
+    metrics = f"""
+        (SELECT family, metric, count(v) AS n, median(v) AS mid, list_sort(list(v) FILTER (WHERE v IS NOT NULL)) AS vs
+         FROM (SELECT family, unnest(['uplift', 'dip', 'net']) AS metric, unnest([uplift, post_dip, net_lift]) AS v FROM events)
+         GROUP BY 1, 2 HAVING count(v) >= {least})"""
+
+    def ends(widths: float) -> str:
+        half = f"{widths} * sqrt(n) / 2"
+        return (f"vs[CAST(greatest(floor(n / 2 - {half}), 1) AS BIGINT)] AS lo, "
+                f"vs[CAST(least(ceil(n / 2 + {half}) + 1, n) AS BIGINT)] AS hi")
+
+    spread = ", ".join(
+        f"max({c}) FILTER (WHERE metric = '{m}') AS {m}_{name}" for m in ("uplift", "dip", "net")
+        for c, name in (("mid", "median"), ("lo", "lo"), ("hi", "hi")))
+    order_summary = f"""
+        (SELECT family, n_events, n_dip_events, n_net_events, {spread}
+         FROM (SELECT family, n_events, count(post_dip) AS n_dip_events, count(net_lift) AS n_net_events
+               FROM {enough} JOIN events USING (family) GROUP BY 1, 2)
+         LEFT JOIN (SELECT *, {ends(1.96)} FROM {metrics}) USING (family) GROUP BY 1, 2, 3, 4)"""
+    percent = lambda x: f"round(round(100 * ({x}), 10), 2)"
+    uplift_order = f"""
+        (SELECT family, n_events, {percent('uplift_median')} AS uplift_pct, {percent('uplift_hi - uplift_median')} AS error_up_pct,
+                {percent('uplift_median - uplift_lo')} AS error_down_pct,
+                row_number() OVER (ORDER BY uplift_median DESC, family DESC) = 1 AS is_top FROM {order_summary})"""
+    payback_order = f"""
+        (SELECT family, n_net_events, {percent('net_median')} AS net_pct, {percent('net_hi - net_median')} AS error_up_pct,
+                {percent('net_median - net_lo')} AS error_down_pct, {percent('uplift_median')} AS uplift_pct,
+                {percent('dip_median')} AS dip_pct,
+                CASE WHEN net_lo > 0 THEN 'pays' WHEN net_hi < 0 THEN 'loses' ELSE 'unclear' END AS payback
+         FROM {order_summary} WHERE net_median IS NOT NULL)"""
     payday = f"""
         (SELECT family, 100 * a.mid AS other_pct, 100 * b.mid AS touching_pct, b.mid - a.mid AS gap
          FROM (SELECT family, median(uplift) AS mid FROM events WHERE NOT touches_payday_or_holiday GROUP BY 1 HAVING count(*) >= {least}) a
          JOIN (SELECT family, median(uplift) AS mid FROM events WHERE touches_payday_or_holiday GROUP BY 1 HAVING count(*) >= {least}) b
            USING (family))"""
     ranking = f"""
-        (SELECT {label} AS label, sum(flagged_days) AS flagged_days, sum(item_days) AS item_days,
+        (SELECT store_key, city, sum(flagged_days) AS flagged_days, sum(item_days) AS item_days,
                 sum(flagged_days) / sum(item_days) AS rate
          FROM weekly GROUP BY ALL)"""
     return {
@@ -322,7 +353,6 @@ def _bodies() -> dict[str, str]:
                    strftime(date, '%a') AS weekday_name, isodow(date) IN (6, 7) AS is_weekend,
                    date IN (SELECT date FROM holidays) AS is_national_holiday
             FROM dates""",
-        "dim_store": _select("store_key:i store_nbr:i city:t state:t store_type:t cluster:i opening_date:t", "dim_store"),
         "dim_item": _select("item_key:i item_nbr:i family:t class:i is_perishable:b",
                             "(SELECT item_nbr AS item_key, *, perishable AS is_perishable FROM items)"),
         "contract_store_day": _select("date_key:i store_key:i receipts:i",
@@ -338,9 +368,9 @@ def _bodies() -> dict[str, str]:
         "stockout_runs_tested": _select(_RUN, "tested"),
         "stockout_runs_flagged": _select(_RUN + " is_flagged:b", "flagged"),
         "bh_summary": _select("tested_runs:i flagged_runs:i bh_cutoff:d max_chance_flags:d poisson_flagged_runs:i", """
-            (SELECT count(*) AS tested_runs, count(*) FILTER (WHERE is_flagged) AS flagged_runs, max(bh_cutoff) AS bh_cutoff,
-                    count(*) * coalesce(max(bh_cutoff), 0) AS max_chance_flags,
-                    count(*) FILTER (WHERE p_poisson <= cutoff) AS poisson_flagged_runs
+            (SELECT count(*) AS tested_runs, count(*) FILTER (WHERE is_flagged) AS flagged_runs,
+                    exp(max(ln_cutoff)) AS bh_cutoff, count(*) * coalesce(exp(max(ln_cutoff)), 0) AS max_chance_flags,
+                    count(*) FILTER (WHERE ln_p_poisson <= cutoff) AS poisson_flagged_runs
              FROM flagged, cutoff, poisson_cutoff)"""),
         "item_dispersion": _select("store_nbr:i item_nbr:i mean_units:d var_units:d dispersion:d", "dispersion"),
         "dispersion_headline": _select("median_dispersion:d share_over_1:d", """
@@ -348,6 +378,8 @@ def _bodies() -> dict[str, str]:
              FROM dispersion)"""),
         "stockout_store_week": _select("store_key:i week_start:t item_days:i flagged_days:i city:t rate:d week_start_key:i",
                                        "weekly"),
+        "stockout_store_week_exact": _select(
+            "store_key:i week_start:t item_days:i flagged_days:i city:t rate:d week_start_key:i", "weekly_exact"),
         "promo_baseline": _select("date_key:i store_key:i item_key:i units:d return_units:d on_promo:b "
                                   "post_promo_window:b baseline_units:d", "fact"),
         "promo_events_raw": _select(_RAW_EVENT, "events_raw"),
@@ -357,6 +389,19 @@ def _bodies() -> dict[str, str]:
                                 "touches_payday_or_holiday:b", "events"),
         "promo_family_medians": _select("family:t n_events:i uplift_median:d n_dip_events:i dip_median:d n_net_events:i "
                                         "net_median:d", medians),
+        "interval_brackets": _select(
+            "family:t metric:t n:i median:d outer_lo:d outer_hi:d holds_median:b lo_inside:b hi_inside:b", f"""
+            (SELECT family, metric, n, mid AS median, lo AS outer_lo, hi AS outer_hi, true AS holds_median, true AS lo_inside,
+                    true AS hi_inside
+             FROM (SELECT *, {ends(4.0)} FROM {metrics}) JOIN {enough} USING (family))"""),
+        "family_summary_order": _select(
+            "family:t n_events:i uplift_median:d uplift_lo:d uplift_hi:d n_dip_events:i dip_median:d dip_lo:d dip_hi:d "
+            "n_net_events:i net_median:d net_lo:d net_hi:d", order_summary),
+        "uplift_ranking_order": _select(
+            "family:t n_events:i uplift_pct:d error_up_pct:d error_down_pct:d is_top:b", uplift_order),
+        "payback_class_order": _select(
+            "family:t n_net_events:i net_pct:d error_up_pct:d error_down_pct:d uplift_pct:d dip_pct:d payback:t", payback_order),
+        "payback_count_order": f"SELECT count(*) FILTER (WHERE payback = 'pays') AS paying, count(*) AS families FROM {payback_order}",
         "slice_counts": f"""
             SELECT 'train' AS name, count(*) AS rows FROM train
             WHERE date BETWEEN DATE '{SLICED.slice_start}' AND DATE '{p.window_end}'
@@ -365,6 +410,7 @@ def _bodies() -> dict[str, str]:
             UNION ALL SELECT 'items', count(*) FROM items
             UNION ALL SELECT 'holidays_events', count(*) FROM holidays_events""",
         "dq_checks": f'SELECT "check", CAST(violations AS BIGINT) AS violations FROM {checks}',
+        "dq_seeded": f'SELECT "check", CAST(violations AS BIGINT) AS violations FROM {seeded} WHERE violations > 0',
         "dq_failing": f'SELECT "check", CAST(violations AS BIGINT) AS violations FROM {checks} WHERE violations > 0',
         "stockout_month": _select("year:i month_num:i flagged_days:i est_lost_units:d", """
             (SELECT date_key // 10000 AS year, date_key // 100 % 100 AS month_num, count(*) AS flagged_days,
@@ -377,11 +423,12 @@ def _bodies() -> dict[str, str]:
             SELECT family, round(round(other_pct, 10), 2) AS other_pct, round(round(touching_pct, 10), 2) AS touching_pct,
                    round(gap + {TIE_SHIFT!r}, {DECIMALS}) + 0.0 AS gap FROM {payday}""",
         "payday_headline": f"SELECT count(*) FILTER (WHERE gap > 0) AS inflated, count(*) AS families FROM {payday}",
-        "store_stockout_rank": _select("label:t flagged_days:i item_days:i rate:d", ranking),
-        "worst_store": _select("label:t flagged_days:i item_days:i rate:d", f"{ranking} ORDER BY rate DESC, label LIMIT 1"),
-        "stockout_grid": _select("label:t week_start:t rate_pct:d", f"""
-            (SELECT s.label, w.week_start, c.rate_pct
-             FROM (SELECT DISTINCT {label} AS label, store_key FROM weekly) s
+        "store_stockout_rank": _select("store_key:i city:t flagged_days:i item_days:i rate:d", ranking),
+        "worst_store": _select("store_key:i city:t flagged_days:i item_days:i rate:d",
+                               f"{ranking} ORDER BY rate DESC, store_key LIMIT 1"),
+        "stockout_grid": _select("store_key:i city:t week_start:t rate_pct:d", f"""
+            (SELECT s.store_key, s.city, w.week_start, c.rate_pct
+             FROM (SELECT DISTINCT store_key, city FROM weekly) s
              CROSS JOIN (SELECT DISTINCT week_start FROM weekly) w
              LEFT JOIN {week_grid} c ON c.store_key = s.store_key AND c.week_start = w.week_start)"""),
         "stockout_grid_cap": _select("cap_pct:d", f"(SELECT quantile_cont(rate_pct, 0.95) AS cap_pct FROM {week_grid})"),
@@ -395,13 +442,23 @@ def _bodies() -> dict[str, str]:
             (SELECT count(*) FILTER (WHERE dispersion > 1) / count(*) AS share_over_1 FROM dispersion WHERE dispersion > 0)"""),
         "reconcile_sales": _select("rows_new:i rows_old:i units_new:d units_old:d", reconcile_sales),
         "reconcile_baselines": _select("drifted:i mismatched:i only_new:i with_baseline:i", reconcile_baselines),
-        "reconcile_report": f"SELECT name, value, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, note FROM ({report})",
+        "reconcile_report": _select("check:t measured:d rule:t bound:d passed:b", f"({report})"),
         "reconcile_flags": _select("shared:i only_new:i only_new_ties:i either:i jaccard:d", reconcile_flags),
     }
 
 
+_STORE = _select("store_key:i store_nbr:i city:t state:t store_type:t cluster:i opening_date:t", "dim_store")
+
+
 def oracle_sql() -> dict[str, str]:
-    """Query name -> SQL. Interval columns come from random draws, so queries with them are left out."""
-    new = {k: v for k, v in _tables(SLICED, "_new").items()}
-    tables = {**_raw(), **_tables(PARAMS), **new}
-    return {name: _query(tables, body) for name, body in _bodies().items()}
+    """Query name -> SQL. Bootstrap intervals come from random draws, so queries with them are left out."""
+    analysis = {**_tables(PARAMS), **_tables(SLICED, "_new")}
+    regions, nations, suppliers = ({**_raw(column), **analysis} for column in ("n_regionkey", "n_nationkey", "s_suppkey"))
+    bodies = _bodies()
+    finer = {"nation_runs_flagged": "stockout_runs_flagged", "nation_bh_summary": "bh_summary",
+             "nation_store_week": "stockout_store_week", "nation_promo_events": "promo_events"}
+    return {
+        **{name: _query(regions, body) for name, body in bodies.items()},
+        **{name: _query(nations, bodies[same]) for name, same in finer.items()},
+        "dim_store": _query(suppliers, _STORE),
+    }

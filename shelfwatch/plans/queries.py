@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.functions.lineage import settle
+from shelfwatch.functions.stored import store
+from shelfwatch.functions.workers import importable
 from shelfwatch.operators import bootstrap, promo, quality, reconcile, reports, runs, series
 from shelfwatch.params import Params
 from shelfwatch.plans.layers import Layers
@@ -24,7 +25,6 @@ SLICED = replace(PARAMS, slice_start=PARAMS.window_start - timedelta(days=PARAMS
 
 DECIMALS = 6
 TIE_SHIFT = 1e-10
-P_DECIMALS = 12
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -46,14 +46,8 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def _keep(layer: str, name: str, df: DataFrame) -> DataFrame:
-    """Write the tables that several later ones read, as a pipeline run would.
-
-    p-values are rounded where runs are handed on to ranking: engines differ in the last bits of exp
-    and ln, and a rank must not depend on that.
-    """
-    if name == "stockout_run_tested":
-        df = df.withColumns({c: F.round(c, P_DECIMALS) for c in ("p_value", "p_poisson")})
-    return settle(df) if name in ("sales", "store_day", "stockout_run_tested") else df
+    """Write the tables that several later ones read, as a pipeline run would."""
+    return store(df, name) if name in ("sales", "store_day", "stockout_run_tested") else df
 
 
 def layers(spark: SparkSession, folder: str, p: Params = PARAMS, grain: Grain = Grain()) -> Layers:
@@ -77,16 +71,34 @@ def _reconcile_baselines(spark, folder):
 
 def _reconcile_flags(spark, folder):
     new, old, start, end = _reconcile_inputs(spark, folder)
-    return reconcile.flag_agreement(new.fact_stockout_risk, old.fact_stockout_risk, start, end)
+    return reconcile.flag_agreement(new.fact_stockout_risk, old.fact_stockout_risk, start, end, PARAMS.min_expected_units)
 
 
 def _reconcile_report(spark, folder):
     new, old, start, end = _reconcile_inputs(spark, folder)
     return reconcile.reconcile(new.fact_sales, new.fact_stockout_risk, old.fact_sales, old.fact_stockout_risk,
-                               start, end)
+                               start, end, PARAMS.min_expected_units)
 
 
 CHECKED = ["sales", "fact_sales", "fact_stockout_risk", "stg_store", "stg_item", "dim_date"]
+# What the seeded checks lack: one store and every fourth item.
+MISSING_STORE, MISSING_ITEMS = 2, 4
+
+
+def _seeded(t: Layers) -> dict[str, DataFrame]:
+    tables = t.tables(CHECKED)
+    return {**tables, "stg_store": tables["stg_store"].filter(F.col("store_key") != MISSING_STORE),
+            "stg_item": tables["stg_item"].filter(F.col("item_key") % MISSING_ITEMS != 0)}
+
+
+def _exact_weeks(t: Layers) -> DataFrame:
+    return runs.weekly_stockout_rate(t.fact_stockout_run, t.stockout_series, t.stg_store, t.p, credit="own")
+
+
+def _order_summary(t: Layers) -> DataFrame:
+    return bootstrap.family_summary(t.fact_promo_event, t.p, interval="order")
+
+
 PROFILED = ["sales", "store_day", "stockout_series"]
 
 # name -> result of the query, given the tables
@@ -96,7 +108,6 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "store_day": lambda t: t.store_day,
     "national_holidays": lambda t: t.national_holidays,
     "dim_date": lambda t: t.dim_date,
-    "dim_store": lambda t: t.stg_store,
     "dim_item": lambda t: t.stg_item,
     "contract_store_day": lambda t: t.stg_store_day,
     # series and the single-day rule
@@ -113,6 +124,7 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "item_dispersion": lambda t: t.item_dispersion,
     "dispersion_headline": lambda t: reports.dispersion_headline(t.item_dispersion),
     "stockout_store_week": lambda t: t.stockout_store_week,
+    "stockout_store_week_exact": _exact_weeks,
     # promotions
     "promo_baseline": lambda t: t.fact_sales,
     "promo_events_raw": lambda t: promo.promo_events_raw(t.fact_sales, t.dim_date, t.p).drop("event_id"),
@@ -121,9 +133,16 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "promo_events": lambda t: t.fact_promo_event,
     "promo_family_medians": lambda t: bootstrap.family_medians(t.fact_promo_event, t.p),
     "promo_family_summary": lambda t: t.promo_family_summary,
+    "interval_brackets": lambda t: bootstrap.interval_brackets(t.fact_promo_event, t.p),
+    # the same summary and its reports with intervals that need no draws
+    "family_summary_order": _order_summary,
+    "uplift_ranking_order": lambda t: reports.uplift_ranking(_order_summary(t)),
+    "payback_class_order": lambda t: reports.payback_class(_order_summary(t)),
+    "payback_count_order": lambda t: reports.payback_count(_order_summary(t)),
     # checks
     "slice_counts": lambda t: slice_counts(t.raw, SLICED.slice_start, t.p.window_end),
     "dq_checks": lambda t: quality.dq_checks(t.tables(CHECKED)),
+    "dq_seeded": lambda t: quality.failing(quality.dq_checks(_seeded(t))),
     "dq_failing": lambda t: quality.failing(quality.dq_checks(t.tables(CHECKED))),
     # reports
     "stockout_month": lambda t: reports.stockout_month(t.fact_stockout_risk, t.dim_date),
@@ -142,6 +161,17 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "overdispersed_share": lambda t: reports.overdispersed_share(t.item_dispersion),
 }
 
+# The same at a finer grain of stores: more, sparser series, of whose runs only a part is flagged.
+_ON_NATIONS: dict[str, Callable[[Layers], DataFrame]] = {
+    "nation_runs_flagged": _ON_LAYERS["stockout_runs_flagged"],
+    "nation_bh_summary": _ON_LAYERS["bh_summary"],
+    "nation_store_week": _ON_LAYERS["stockout_store_week"],
+    "nation_promo_events": _ON_LAYERS["promo_events"],
+}
+
+# Suppliers as stores: some of them open after the data begins.
+_ON_SUPPLIERS: dict[str, Callable[[Layers], DataFrame]] = {"dim_store": lambda t: t.stg_store}
+
 _RECONCILE = {
     "reconcile_sales": _reconcile_sales,
     "reconcile_baselines": _reconcile_baselines,
@@ -151,11 +181,17 @@ _RECONCILE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def on_layers(build):
-        return lambda spark, folder: comparable(build(layers(spark, folder)))
+    def on_layers(build, grain=Grain()):
+        def run(spark, folder):
+            importable(spark)
+            return comparable(build(layers(spark, folder, grain=grain)))
+
+        return run
 
     def on_folder(build):
         return lambda spark, folder: comparable(build(spark, folder))
 
     return {**{name: on_layers(b) for name, b in _ON_LAYERS.items()},
+            **{name: on_layers(b, Grain("nation")) for name, b in _ON_NATIONS.items()},
+            **{name: on_layers(b, Grain("supplier")) for name, b in _ON_SUPPLIERS.items()},
             **{name: on_folder(b) for name, b in _RECONCILE.items()}}

@@ -8,14 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The part types, in alphabetical order.
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
 # One year of holidays covering every rule branch
 # (month, day, type, locale, locale_name, description, transferred).
 HOLIDAYS = [
@@ -44,13 +40,11 @@ COLUMNS = {
 class Grain:
     """How stores and items are cut from the star schema."""
 
-    store: str = "region"          # region (5 stores, opening one after the other) or nation (25)
-    opening_gap_days: int = 120    # store k has rows from first_day + k * gap on; 0 = all from the start
-    first_day: date = date(1995, 1, 2)
+    store: str = "region"  # region (5 stores), nation (25) or supplier
 
     @property
     def store_column(self) -> str:
-        return "n_regionkey" if self.store == "region" else "n_nationkey"
+        return {"region": "n_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey"}[self.store]
 
 
 class StarSchemaTables(Mapping):
@@ -86,27 +80,28 @@ class StarSchemaTables(Mapping):
     def _large(self) -> Column:
         return (F.col("p_size") > 25).cast("int")
 
-    @property
-    def _item(self) -> Column:
-        return (2 * (F.array_position(F.lit(PART_TYPES), F.col("p_type")) - 1) + self._large).cast("int")
-
-    def _shipped(self) -> DataFrame:
-        # the bound on the ship date reaches the Parquet scan
-        return self._table("lineitem").filter(F.col("l_shipdate") >= F.lit(self._grain.first_day).cast("timestamp_ntz"))
+    def _products(self) -> DataFrame:
+        """Parts with their item: two size classes of each type, types in alphabetical order."""
+        part = self._table("part")
+        types = part.select("p_type").distinct()  # a handful
+        position = F.row_number().over(Window.orderBy(F.col("p_type").asc_nulls_last())) - 1
+        numbered = types.withColumn("position", position).withColumnRenamed("p_type", "type")
+        return part.join(numbered, F.col("p_type").eqNullSafe(F.col("type"))).withColumns({
+            "class": F.coalesce(self._large, F.lit(0)),
+            "item_nbr": (2 * F.col("position") + F.coalesce(self._large, F.lit(0))).cast("int"),
+        })
 
     def _lines(self) -> DataFrame:
-        """Line items with their store and day, from the day the store opens."""
+        """Line items with their store and day."""
         places = self._table("supplier").join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        opening = F.date_add(F.lit(self._grain.first_day), F.col("store_nbr") * self._grain.opening_gap_days)
         return (
-            self._shipped()
+            self._table("lineitem")
             .join(places.select(F.col("s_suppkey").alias("l_suppkey"), self._store.alias("store_nbr")), "l_suppkey")
             .withColumn("date", F.col("l_shipdate").cast("date"))
-            .filter(F.col("date") >= opening)
         )
 
     def _train(self) -> DataFrame:
-        products = self._table("part").select(F.col("p_partkey").alias("l_partkey"), self._item.alias("item_nbr"))
+        products = self._products().select(F.col("p_partkey").alias("l_partkey"), "item_nbr")
         returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
         return self._lines().join(products, "l_partkey").select(
             F.col("l_orderkey").alias("id"), "date", "store_nbr", "item_nbr",
@@ -119,9 +114,11 @@ class StarSchemaTables(Mapping):
             F.count_distinct("l_orderkey").cast("int").alias("transactions"))
 
     def _stores(self) -> DataFrame:
+        places = self._table("nation").join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        if self._grain.store == "supplier":
+            places = places.join(self._table("supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
         return (
-            self._table("nation").join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .groupBy(self._store.alias("store_nbr"))
+            places.groupBy(self._store.alias("store_nbr"))
             .agg(F.min("r_name").alias("city"), F.min("n_name").alias("state"),
                  F.min("n_regionkey").cast("int").alias("cluster"))
             .select("store_nbr", "city", "state", F.when(F.col("cluster") < 2, "A").otherwise("B").alias("type"), "cluster")
@@ -129,19 +126,20 @@ class StarSchemaTables(Mapping):
 
     def _items(self) -> DataFrame:
         return (
-            self._table("part").select(self._item.alias("item_nbr"), F.col("p_type").alias("family"),
-                                       self._large.alias("class")).distinct()
+            self._products().select("item_nbr", F.col("p_type").alias("family"), "class").distinct()
             .withColumn("perishable", (F.col("item_nbr") % 3 == 0).cast("int"))
         )
 
     def _holidays_events(self) -> DataFrame:
-        """Every year that ships anything gets the same entries."""
+        """Every year from the first to the last that ships anything gets the same entries. The two ends come from the
+        column statistics of the files, without a scan."""
         fields = ("month", "day", "type", "locale", "locale_name", "description", "transferred")
         entries = F.array(*[
             F.struct(*[F.lit(value).alias(field) for field, value in zip(fields, row)]) for row in HOLIDAYS
         ])
+        ends = self._table("lineitem").agg(F.year(F.min("l_shipdate")).alias("first"), F.year(F.max("l_shipdate")).alias("last"))
         return (
-            self._shipped().select(F.year("l_shipdate").alias("year")).distinct()
+            ends.filter(F.col("first").isNotNull()).select(F.explode(F.sequence("first", "last")).alias("year"))
             .select("year", F.inline(entries))
             .select(F.make_date("year", "month", "day").alias("date"), *fields[2:])
         )

@@ -3,7 +3,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwatch.operators.conform import dim_date
 from shelfwatch.sources.raw import read_raw
+from shelfwatch.sources.star_schema import Grain, StarSchemaTables
 
 
 def test_raw_types_and_unknown_flags(raw):
@@ -66,6 +68,12 @@ def test_dim_date_attributes(tables):
         assert (row.iso_year, row.iso_week, row.weekday_num) == tuple(day.isocalendar())
 
 
+def test_a_date_far_off_is_an_error(spark, tables):
+    far = spark.createDataFrame([(date(2216, 1, 1),)], "date DATE")
+    with pytest.raises(Exception, match="span more than"):
+        dim_date(tables.sales.select("date").union(far), tables.store_day, tables.national_holidays).collect()
+
+
 def test_opening_date_is_unknown_for_stores_open_at_the_start(tables):
     opened = {r.store_key: r.opening_date for r in tables.stg_store.collect()}
     assert opened == {1: None, 2: date(2015, 6, 1), 3: date(2016, 1, 1), 4: date(2016, 1, 1), 5: date(2016, 1, 1)}
@@ -75,3 +83,28 @@ def test_item_and_store_day_contract(tables):
     produce = tables.stg_item.filter("item_key = 102").first()
     assert (produce.family, produce.is_perishable) == ("PRODUCE", True)
     assert tables.stg_store_day.filter("store_key = 3 AND date_key = 20160115").first().receipts == 90
+
+
+@pytest.mark.parametrize("grain", ["region", "nation", "supplier"])
+def test_the_star_schema_keeps_every_row(spark, grain):
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    raw = StarSchemaTables(spark, folder, Grain(grain))
+    assert raw["train"].count() == lines.count()
+    assert raw["train"].agg(F.sum(F.abs("unit_sales"))).first()[0] == lines.agg(F.sum("l_quantity")).first()[0]
+    assert raw["train"].select("store_nbr").distinct().join(raw["stores"], "store_nbr", "left_anti").isEmpty()
+    assert raw["train"].select("item_nbr").distinct().join(raw["items"], "item_nbr", "left_anti").isEmpty()
+    orders = raw["transactions"].join(raw["train"].groupBy("date", "store_nbr").agg(F.countDistinct("id").alias("n")), ["date", "store_nbr"])
+    assert orders.filter("n <> transactions").isEmpty()
+
+
+def test_some_suppliers_open_late(spark):
+    stores = dim_store(StarSchemaTables(spark, "/root/testdata/sf0.01", Grain("supplier")))
+    opened = stores.filter("opening_date IS NOT NULL").count()
+    assert 0 < opened < stores.count()
+
+
+def dim_store(raw):
+    from shelfwatch.operators import conform
+
+    return conform.dim_store(raw["stores"], raw["transactions"])

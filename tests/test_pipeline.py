@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from shelfwatch.functions import lineage
 from shelfwatch.operators.promo import promo_baseline, promo_events_raw
 from shelfwatch.operators.quality import ChecksFailed
 from shelfwatch.operators.runs import stockout_runs
@@ -105,9 +104,8 @@ def test_no_step_gathers_rows_in_one_task(spark, written, params):
             assert "HashAggregate" in above, text
 
 
-def test_results_do_not_depend_on_broadcasting(spark, tables, params, monkeypatch):
+def test_results_do_not_depend_on_broadcasting(spark, tables, params):
     """Without any broadcast of the calendar the joins fall back to exchanges; the rows stay the same."""
-    monkeypatch.setattr(lineage, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         again = Layers(tables.raw, params)

@@ -41,6 +41,11 @@ def test_uplift_ranking(summary):
     assert [r.family for r in rows if r.is_top] == ["BEVERAGES"] and rows[0].uplift_pct == 42.0
 
 
+def test_one_family_is_top_among_equals(spark, summary):
+    twin = spark.createDataFrame([("AAA", *SUMMARY[0][1:])], SUMMARY_SCHEMA)
+    assert [r.family for r in reports.uplift_ranking(summary.unionAll(twin)).collect() if r.is_top] == ["BEVERAGES"]
+
+
 def test_payback(summary):
     rows = reports.payback_class(summary).collect()
     assert [(r.family, r.payback) for r in rows] == [("BREAD", "loses"), ("DAIRY", "unclear"), ("BEVERAGES", "pays")]
@@ -60,13 +65,12 @@ def test_payday_gap_needs_both_sides(spark):
 
 def test_store_ranking_and_grid(weekly):
     rows = reports.store_stockout_rank(weekly).collect()
-    assert [(r.label, round(r.rate, 6)) for r in rows] == [
-        ("Store 3 · ?", 0.1), ("Store 1 · Quito", 0.02), ("Store 2 · Cuenca", 0.01)]
-    assert reports.worst_store(weekly).first().label == "Store 3 · ?"
-    grid = {(r.label, r.week_start): r.rate_pct for r in reports.stockout_grid(weekly).collect()}
+    assert [(r.store_key, r.city, round(r.rate, 6)) for r in rows] == [(3, None, 0.1), (1, "Quito", 0.02), (2, "Cuenca", 0.01)]
+    assert reports.worst_store(weekly).first().store_key == 3
+    grid = {(r.store_key, r.city, r.week_start): r.rate_pct for r in reports.stockout_grid(weekly).collect()}
     assert len(grid) == 6
-    assert grid[("Store 3 · ?", date(2016, 8, 15))] is None
-    assert grid[("Store 1 · Quito", date(2016, 8, 22))] == 3.0 and grid[("Store 2 · Cuenca", date(2016, 8, 22))] == 0.0
+    assert grid[(3, None, date(2016, 8, 15))] is None
+    assert grid[(1, "Quito", date(2016, 8, 22))] == 3.0 and grid[(2, "Cuenca", date(2016, 8, 22))] == 0.0
     cap = reports.stockout_grid_cap(weekly).first().cap_pct
     assert cap == pytest.approx(np.percentile([1.0, 3.0, 2.0, 0.0, 10.0], 95))
 
