@@ -92,6 +92,81 @@ select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from docs left join counted using (row) left join ids using (row)
 """
 
+# CRC-32 (polynomial EDB88320) by half bytes.
+_CRC_TABLE = [0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+              0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+
+BYTE_SHARDS = f"""
+with docs as (
+  select doc_id, hex(encode(coalesce(text, ''))) as bytes, md5(coalesce(text, '')) as digest from documents
+), halves as (  -- of each byte the lower half first
+  select *, len(bytes) // 2 + 8 as size,
+         list_transform(range(len(bytes)), lambda i: strpos('0123456789ABCDEF', bytes[i + 2 - 2 * (i % 2)]) - 1) as nibbles
+  from docs
+), sums as (
+  select doc_id, digest, size,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, nibbles::bigint[]),
+             lambda crc, n: xor(crc >> 4, ({_CRC_TABLE}::bigint[])[1 + (xor(crc, n) & 15)]))) as text_crc32
+  from halves
+), running as (
+  select *, sum(size) over (order by doc_id nulls first, digest rows unbounded preceding) - size as before,
+         sum(size) over () as total
+  from sums
+), placed as (
+  select *, cast(least(24 * (2 * before + size) // (2 * total), 23) as integer) as shard from running
+)
+select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard,
+       row_number() over (partition by shard order by doc_id nulls first, digest) - 1 as slot, cast(null as integer) as grown_shard
+from placed
+"""
+
+# what pairs of ids (a, b) link, in either direction, to the smallest id that each id reaches
+_REACH = """reach(id, other) as (
+  select a, b from links union select r.id, l.b from reach r join links l on r.other = l.a
+), lowest as (select id, min(least(id, other)) as low from reach group by id)"""
+
+VECTOR_LINKS = f"""
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), {_REACH}
+select vec_id, (select count(*) from links where a = vec_id) as n_links, coalesce(low, vec_id) as component_id,
+       coalesce(low, vec_id) = vec_id as kept
+from embeddings left join lowest on id = vec_id
+"""
+
+NGRAM_JOIN = r"""
+with recursive docs as (
+  select doc_id, coalesce(text, '') as text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
+  from (select *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from docs where len(words) > 0)
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n_shared
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where n_shared >= 0.8 * (x.n + y.n - n_shared)
+  union all
+  select x.doc_id, y.doc_id from docs x join docs y on x.text = y.text and x.doc_id <> y.doc_id
+  where len(x.words) = 0
+), """ + _REACH + """
+select doc_id, coalesce(low, doc_id) as class_id, (select count(*) from links where a = doc_id) as n_links,
+       coalesce(low, doc_id) = doc_id as kept
+from docs left join lowest on id = doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": SOURCE_MIX, "op9_decontamination": DECONTAMINATION, "op10_url_filter": URL_FILTER}
+    return {
+        "op2_source_mix": SOURCE_MIX, "op4_vector_links": VECTOR_LINKS, "op5_byte_shards": BYTE_SHARDS,
+        "op6_ngram_join": NGRAM_JOIN, "op9_decontamination": DECONTAMINATION, "op10_url_filter": URL_FILTER,
+    }
