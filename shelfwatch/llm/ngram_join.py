@@ -129,16 +129,23 @@ def _groups(classes: DataFrame) -> DataFrame:
 
     A bucket within bounds is one block, one group (0, 0).
     """
-    paths = (
+    own = (
         _buckets(classes).groupBy("_key")
         .agg(F.collect_list(F.struct("run", "path", "rows", "shingles")).alias("own"))  # at most one of each run
     )
     met = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(  # 0: alone in that run
         F.get(F.filter("own", lambda o: o["run"] == r), F.lit(0))["path"], F.lit(0)))
+    rows = store(own.withColumn("paths", met).select("_key", "paths", F.inline("own")), "paths")
+    # where all members met in one earlier bucket, no pair is new
+    edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(RUNS - 1) for name, f in (("low", F.min), ("high", F.max))]
+    together = F.lit(False)
+    for r in range(RUNS - 1):
+        together = together | ((F.col("run") > r) & (F.col(f"low_{r}") == F.col(f"high_{r}")) & (F.col(f"low_{r}") != 0))
+    news = rows.groupBy("run", "path").agg(*edges).filter(~together)
     blocks = F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES))
     number = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
     return (
-        paths.withColumn("paths", met).select("_key", "paths", F.inline("own"))
+        rows.join(news, ["run", "path"], "left_semi")
         .withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("bigint"))
         .withColumn("block", number)
         .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
