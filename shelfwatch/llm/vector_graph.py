@@ -66,7 +66,10 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
 
 def _centroids(nodes: DataFrame, overlap: int) -> dict:
     """(label, size) -> centroids, for labels that need more than one shard."""
-    counts = nodes.groupBy("label", "size").count().filter(F.col("count") * overlap > SHARD_ROWS).collect()  # few: large ones
+    counts = (  # the largest, bounded; what is large beyond them is cut into blocks
+        nodes.groupBy("label", "size").count().filter(F.col("count") * overlap > SHARD_ROWS)
+        .orderBy(F.desc("count"), "label", "size").limit(MOST_CENTROIDS).collect()
+    )
     total = sum(r["count"] for r in counts)
     wanted = {(r["label"], r["size"]): r["count"] for r in counts}
     sample = hashed_share(nodes.select("node", "label", "size", "embedding"), F.col("node"), SAMPLE).orderBy("node").collect()
