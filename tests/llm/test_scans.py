@@ -6,7 +6,6 @@ import zlib
 
 import pytest
 
-import corpus_pipeline
 from shelfwatch.llm import decontaminate, licenses, shards, url_filter
 from shelfwatch.llm.queries import SHARDS, URL_RULES, queries
 
@@ -186,15 +185,3 @@ def test_urls_of_odd_and_empty_tables(spark):
     assert sorted(map(tuple, rows), key=str) == sorted([(1, "a.b/", "block")] * 2 + [(None, None, "allow"), (2, "c", "block")], key=str)
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
-
-
-# pipeline
-
-def test_pipeline_stages(spark, odd):
-    """Every stage takes odd rows and returns the columns of documents; the whole gives sharded rows."""
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == docs.columns and out.count() >= 0
-    rows = queries()["pipeline"](spark, SMALL)
-    assert {"doc_id", "shard", "slot"} <= set(rows.columns) and rows.count() > 0
