@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from shelfwatch.functions.stored import store
 from shelfwatch.operators.promo import promo_baseline, promo_events_raw
 from shelfwatch.operators.quality import ChecksFailed
 from shelfwatch.operators.runs import stockout_runs
@@ -121,3 +122,10 @@ def test_date_bound_reaches_the_scan(spark, written, params):
     text = plan(stockout_series(made.sales, made.store_day, params))
     assert "GreaterThanOrEqual(date," in text
     assert "on_promo" not in re.search(r"FileScan parquet \[([^\]]*)\]", text).group(1)
+
+
+def test_stored_tables_are_pruned_and_filtered(spark):
+    kept = store(spark.range(1000).selectExpr("id", "id * 2 AS twice", "CAST(id AS STRING) AS name"), "plan")
+    text = plan(kept.filter("twice > 10").select("id"))
+    assert "GreaterThan(twice,10)" in text and "ReadSchema: struct<id:bigint,twice:bigint>" in text
+    assert kept.count() == 1000
