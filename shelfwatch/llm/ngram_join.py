@@ -102,22 +102,25 @@ def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """Buckets of at least two classes: run, path, rows, shingles, _key. The recursion on drawn tokens."""
-    of_run = F.slice("_sketch", F.col("run") * SPLITS + 1, F.lit(SPLITS))
-    rows = classes.filter("_n > 0").select("_key", "_n", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), "_sketch")
-    rows = rows.select("run", "_key", "_n", of_run.alias("drawn"))
-    rows = rows.withColumn("path", F.xxhash64("run", F.get("drawn", F.lit(0))))
+    """Buckets of at least two classes: run, path, rows, shingles, _c. The recursion on drawn tokens."""
+    token = lambda split: F.get("_sketch", F.col("run") * SPLITS + split)
+    rows = (
+        classes.filter("_n > 0").select("_c", "_n", "_sketch", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
+        .select("run", F.xxhash64("run", token(0)).alias("path"), "_c", "_n")
+    )
     small = (F.col("rows") <= BUCKET_ROWS) & (F.col("shingles") <= BUCKET_SHINGLES)
     leaves = []
     for split in range(1, SPLITS + 1):
         sizes = rows.groupBy("run", "path").agg(F.count("*").alias("rows"), F.sum("_n").alias("shingles"))
         shared = store(rows.join(sizes.filter("rows > 1"), ["run", "path"]), "buckets")
         last = split == SPLITS
-        leaves.append((shared if last else shared.filter(small)).select("run", "path", "rows", "shingles", "_key"))
+        leaves.append((shared if last else shared.filter(small)).select("run", "path", "rows", "shingles", "_c"))
         if last or not shared.filter(~small).head(1):
             break
-        rows = shared.filter(~small).drop("rows", "shingles").withColumn(
-            "path", F.xxhash64("path", F.get("drawn", F.lit(split))))
+        rows = (
+            shared.filter(~small).join(classes.select("_c", "_sketch"), "_c")
+            .select("run", F.xxhash64("path", token(split)).alias("path"), "_c", "_n")
+        )
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -130,12 +133,12 @@ def _groups(classes: DataFrame) -> DataFrame:
     A bucket within bounds is one block, one group (0, 0).
     """
     own = (
-        _buckets(classes).groupBy("_key")
+        _buckets(classes).groupBy("_c")
         .agg(F.collect_list(F.struct("run", "path", "rows", "shingles")).alias("own"))  # at most one of each run
     )
     met = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(  # 0: alone in that run
         F.get(F.filter("own", lambda o: o["run"] == r), F.lit(0))["path"], F.lit(0)))
-    rows = store(own.withColumn("paths", met).select("_key", "paths", F.inline("own")), "paths")
+    rows = store(own.withColumn("paths", met).select("_c", "paths", F.inline("own")), "paths")
     # where all members met in one earlier bucket, no pair is new
     edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(RUNS - 1) for name, f in (("low", F.min), ("high", F.max))]
     together = F.lit(False)
@@ -143,14 +146,14 @@ def _groups(classes: DataFrame) -> DataFrame:
         together = together | ((F.col("run") > r) & (F.col(f"low_{r}") == F.col(f"high_{r}")) & (F.col(f"low_{r}") != 0))
     news = rows.groupBy("run", "path").agg(*edges).filter(~together)
     blocks = F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES))
-    number = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
+    number = F.pmod(F.xxhash64("_c"), F.col("blocks")).cast("int")
     return (
         rows.join(news, ["run", "path"], "left_semi")
         .withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("bigint"))
         .withColumn("block", number)
         .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("run", "path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "_key", "paths")
-        .join(classes.select("_key", "_n", "_sketch", "copies"), "_key")
+        .select("run", "path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "_c", "paths")
+        .join(classes.select("_c", "_n", "_sketch", "copies"), "_c")
     )
 
 
@@ -179,14 +182,14 @@ def _possible(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 
 def _with_partner(frame: pd.DataFrame) -> pd.DataFrame:
     """The members that may be similar to another."""
-    frame = frame.sort_values("_key").reset_index(drop=True)
+    frame = frame.sort_values("_c").reset_index(drop=True)
     keep = np.concatenate([allowed.any(1) for _, allowed in _possible(frame)])
     return frame[keep]
 
 
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     """Compare exactly: for each member with a link, the number of documents it links to and its component in the group."""
-    frame = frame.sort_values("_key").reset_index(drop=True)
+    frame = frame.sort_values("_c").reset_index(drop=True)
     sets = [np.frombuffer(b, np.uint64) for b in frame["set"]]
     n, copies = frame["_n"].to_numpy(), frame["copies"].to_numpy()
     # tokens of one set only cannot be shared
@@ -221,8 +224,8 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
             break
         root = lower
     some = links > 0
-    keys = frame["_key"].to_numpy()
-    return pd.DataFrame({"_key": keys[some], "links": links[some], "root": keys[root[some]]})
+    keys = frame["_c"].to_numpy()
+    return pd.DataFrame({"_c": keys[some], "links": links[some], "root": keys[root[some]]})
 
 
 def _described(documents: DataFrame) -> DataFrame:
@@ -235,16 +238,17 @@ def _described(documents: DataFrame) -> DataFrame:
 
 
 def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes, and the links found: _key, links, root."""
+    """Classes with a number ``_c``, and the links found: _c, links, root (a number too)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_place").alias("place")))
     classes = store(
         described.groupBy("_key").agg(first.alias("first"), F.count("*").alias("copies"), F.any_value("_n").alias("_n"),
-                                      F.any_value("_sketch").alias("_sketch")), "classes")
+                                      F.any_value("_sketch").alias("_sketch"))
+        .withColumn("_c", F.monotonically_increasing_id()), "classes")
     members = _groups(classes)
     wanted = store(members.groupBy(*GROUP).applyInPandas(_with_partner, members.schema), "members")
     texts = (
         described.select("_place", "text")
-        .join(wanted.select("_key").distinct().join(classes.select("_key", F.col("first.place").alias("_place")), "_key"), "_place")
+        .join(wanted.select("_c").distinct().join(classes.select("_c", F.col("first.place").alias("_place")), "_c"), "_place")
     )
 
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,9 +257,9 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.Series([shingle_set(t, hashes).tobytes() for t in batch])
 
     as_set = F.pandas_udf(sets, "binary")(ascii_lower(text_of()))
-    full = wanted.join(texts.select("_key", as_set.alias("set")), "_key")
+    full = wanted.join(texts.select("_c", as_set.alias("set")), "_c")
     return classes, store(
-        full.groupBy(*GROUP).applyInPandas(_linked, "_key string, links bigint, root string"), "links")
+        full.groupBy(*GROUP).applyInPandas(_linked, "_c bigint, links bigint, root bigint"), "links")
 
 
 def mark_groups(documents: DataFrame) -> DataFrame:
@@ -263,12 +267,12 @@ def mark_groups(documents: DataFrame) -> DataFrame:
     the one of the smallest doc_id."""
     described = _described(documents)
     classes, links = _join_classes(described)
-    of = components(links.select(F.col("_key").alias("a"), F.col("root").alias("b")))
+    of = components(links.select(F.col("_c").alias("a"), F.col("root").alias("b")))
     known = (
-        classes.select("_key", "first", "copies")
-        .join(links.groupBy("_key").agg(F.sum("links").alias("links")), "_key", "left")
-        .join(of.withColumnRenamed("node", "_key"), "_key", "left")
-        .withColumn("component", F.coalesce("component", "_key"))
+        classes.select("_c", "_key", "first", "copies")
+        .join(links.groupBy("_c").agg(F.sum("links").alias("links")), "_c", "left")
+        .join(of.withColumnRenamed("node", "_c"), "_c", "left")
+        .withColumn("component", F.coalesce("component", "_c"))
     )
     firsts = known.groupBy("component").agg(F.min("first").alias("group_first"))
     judged = store(known.join(firsts, "component").select(
