@@ -12,6 +12,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"                    # in text whose A-Z
 WORD_EITHER_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words in any text
 TOKEN = r"[^\x20\x09-\x0D]+"                                  # a run without blanks
 
+BATCH_TEXTS = 1000
+
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
@@ -28,6 +30,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table. From now on the session hands at most ``BATCH_TEXTS`` rows at a time to Python workers, so that long
+    texts fit; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_TEXTS:
+        df.sparkSession.conf.set(setting, str(BATCH_TEXTS))
+    return df
+
+
 def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of a key: the same rows in every run, taken where they lie, no sort.
 
@@ -50,4 +61,4 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, rows: int
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
     return hashed_share(known, F.col("doc_id"), rows).join(
-        documents.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+        in_small_batches(documents).select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import WORD, ascii_lower, text_of
+from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, text_of
 
 WINDOW = 13
 BLOCK_WINDOWS = 100_000      # of one pass; some 100 MB in a Python worker
@@ -142,7 +142,7 @@ def find_contamination(
     contaminated."""
     windows = store(item_windows(benchmark, window).withColumn("block", F.lit(0)), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    found = documents.withColumn(into, F.struct(  # each block adds its spans
+    found = in_small_batches(documents).withColumn(into, F.struct(  # each block adds its spans
         F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans")))
     for block in range(blocks):
         held = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).select("words", "items").collect()

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import WORD, WORD_EITHER_CASE, ascii_lower, text_of
+from shelfwatch.llm.common import WORD, WORD_EITHER_CASE, ascii_lower, in_small_batches, text_of
 
 # Base phrases and their labels.
 BASE = {
@@ -197,7 +197,7 @@ def passes_gate(text: Column) -> Column:
 def scan_licenses(documents: DataFrame, into: str = "licenses") -> DataFrame:
     """The documents with one more column, a struct of n_words and the fields of ``RESULT``."""
     scan, text = F.pandas_udf(_scan, RESULT), text_of()
-    found = documents.withColumn(into, scan(F.when(passes_gate(text), ascii_lower(text))))
+    found = in_small_batches(documents).withColumn(into, scan(F.when(passes_gate(text), ascii_lower(text))))
     names = [c.split()[0] for c in RESULT.split(", ")]
     return found.withColumn(into, F.struct(
         F.regexp_count(text, F.lit(WORD_EITHER_CASE)).cast("bigint").alias("n_words"),

@@ -107,12 +107,16 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumn("digits", F.lit(digits))
 
 
-def _taken(sized: DataFrame) -> DataFrame:
-    """The rows of the stored table (source, size, hash and more) with source_size, target and taken, without source and
-    hash."""
+def _budgets(sized: DataFrame) -> DataFrame:
+    """One row per source: source_size, target and where its budget ends (null where it ends with a whole round). Written."""
     targets = store(source_targets(sized), "mix-targets")
     edges = thresholds(sized, targets)
-    # digits is null where a source's budget ends with a whole round
+    return store(targets.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+                 .withColumnRenamed("source", "_of"), "mix-budgets")
+
+
+def _taken(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Add source_size, target and taken to rows with source, size and hash."""
     cell = F.expr(f"shiftright(hash, 4 * ({DIGITS} - digits))")
     extra = (
         F.when(F.col("edge").isNull() | (cell > F.col("edge")), 0)
@@ -120,33 +124,31 @@ def _taken(sized: DataFrame) -> DataFrame:
         .when(F.col("rows") == 1, F.when(2 * F.col("left") >= F.col("inside"), F.col("size")).otherwise(0))
         .otherwise(F.floor(F.col("size") * F.col("left") / F.col("inside")))
     )
-    of_source = targets.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    kept = [c for c in sized.columns if c not in ("source", "hash")]
     return (
-        sized.withColumnRenamed("source", "own").join(of_source, F.col("own").eqNullSafe(F.col("source")))
-        .select(*kept, "source_size", "target", (_rounds() * F.col("size") + extra).cast("bigint").alias("taken"))
+        sized.join(budgets, F.col("source").eqNullSafe(F.col("_of")))
+        .withColumn("taken", (_rounds() * F.col("size") + extra).cast("bigint"))
+        .select(*sized.columns, "source_size", "target", "taken")
     )
 
 
-def _sized(documents: DataFrame, *more: Column) -> DataFrame:
-    return store(documents.select(
-        *more, "source", words_in(text_of()).alias("size"), document_hash().alias("hash")), "mix-sizes")
+def _sized(documents: DataFrame, *more: str) -> DataFrame:
+    return documents.select(*more, "source", words_in(text_of()).alias("size"), document_hash().alias("hash"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many of its words the mix takes, repeats counted."""
-    return _taken(_sized(documents, F.col("doc_id")))
+    sized = store(_sized(documents, "doc_id"), "mix-sizes")
+    return _taken(sized, _budgets(sized)).drop("source", "hash")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them (rounded, 0 to 2 times), with their own columns. Empty ones cost nothing
-    and stay once."""
-    numbered = store(documents.withColumn("_place", F.monotonically_increasing_id()), "mix-input")
-    taken = _taken(_sized(numbered, F.col("_place")))
+    and stay once. Where the table of budgets is small, as it is unless sources are many, texts are not shuffled."""
+    budgets = _budgets(store(_sized(documents), "mix-sizes"))
+    whole = documents.select(F.struct("*").alias("_row"), "source", "doc_id", "text")
+    sized = whole.select("_row", "source", words_in(text_of()).alias("size"), document_hash().alias("hash"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    chosen = taken.select("_place", times.alias("_times")).filter("_times > 0")
     return (
-        numbered.join(chosen, "_place")
-        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*documents.columns)
+        _taken(sized, budgets).withColumn("_times", times).filter("_times > 0")
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
     )

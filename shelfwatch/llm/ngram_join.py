@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import WORD, ascii_lower, text_of
+from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, text_of
 from shelfwatch.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -58,7 +58,7 @@ class _WordHashes(dict):
     """64-bit hash of each word, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -232,7 +232,7 @@ def _described(documents: DataFrame) -> DataFrame:
     """The documents, written with their place, class key, number of shingles and sketch."""
     about = F.pandas_udf(_describe, "key string, n int, sketch array<int>")(ascii_lower(text_of()))
     return store(
-        documents.withColumn("_about", about).select(
+        in_small_batches(documents).withColumn("_about", about).select(
             *documents.columns, F.monotonically_increasing_id().alias("_place"), F.col("_about.key").alias("_key"),
             F.col("_about.n").alias("_n"), F.col("_about.sketch").alias("_sketch")), "described")
 

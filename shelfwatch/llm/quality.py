@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import text_of, training_rows
+from shelfwatch.llm.common import in_small_batches, text_of, training_rows
 
 TRAIN_DOCUMENTS = 6000  # bound of the fitting sample
 PASSAGE_WORDS = 64
@@ -152,7 +152,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS)
 
 def quality_score(documents: DataFrame, model: BagModel) -> Column:
     """The score of each row's text, 0 to 1."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    shared = in_small_batches(documents).sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(encode(t)) for t in texts], dtype="float64")

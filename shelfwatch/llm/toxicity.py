@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import WORD, text_of, training_rows
+from shelfwatch.llm.common import WORD, in_small_batches, text_of, training_rows
 
 TRAIN_DOCUMENTS = 8000  # bound of the fitting sample
 FEATURES = 2048
@@ -144,7 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS)
 
 def toxicity_score(documents: DataFrame, model: WordModel) -> Column:
     """The score of each row's text, 0 to 1."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    shared = in_small_batches(documents).sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
