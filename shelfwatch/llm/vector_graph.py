@@ -36,7 +36,8 @@ from shelfwatch.llm.components import components
 
 COSINE = 0.93
 SLACK = 0.05              # the search passes through vectors this much below the threshold
-SAMPLE = 50_000           # vectors that centroids are drawn from
+SAMPLE = 50_000           # vectors that centroids are drawn from, and
+SAMPLE_NUMBERS = 4_000_000  # of what size in all
 SHARD_ROWS = 1500
 MOST_CENTROIDS = 20_000
 GROUP_ROWS = 4000         # vectors in memory at once
@@ -72,7 +73,8 @@ def _centroids(nodes: DataFrame, overlap: int) -> dict:
     )
     total = sum(r["count"] for r in counts)
     wanted = {(r["label"], r["size"]): r["count"] for r in counts}
-    sample = hashed_share(nodes.select("node", "label", "size", "embedding"), F.col("node"), SAMPLE).orderBy("node").collect()
+    rows = min(SAMPLE, SAMPLE_NUMBERS // (nodes.agg(F.max("size")).first()[0] or 1))
+    sample = hashed_share(nodes.select("node", "label", "size", "embedding"), F.col("node"), rows).orderBy("node").collect()
     by_label = {}
     for r in sample:
         by_label.setdefault((r["label"], r["size"]), []).append(r["embedding"])
@@ -130,6 +132,7 @@ def _sharded(nodes: DataFrame, overlap: int) -> DataFrame:
 
 
 GROUP = ["label", "size", "shard", "i", "j"]
+AT_ONCE = 4_000_000       # numbers gathered at a time
 
 
 def _pruned(x: np.ndarray, part: np.ndarray, pool: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -159,8 +162,9 @@ def _neighbours(x: np.ndarray, seed: int) -> list[np.ndarray]:
     n = len(x)
     draw = np.random.default_rng(seed)
     edges = []
-    for start in range(0, n, 500):
-        part = np.arange(start, min(start + 500, n))
+    step = max(1, AT_ONCE // (POOL * x.shape[1]))
+    for start in range(0, n, step):
+        part = np.arange(start, min(start + step, n))
         k = min(POOL + 1, n)
         near = np.argpartition(-(x[part] @ x.T), k - 1, axis=1)[:, :k]
         for pool, keep in ((near, NEAR), (draw.integers(0, n, (len(part), POOL)), FAR)):
@@ -187,8 +191,9 @@ def _pairs(starts: np.ndarray, ends: np.ndarray, to: np.ndarray, queries: np.nda
 
 def _cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(a))
-    for start in range(0, len(a), 50_000):
-        s = slice(start, start + 50_000)
+    step = max(1, AT_ONCE // x.shape[1])
+    for start in range(0, len(a), step):
+        s = slice(start, start + step)
         out[s] = np.einsum("nd,nd->n", x[a[s]], x[b[s]])
     return out
 
