@@ -45,13 +45,23 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*[cast(f) for f in df.schema.fields])
 
 
-def _keep(layer: str, name: str, df: DataFrame) -> DataFrame:
-    """Write the tables that several later ones read, as a pipeline run would."""
-    return store(df, name) if name in ("sales", "store_day", "stockout_run_tested") else df
+# Tables that several later ones read; written once, as a pipeline run would.
+SHARED = frozenset({"sales", "store_day", "stockout_run_tested"})
+# Queries that read the daily tables once: these stay part of one plan.
+READ_ONCE = frozenset({
+    "sales_daily", "store_day", "contract_store_day", "eligible_pairs", "trading_spine", "full_trading_days", "stockout_series",
+    "stockout_risk_days", "zero_sale_runs", "stockout_runs_flagged", "bh_summary", "item_dispersion", "dispersion_headline",
+    "dispersion_histogram", "overdispersed_share", "promo_baseline", "nation_runs_flagged", "nation_bh_summary",
+})
 
 
-def layers(spark: SparkSession, folder: str, p: Params = PARAMS, grain: Grain = Grain()) -> Layers:
-    return Layers(StarSchemaTables(spark, folder, grain), p, keep=_keep)
+def layers(
+    spark: SparkSession, folder: str, p: Params = PARAMS, grain: Grain = Grain(), shared: frozenset[str] = SHARED
+) -> Layers:
+    def keep(layer: str, name: str, df: DataFrame) -> DataFrame:
+        return store(df, name) if name in shared else df
+
+    return Layers(StarSchemaTables(spark, folder, grain), p, keep=keep)
 
 
 def _reconcile_inputs(spark: SparkSession, folder: str):
@@ -181,17 +191,19 @@ _RECONCILE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def on_layers(build, grain=Grain()):
+    def on_layers(name, build, grain=Grain()):
+        shared = SHARED - {"sales", "store_day"} if name in READ_ONCE else SHARED
+
         def run(spark, folder):
             importable(spark)
-            return comparable(build(layers(spark, folder, grain=grain)))
+            return comparable(build(layers(spark, folder, grain=grain, shared=shared)))
 
         return run
 
     def on_folder(build):
         return lambda spark, folder: comparable(build(spark, folder))
 
-    return {**{name: on_layers(b) for name, b in _ON_LAYERS.items()},
-            **{name: on_layers(b, Grain("nation")) for name, b in _ON_NATIONS.items()},
-            **{name: on_layers(b, Grain("supplier")) for name, b in _ON_SUPPLIERS.items()},
+    return {**{name: on_layers(name, b) for name, b in _ON_LAYERS.items()},
+            **{name: on_layers(name, b, Grain("nation")) for name, b in _ON_NATIONS.items()},
+            **{name: on_layers(name, b, Grain("supplier")) for name, b in _ON_SUPPLIERS.items()},
             **{name: on_folder(b) for name, b in _RECONCILE.items()}}
