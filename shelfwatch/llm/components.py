@@ -1,13 +1,30 @@
-"""Connected components of a graph given by its edges, by hooking to the smallest neighbour and pointer jumping."""
+"""Connected components by hooking to the smallest neighbour and pointer jumping: of a graph given by its edges, and of the
+few thousand nodes that one task holds."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
 
 
+def smallest_reachable(linked: np.ndarray) -> np.ndarray:
+    """From a symmetric matrix of links: the smallest row number that each row reaches."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        lower = root.copy()
+        for start in range(0, n, 256):
+            rows = slice(start, start + 256)
+            lower[rows] = np.minimum(lower[rows], np.where(linked[rows], root, n).min(1, initial=n))
+        lower = lower[lower]
+        if (lower == root).all():
+            return root
+        root = lower
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) in any direction: node, component (the smallest node reachable), for nodes with an edge to another.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
 from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, text_of
-from shelfwatch.llm.components import components
+from shelfwatch.llm.components import components, smallest_reachable
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -216,13 +216,7 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
         similar = allowed & (shared >= THRESHOLD * (both - shared) - 1e-9)
         links[start:start + len(allowed)] = similar @ copies
         linked[start:start + len(allowed)] = similar
-    root = np.arange(len(n))
-    while True:
-        lower = np.minimum(root, np.where(linked, root, len(n)).min(1))
-        lower = lower[lower]
-        if (lower == root).all():
-            break
-        root = lower
+    root = smallest_reachable(linked)
     some = links > 0
     keys = frame["_c"].to_numpy()
     return pd.DataFrame({"_c": keys[some], "links": links[some], "root": keys[root[some]]})

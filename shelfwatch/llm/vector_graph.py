@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
 from shelfwatch.llm.common import hashed_share
-from shelfwatch.llm.components import components
+from shelfwatch.llm.components import components, smallest_reachable
 
 COSINE = 0.93
 SLACK = 0.05              # the search passes through vectors this much below the threshold
@@ -290,13 +290,7 @@ def _links(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             a, b = a[own], b[own]
         linked[:] = False
         linked[a, b] = True
-        root = np.arange(n)
-        while True:
-            lower = np.minimum(root, np.where(linked, root, n).min(1))
-            lower = lower[lower]
-            if (lower == root).all():
-                break
-            root = lower
+        root = smallest_reachable(linked)
         some = linked.any(1)
         return pd.DataFrame({"node": nodes[some], "links": (linked @ frame["copies"].to_numpy())[some],
                              "others": linked.sum(1)[some], "root": nodes[root[some]]})
