@@ -455,10 +455,25 @@ def oracle_sql() -> dict[str, str]:
     analysis = {**_tables(PARAMS), **_tables(SLICED, "_new")}
     regions, nations, suppliers = ({**_raw(column), **analysis} for column in ("n_regionkey", "n_nationkey", "s_suppkey"))
     bodies = _bodies()
+    cut = f"date BETWEEN DATE '{PARAMS.slice_start}' AND DATE '{PARAMS.window_end}'"
+    files: dict[str, str] = {}
+    for name, sql in regions.items():
+        files |= {"uncut": sql, name: f"SELECT * FROM uncut WHERE {cut}"} if name == "train" else {name: sql}
+    load_counts = " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}"
+        for name in ("train", "transactions", "stores", "items", "holidays_events"))
+    by_sql = f"""
+        (SELECT store_nbr, item_nbr, count(*) AS days, sum(units) AS units, max(receipts) AS most_receipts
+         FROM sales JOIN store_day USING (date, store_nbr) WHERE date >= DATE '{PARAMS.window_start}' AND receipts > 0
+         GROUP BY 1, 2 HAVING round(sum(units), 6) >= {PARAMS.min_expected_units * PARAMS.lookback_days})"""
     finer = {"nation_runs_flagged": "stockout_runs_flagged", "nation_bh_summary": "bh_summary",
              "nation_store_week": "stockout_store_week", "nation_promo_events": "promo_events"}
     return {
         **{name: _query(regions, body) for name, body in bodies.items()},
         **{name: _query(nations, bodies[same]) for name, same in finer.items()},
         "dim_store": _query(suppliers, _STORE),
+        "csv_load_counts": _query(files, load_counts),
+        "csv_loaded_sales": _query(files, bodies["sales_daily"]),
+        "csv_exported_runs": _query(files, bodies["stockout_runs_flagged"]),
+        "sales_by_sql": _query(regions, _select("store_nbr:i item_nbr:i days:i units:d most_receipts:i", by_sql)),
     }

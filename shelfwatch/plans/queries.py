@@ -14,6 +14,7 @@ from shelfwatch.functions.stored import store
 from shelfwatch.functions.workers import importable
 from shelfwatch.operators import bootstrap, promo, quality, reconcile, reports, runs, series
 from shelfwatch.params import Params
+from shelfwatch.plans import files
 from shelfwatch.plans.layers import Layers
 from shelfwatch.sources.raw import slice_counts
 from shelfwatch.sources.star_schema import Grain, StarSchemaTables
@@ -190,6 +191,15 @@ _RECONCILE = {
 }
 
 
+# Runs over files and views of the raw tables.
+_ON_RAW: dict[str, Callable[[SparkSession, StarSchemaTables, Params], DataFrame]] = {
+    "csv_load_counts": files.load_counts,
+    "csv_loaded_sales": files.loaded_sales,
+    "csv_exported_runs": files.exported_runs,
+    "sales_by_sql": files.sales_by_sql,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on_layers(name, build, grain=Grain()):
         shared = SHARED - {"sales", "store_day"} if name in READ_ONCE else SHARED
@@ -200,10 +210,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
+    def on_raw(build):
+        def run(spark, folder):
+            importable(spark)
+            return comparable(build(spark, StarSchemaTables(spark, folder), PARAMS))
+
+        return run
+
     def on_folder(build):
         return lambda spark, folder: comparable(build(spark, folder))
 
     return {**{name: on_layers(name, b) for name, b in _ON_LAYERS.items()},
             **{name: on_layers(name, b, Grain("nation")) for name, b in _ON_NATIONS.items()},
             **{name: on_layers(name, b, Grain("supplier")) for name, b in _ON_SUPPLIERS.items()},
+            **{name: on_raw(b) for name, b in _ON_RAW.items()},
             **{name: on_folder(b) for name, b in _RECONCILE.items()}}
