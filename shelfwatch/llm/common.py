@@ -39,6 +39,12 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal rows to tasks by group for ``groupBy(*keys).applyInPandas``, over all shuffle partitions: comparing takes long for
+    few bytes, so partitions must not be merged by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of a key: the same rows in every run, taken where they lie, no sort.
 

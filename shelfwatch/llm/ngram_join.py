@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, text_of
+from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, spread_groups, text_of
 from shelfwatch.llm.components import components, smallest_reachable
 
 SHINGLE_WORDS = 5
@@ -239,7 +239,8 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
                                       F.any_value("_sketch").alias("_sketch"))
         .withColumn("_c", F.monotonically_increasing_id()), "classes")
     members = _groups(classes)
-    wanted = store(members.groupBy(*GROUP).applyInPandas(_with_partner, members.schema), "members")
+    wanted = store(
+        spread_groups(members, GROUP).groupBy(*GROUP).applyInPandas(_with_partner, members.schema), "members")
     texts = (
         described.select("_place", "text")
         .join(wanted.select("_c").distinct().join(classes.select("_c", F.col("first.place").alias("_place")), "_c"), "_place")
@@ -253,7 +254,7 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     as_set = F.pandas_udf(sets, "binary")(ascii_lower(text_of()))
     full = wanted.join(texts.select("_c", as_set.alias("set")), "_c")
     return classes, store(
-        full.groupBy(*GROUP).applyInPandas(_linked, "_c bigint, links bigint, root bigint"), "links")
+        spread_groups(full, GROUP).groupBy(*GROUP).applyInPandas(_linked, "_c bigint, links bigint, root bigint"), "links")
 
 
 def mark_groups(documents: DataFrame) -> DataFrame:
