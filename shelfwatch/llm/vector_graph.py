@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import hashed_share
+from shelfwatch.llm.common import hashed_share, spread_groups
 from shelfwatch.llm.components import components, smallest_reachable
 
 COSINE = 0.93
@@ -302,12 +302,12 @@ def find_links(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
     """node, links (copies of linked nodes), others (linked nodes), root (a linked node): a row per node and group."""
     members = store(_sharded(nodes, overlap), "members")
     lists = (
-        members.groupBy(*GROUP).applyInPandas(_build, "node bigint, near array<bigint>")
+        spread_groups(members, GROUP).groupBy(*GROUP).applyInPandas(_build, "node bigint, near array<bigint>")
         .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     )
     searched = members.join(store(lists, "adjacency"), "node")
     return store(
-        searched.groupBy(*GROUP).applyInPandas(_links(least), "node bigint, links bigint, others bigint, root bigint"), "found")
+        spread_groups(searched, GROUP).groupBy(*GROUP).applyInPandas(_links(least), "node bigint, links bigint, others bigint, root bigint"), "found")
 
 
 def measure_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = QUERIES) -> float:
