@@ -45,6 +45,11 @@ def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """A table of a few numbers per row in larger pieces: an eighth of the shuffle partitions, each file eight times as large."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of a key: the same rows in every run, taken where they lie, no sort.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
+from shelfwatch.llm.common import in_few_files
 
 
 def smallest_reachable(linked: np.ndarray) -> np.ndarray:
@@ -32,20 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     label's label, so chains shorten at least by half. Only (node, label) pairs are shuffled; nothing is collected.
     """
     edges = edges.filter("a <> b").select("a", "b")
-    edges = store(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = store(
-        edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        .select("node", F.least("node", "m").alias("label")), "labels")
+    edges = store(in_few_files(edges.union(edges.select("b", "a")).distinct()), "edges")
+    labels = store(in_few_files(
+        edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))), "labels")
     while True:
-        near = (
-            edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("other").alias("near"))
-        )
-        hooked = store(
-            labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")),
-            "hooked")
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = store(hooked.join(jump, "label").select("node", "was", F.col("further").alias("label")), "labels")
+        of_neighbour = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
+        near = edges.join(of_neighbour, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = store(in_few_files(
+            hooked.join(further, "label").select("node", "was", F.least("label", "further").alias("label"))), "labels")
         if not jumped.filter("label <> was").head(1):
             return jumped.select("node", F.col("label").alias("component"))
         labels = jumped.select("node", "label")

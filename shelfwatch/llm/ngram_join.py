@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import WORD, ascii_lower, in_small_batches, spread_groups, text_of
+from shelfwatch.llm.common import WORD, ascii_lower, in_few_files, in_small_batches, spread_groups, text_of
 from shelfwatch.llm.components import components, smallest_reachable
 
 SHINGLE_WORDS = 5
@@ -138,7 +138,7 @@ def _groups(classes: DataFrame) -> DataFrame:
     )
     met = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(  # 0: alone in that run
         F.get(F.filter("own", lambda o: o["run"] == r), F.lit(0))["path"], F.lit(0)))
-    rows = store(own.withColumn("paths", met).select("_c", "paths", F.inline("own")), "paths")
+    rows = store(in_few_files(own.withColumn("paths", met).select("_c", "paths", F.inline("own"))), "paths")
     # where all members met in one earlier bucket, no pair is new
     edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(RUNS - 1) for name, f in (("low", F.min), ("high", F.max))]
     together = F.lit(False)
