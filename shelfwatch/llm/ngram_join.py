@@ -2,9 +2,11 @@
 
 Texts with the same set of shingles are one class. A class is sketched by minhashes: each is a token drawn from the set so
 that two sets draw the same one with a probability equal to their similarity. One run of the join splits all sets by a drawn
-token, splits buckets that are too large again by the next, and so on; the drawn tokens are the path. Sets that meet in a
-small bucket are compared exactly. Runs draw independently and are repeated until a pair at the threshold is missed with a
-probability below ``1 - TARGET``: with one split a run finds it with probability 0.8, with two splits 0.64, ...
+token, and splits buckets that are too large again by the next; the drawn tokens are the path. Sets that meet in a bucket are
+compared exactly. Runs draw independently and are repeated until a pair at the threshold fails to meet with a probability below
+``MISS``. A run finds it with probability 0.8 by one token, 0.64 by two, so what lies in a bucket that is split takes part in
+more runs (``RUNS``) than the rest (``FIRST_RUNS``): a pair either draws a common first token in one of the first runs, or it is
+missed; if that bucket is split, both are in all runs and agree on both tokens in one of them.
 
 - Paths are joined on narrow rows (class, run, path); buckets of one class end there, which leaves few.
 - Bucket members are first compared by sketch, size and path: a pair belongs to the first run in which it meets, so each is
@@ -25,6 +27,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,9 +40,9 @@ from shelfwatch.llm.components import components, smallest_reachable
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-SPLITS = 4              # at most, in one run
-TARGET = 0.99           # chance that a pair at the threshold is found, after the most splits
-RUNS = math.ceil(math.log(1 - TARGET) / math.log(1 - THRESHOLD**SPLITS))
+SPLITS = 2              # at most, in one run; what is still too large is cut into blocks, which loses nothing
+MISS = 1e-8             # chance that a pair at the threshold never meets, whatever is split
+FIRST_RUNS, RUNS = (math.ceil(math.log(MISS / 2) / math.log(1 - THRESHOLD**splits)) for splits in (1, SPLITS))
 SKETCH = RUNS * SPLITS
 BUCKET_ROWS = 3000      # compared in one task
 BUCKET_SHINGLES = 3_000_000
@@ -101,30 +104,38 @@ def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "n", "sketch"])
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """Buckets of at least two classes: run, path, rows, shingles, _c. The recursion on drawn tokens."""
+def _buckets(classes: DataFrame) -> tuple[DataFrame, int]:
+    """Buckets of at least two classes: run, path, rows, shingles, _c; and the number of runs. Classes in a bucket that is too
+    large take part in the further runs."""
     token = lambda split: F.get("_sketch", F.col("run") * SPLITS + split)
-    rows = (
-        classes.filter("_n > 0").select("_c", "_n", "_sketch", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
-        .select("run", F.xxhash64("run", token(0)).alias("path"), "_c", "_n")
-    )
     small = (F.col("rows") <= BUCKET_ROWS) & (F.col("shingles") <= BUCKET_SHINGLES)
-    leaves = []
-    for split in range(1, SPLITS + 1):
+
+    def first_tokens(of: DataFrame, start: int, end: int) -> DataFrame:
+        return (
+            of.filter("_n > 0").select("_c", "_n", "_sketch", F.explode(F.sequence(F.lit(start), F.lit(end - 1))).alias("run"))
+            .select("run", F.xxhash64("run", token(0)).alias("path"), "_c", "_n")
+        )
+
+    def shared_only(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("run", "path").agg(F.count("*").alias("rows"), F.sum("_n").alias("shingles"))
-        shared = store(rows.join(sizes.filter("rows > 1"), ["run", "path"]), "buckets")
-        last = split == SPLITS
-        leaves.append((shared if last else shared.filter(small)).select("run", "path", "rows", "shingles", "_c"))
-        if last or not shared.filter(~small).head(1):
-            break
+        return store(rows.join(sizes.filter("rows > 1"), ["run", "path"]), "buckets")
+
+    columns = ["run", "path", "rows", "shingles", "_c"]
+    shared = shared_only(first_tokens(classes, 0, FIRST_RUNS))
+    large = shared.filter(~small)
+    if not large.head(1):
+        return shared.select(columns), FIRST_RUNS
+    again = classes.join(large.select("_c").distinct(), "_c", "left_semi")
+    shared = shared.unionByName(shared_only(first_tokens(again, FIRST_RUNS, RUNS)))
+    leaves = [shared.filter(small).select(columns)]
+    for split in range(1, SPLITS):
         rows = (
             shared.filter(~small).join(classes.select("_c", "_sketch"), "_c")
             .select("run", F.xxhash64("path", token(split)).alias("path"), "_c", "_n")
         )
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+        shared = shared_only(rows)
+        leaves.append((shared if split == SPLITS - 1 else shared.filter(small)).select(columns))
+    return reduce(DataFrame.unionByName, leaves), RUNS
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -132,17 +143,18 @@ def _groups(classes: DataFrame) -> DataFrame:
 
     A bucket within bounds is one block, one group (0, 0).
     """
+    buckets, runs = _buckets(classes)
     own = (
-        _buckets(classes).groupBy("_c")
+        buckets.groupBy("_c")
         .agg(F.collect_list(F.struct("run", "path", "rows", "shingles")).alias("own"))  # at most one of each run
     )
-    met = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(  # 0: alone in that run
+    met = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(  # 0: alone in that run
         F.get(F.filter("own", lambda o: o["run"] == r), F.lit(0))["path"], F.lit(0)))
     rows = store(in_few_files(own.withColumn("paths", met).select("_c", "paths", F.inline("own"))), "paths")
     # where all members met in one earlier bucket, no pair is new
-    edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(RUNS - 1) for name, f in (("low", F.min), ("high", F.max))]
+    edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(runs - 1) for name, f in (("low", F.min), ("high", F.max))]
     together = F.lit(False)
-    for r in range(RUNS - 1):
+    for r in range(runs - 1):
         together = together | ((F.col("run") > r) & (F.col(f"low_{r}") == F.col(f"high_{r}")) & (F.col(f"low_{r}") != 0))
     news = rows.groupBy("run", "path").agg(*edges).filter(~together)
     blocks = F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES))

@@ -88,6 +88,18 @@ def test_join_in_blocks_and_splits(near_copies, monkeypatch):
     assert {r.doc_id: r.class_id for r in found} == group
 
 
+@pytest.mark.parametrize("bound, value", [("BUCKET_ROWS", 40), ("BUCKET_ROWS", 5), ("BUCKET_SHINGLES", 3000)])
+def test_join_does_not_depend_on_the_size_of_buckets(near_copies, monkeypatch, bound, value):
+    """Many pairs lie just above the threshold; splits lose none of them."""
+    monkeypatch.setattr(ngram_join, bound, value)
+    compare(near_copies)
+
+
+def test_runs_keep_the_miss_rate():
+    first, split = (1 - 0.8) ** ngram_join.FIRST_RUNS, (1 - 0.8**ngram_join.SPLITS) ** ngram_join.RUNS
+    assert first + split <= ngram_join.MISS <= 1e-6
+
+
 def test_one_of_each_group_stays(odd, near_copies, nothing):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
