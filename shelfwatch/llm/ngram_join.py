@@ -170,8 +170,15 @@ def _groups(classes: DataFrame) -> DataFrame:
 
 
 GROUP = ["run", "path", "i", "j"]
-# a pair at the threshold agrees on fewer of its minhashes about once in 50,000
-LEAST_AGREEING = int(SKETCH * THRESHOLD - 4.1 * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD)))
+
+
+def _fewer_agree(least: int) -> float:
+    """Chance that a pair at the threshold agrees on fewer of its minhashes."""
+    return sum(math.comb(SKETCH, k) * THRESHOLD**k * (1 - THRESHOLD) ** (SKETCH - k) for k in range(least))
+
+
+# pairs that agree on fewer minhashes are not compared exactly
+LEAST_AGREEING = max(k for k in range(SKETCH) if _fewer_agree(k) <= 1e-9)
 
 
 def _possible(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:

@@ -100,6 +100,11 @@ def test_runs_keep_the_miss_rate():
     assert first + split <= ngram_join.MISS <= 1e-6
 
 
+def test_sketches_drop_no_pair_before_it_is_compared():
+    agreeing = np.random.default_rng(1).binomial(ngram_join.SKETCH, ngram_join.THRESHOLD, 3_000_000)
+    assert agreeing.min() >= ngram_join.LEAST_AGREEING
+
+
 def test_one_of_each_group_stays(odd, near_copies, nothing):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
