@@ -187,7 +187,8 @@ def _scan(texts: pd.Series) -> pd.DataFrame:
 
 def passes_gate(text: Column) -> Column:
     lowered = F.lower(text)
-    gate = lowered.rlike(r"\bcc" + WORD.replace("[^", "[", 1) + "by")  # base words with anything between them
+    # base words with anything between them; no \b, which takes the separator _ for part of a word
+    gate = lowered.rlike("cc" + WORD.replace("[^", "[", 1) + "by")
     gate = F.when(lowered.contains("cc"), gate).otherwise(F.lit(False))
     for word in GATE:
         gate = gate | lowered.contains(word)

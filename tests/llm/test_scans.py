@@ -56,6 +56,15 @@ def test_license_texts(spark, odd, nothing):
     assert licenses.scan_licenses(nothing).select("licenses.*").count() == 0
 
 
+def test_license_gate_takes_all_separators(spark):
+    texts = ["logo_cc_by.png", "IMG_CC_BY_SA", "_cc. by", "x_cc__by_y cc\tby", "0cc_by", "zcc_by"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan_licenses(frame).select("doc_id", *[f"licenses.{c}" for c in (
+        "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]).collect()
+    check_base(dict(enumerate(texts)), rows)
+    assert [r.n_base for r in sorted(rows, key=lambda r: r.doc_id)] == [1, 1, 1, 2, 0, 0]
+
+
 @pytest.mark.parametrize("text, labels", [
     ("licensed under the apache license, version 2.0.", ["apache-2.0"]),
     ("this work is licensed under the gnu general public license, version 3.", ["gpl-3.0"]),
