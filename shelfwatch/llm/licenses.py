@@ -5,6 +5,9 @@ from families (names, versions, identifiers) times statement forms, some three h
 that holds no keyword is never scanned; a rule runs only if its keyword is in the text. Of overlapping detections the one of
 higher priority wins: a detection that lies within the interval of one of higher (or equal) priority is suppressed.
 
+Rules and keywords are matched on folded text: a run of blanks, line breaks and the comment marks next to them is one blank, and
+a line break after a hyphen is nothing. Detections are reported by their places in the text itself.
+
 The gate and the word count are Spark expressions; only texts that pass the gate go to the Python workers, in Arrow batches.
 Nothing is shuffled.
 
@@ -17,9 +20,10 @@ one. Whole texts of any length are scanned. Further columns stay; ``licenses`` o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,13 +112,14 @@ def rules() -> tuple[Rule, ...]:
         out.append(Rule(label, keyword, priority, confidence, re.compile(pattern)))
 
     lead = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
+    published = r"(?:,? as published by the free software foundation[,;:]?(?: either)?)?"
     for label, keyword, name, versions, wants_word in FAMILIES:
         word = r" licen[cs]e" if wants_word else r"(?: licen[cs]e)?"
         for v in versions:
             number = re.escape(v) if not v.endswith(".0") else re.escape(v[:-2]) + r"(?:\.0)?"
-            version = rf",?(?: \(\w+\))?[ -](?:version |v\.? ?)?{number}(?![\d.]*\d)"
+            version = rf"{published},?(?: \(\w+\))?[ -](?:version |v\.? ?)?{number}(?![\d.]*\d)"
             add(f"{label}-{v}", keyword, 50, 1.0, rf"{lead}{name}{word}{version}")
-            add(f"{label}-{v}-or-later", keyword, 60, 1.0, rf"{name}{word}{version}(?:,? or (?:\(at your option\) )?(?:any )?later|\+)")
+            add(f"{label}-{v}-or-later", keyword, 60, 1.0, rf"{name}{word}{version}(?:(?: of the licen[cs]e)?,? or (?:\(at your option\) )?(?:any )?later|\+)")
             add(f"{label}-{v}", keyword, 40, 0.9, rf"{name}{word}{version}")
             add(f"{label}-{v}", "spdx", 70, 1.0, rf"spdx-license-identifier: {re.escape(label)}-{re.escape(v)}(?:-only)?\b(?!-)")
             add(f"{label}-{v}-or-later", "spdx", 71, 1.0, rf"spdx-license-identifier: {re.escape(label)}-{re.escape(v)}-or-later\b")
@@ -134,12 +139,40 @@ def _by_keyword() -> dict[str, list[Rule]]:
     return dict(out)
 
 
+MARK = r"(?:[*/#;%!|>]++|--++>?|<!--++|(?:dnl|rem)(?=\s))"
+GAP = re.compile(rf"(?:[^\S\r\n]++{MARK})?[^\S\r\n]*+(?:[\r\n]\s*+(?:{MARK}\s*+)*+)++|[^\S\r\n]++")
+
+
+def folded(lowered: str) -> tuple[str, list[int], list[int]]:
+    """The text with each gap as one blank; places in it after gaps of other length, and how much the text is longer there."""
+    parts, at, more, done, length, removed = [], [], [], 0, 0, 0
+    for m in GAP.finditer(lowered):
+        gap, start = m[0], m.start()
+        if gap == " ":
+            continue
+        wrapped = start > 1 and lowered[start - 1] == "-" and lowered[start - 2].isalnum() and ("\n" in gap or "\r" in gap)
+        blank = "" if wrapped else " "
+        parts += lowered[done:start], blank
+        length += start - done + len(blank)
+        removed += len(gap) - len(blank)
+        done = m.end()
+        at.append(length)
+        more.append(removed)
+    return "".join([*parts, lowered[done:]]), at, more
+
+
 def detect(lowered: str) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) in a lower-cased text, by start, suppressed ones left out."""
+    flat, at, more = folded(lowered)
+    more = [0, *more]
+
+    def place(i: int) -> int:
+        return i + more[bisect_right(at, i)]
+
     found = {
-        (m.start(), m.end(), rule)
-        for keyword, held in _by_keyword().items() if keyword in lowered
-        for rule in held for m in rule.pattern.finditer(lowered)
+        (place(m.start()), place(m.end() - 1) + 1, rule)
+        for keyword, held in _by_keyword().items() if keyword in flat
+        for rule in held for m in rule.pattern.finditer(flat)
     }
     # a containing interval starts no later and ends no earlier: sweep by start, longest first, over what is still open
     kept, reach = [], defaultdict(int)  # priority -> farthest end so far
@@ -190,8 +223,8 @@ def passes_gate(text: Column) -> Column:
     # base words with anything between them; no \b, which takes the separator _ for part of a word
     gate = lowered.rlike("cc" + WORD.replace("[^", "[", 1) + "by")
     gate = F.when(lowered.contains("cc"), gate).otherwise(F.lit(False))
-    for word in GATE:
-        gate = gate | lowered.contains(word)
+    for keyword in GATE:  # its words, as a keyword may be wrapped
+        gate = gate | reduce(Column.__and__, [lowered.contains(word) for word in keyword.split()])
     return gate
 
 

@@ -78,6 +78,36 @@ def test_more_specific_rules_suppress_contained_ones(text, labels):
     assert sorted({rule.label for _, _, rule in licenses.detect(text)}) == labels
 
 
+WRAPS = ["\n", "  ", "\r\n", "\n * ", "\n# ", "\n// ", "\n\t;; ", " */\n/* ", " #\n# ", "\n--  ", "\n\n> ", "\ndnl "]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_wrapped_notices_of_each_family(wrap):
+    lines = [
+        "gnu general public license, version 2", "gnu lesser general public license v2.1 or later", "gnu affero general public license 3.0",
+        "gnu free documentation license 1.3", "apache software license, version 2.0", "the mit license", "simplified bsd license",
+        "mozilla public license 2.0", "eclipse public license 1.0", "common development and distribution license 1.1",
+        "european union public license 1.2", "cecill license 2.1", "artistic license 2.0", "isc license", "zlib license",
+        "boost software license 1.0", "sil open font license 1.1", "open database license 1.0", "postgresql license",
+        "python software foundation license 2.0", "cc by-sa 4.0", "creative commons attribution noncommercial 3.0",
+        "released into the public domain", "all rights reserved", "redistribution and use in source and binary forms",
+        "permission is hereby granted, free of charge, to any person", "spdx-license-identifier: gpl-2.0-or-later"]
+    for line in lines:
+        text = wrap.join(line.split())
+        plain, found = licenses.detect(line), licenses.detect(text)
+        assert plain and [rule for *_, rule in found] == [rule for *_, rule in plain], text
+        assert [wrap.join(line[a:b].split()) for a, b, _ in plain] == [text[a:b] for a, b, _ in found]
+
+
+def test_wrapped_headers_pass_the_gate(spark):
+    header = ("/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n"
+              " * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n */")
+    texts = [header, "# Dedicated to the public\n# domain", "// All rights\n// reserved", "Creative\n Commons Attribution-\nShareAlike 4.0", "GPL * two  public houses"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan_licenses(frame).select("doc_id", "licenses.labels").collect()
+    assert dict(map(tuple, rows)) == {0: "lgpl-2.1-or-later", 1: "public-domain", 2: "all-rights-reserved", 3: "cc-by-sa-4.0", 4: "gpl"}
+
+
 def test_license_rules_and_gate(spark):
     assert len(licenses.rules()) >= 300
     texts = [f"see the {w} here" for w in licenses.GATE]
