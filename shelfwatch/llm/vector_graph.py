@@ -5,8 +5,9 @@ centroids). In every shard a graph is built: each vector keeps near neighbours a
 neighbour is not better reached through another (robust pruning), edges made mutual. The adjacency lists of a vector from all
 its shards are united. Then each vector is searched: greedily from the shard's medoid with a beam, and from all that is near
 enough the search expands over the graph until no nearer neighbour is new. Found neighbours are verified by the cosine in
-double precision. Recall is measured against brute force on a sample of queries; below ``RECALL`` the index is rebuilt with
-more overlap.
+double precision. Recall is measured against brute force on samples of queries, one for each order of magnitude of the links
+found; the least of the pooled recall, the mean over queries and the means over queries with about as many true links counts.
+Below ``RECALL`` the index is rebuilt with more overlap.
 
 - Equal vectors of a label are one node with a number of copies.
 - Centroids are drawn from a bounded sample and sent to the tasks: at most ``MOST_CENTROIDS`` in all.
@@ -23,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -310,33 +312,66 @@ def find_links(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
         spread_groups(searched, GROUP).groupBy(*GROUP).applyInPandas(_links(least), "node bigint, links bigint, others bigint, root bigint"), "found")
 
 
-def measure_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = QUERIES) -> float:
-    """Share of the links that brute force finds for a sample of nodes; 1 without any."""
-    chosen = hashed_share(nodes.select("node", "label", "size", "embedding"), F.xxhash64("node"), queries).collect()
+def _strata(nodes: DataFrame, links: DataFrame, queries: int) -> DataFrame:
+    """About ``queries`` nodes for each order of magnitude of the links found (all if there are no more), chosen by hash:
+    node, label, size, embedding, found, weight (nodes that each stands for)."""
+    counted = store(
+        nodes.select("node").join(links.groupBy("node").agg(F.sum("others").alias("found")), "node", "left")
+        .withColumn("found", F.coalesce("found", F.lit(0)))
+        .withColumn("stratum", F.ceil(F.log2(F.col("found") + 1) / 2).cast("int")), "counted")
+    totals = {r["stratum"]: r["count"] for r in counted.groupBy("stratum").count().collect()}
+    if not totals:
+        return nodes.select("node", "label", "size", "embedding", F.lit(0).alias("found"), F.lit(1.0).alias("weight")).limit(0)
+    total = F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("stratum"))
+    draw = F.pmod(F.xxhash64(F.xxhash64("node")), F.lit(2**53)) / 2**53  # fine enough for tables of any size
+    chosen = store(counted.filter((total <= queries) | (draw * total < queries)), "queries")
+    taken = chosen.groupBy("stratum").agg((F.first(total) / F.count("*")).alias("weight"))
+    return chosen.join(taken, "stratum").join(nodes.select("node", "label", "size", "embedding"), "node").drop("stratum")
+
+
+def _least_recall(queries: pd.DataFrame) -> float | None:
+    """The least recall of true, found, weight per query: pooled, mean per query, mean per class of true links (1 to 3, 4 to
+    15, ...); None if no query has a link. Weights make up for the sampling."""
+    queries = queries[queries["true"] > 0]
+    if not len(queries):
+        return None
+    true, found, weight = (queries[c].to_numpy(np.float64) for c in ("true", "found", "weight"))
+    own = found / true
+    classes = np.floor(np.log2(true) / 2)
+    return float(min((weight * found).sum() / (weight * true).sum(), np.average(own, weights=weight),
+                     *(np.average(own[classes == c], weights=weight[classes == c]) for c in np.unique(classes))))
+
+
+def measure_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = QUERIES) -> float | None:
+    """The least recall against brute force for samples of nodes; None (not measured) if no node of them has a link."""
+    chosen = _strata(nodes, links, queries).collect()
     by_label = {}
     for r in chosen:
         by_label.setdefault((r["label"], r["size"]), []).append((r["node"], r["embedding"]))
     if not chosen:
-        return 1.0
+        return None
     shared = nodes.sparkSession.sparkContext.broadcast(
         {key: (np.array([n for n, _ in rows]), _unit([v for _, v in rows])) for key, rows in by_label.items()})
 
     def count(batches):
+        totals = {}
         for frame in batches:
-            out = []
             for key, part in frame.groupby(["label", "size"]):
                 if key in shared.value:
                     own, x = shared.value[key]
-                    hit = (x @ _unit(part["embedding"]).T >= least) & (own[:, None] != part["node"].to_numpy())
-                    out.append(pd.DataFrame({"node": own, "n": hit.sum(1)}))
-            if out:
-                yield pd.concat(out)
+                    step = max(1, AT_ONCE // max(len(own), x.shape[1]))
+                    for start in range(0, len(part), step):
+                        rows = part.iloc[start:start + step]
+                        hit = (x @ _unit(rows["embedding"]).T >= least) & (own[:, None] != rows["node"].to_numpy())
+                        totals[key] = totals.get(key, 0) + hit.sum(1)
+        for key, n in totals.items():
+            yield pd.DataFrame({"node": shared.value[key][0], "n": n})
 
-    true = nodes.select("node", "label", "size", "embedding").mapInPandas(count, "node bigint, n bigint").groupBy("node").agg(
-        F.sum("n").alias("true"))
-    found = links.groupBy("node").agg(F.sum("others").alias("found"))
-    row = true.join(found, "node", "left").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).first()
-    return (row["found"] or 0) / row["true"] if row["true"] else 1.0
+    counted = nodes.select("node", "label", "size", "embedding").mapInPandas(count, "node bigint, n bigint").groupBy("node").agg(
+        F.sum("n").alias("true")).collect()
+    true = {r["node"]: r["true"] for r in counted}
+    return _least_recall(pd.DataFrame(
+        [(true.get(r["node"], 0), r["found"], r["weight"]) for r in chosen], columns=["true", "found", "weight"]))
 
 
 def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
@@ -346,6 +381,9 @@ def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     for attempt in range(ATTEMPTS):
         links = find_links(nodes, least, overlap)
         recall = measure_recall(nodes, links, least)
+        if recall is None:
+            warnings.warn("recall not measured: no vector that was asked for has a link")
+            break
         if recall >= RECALL:
             break
         overlap *= 2

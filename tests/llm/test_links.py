@@ -176,6 +176,27 @@ def test_recall_is_measured(spark, vectors):
     assert vector_graph.measure_recall(nodes, links.limit(0), 0.93) == 0
 
 
+def test_recall_sees_losses_of_small_groups(spark):
+    """A hot cluster whose links are all found does not hide that the links of pairs are lost."""
+    draw = np.random.default_rng(4)
+    hot = draw.normal(size=16)
+    rows = [hot + 0.01 * draw.normal(size=16) for _ in range(200)]
+    for _ in range(100):
+        rows += [(v := draw.normal(size=16)), v + 0.01 * draw.normal(size=16)]
+    table = [(i, [float(c) for c in v], 0) for i, v in enumerate(rows)]
+    nodes = vector_graph.distinct_vectors(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int"))
+    links = vector_graph.find_links(nodes, 0.93, 2)
+    assert vector_graph.measure_recall(nodes, links, 0.93) == 1
+    assert vector_graph.measure_recall(nodes, links.filter("others > 20"), 0.93) < 0.1
+    assert vector_graph.measure_recall(nodes, links.filter("others > 20"), 0.93, queries=40) < 0.1
+
+
+def test_recall_without_links_is_not_measured(spark):
+    table = [(i, [float(i == k) for k in range(8)], 0) for i in range(8)]
+    nodes = vector_graph.distinct_vectors(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int"))
+    assert vector_graph.measure_recall(nodes, vector_graph.find_links(nodes, 0.93, 2), 0.93) is None
+
+
 def test_vectors_with_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.001], 0), (None, None, None), (4, [0.0, 1.0], 0)]
     found = vector_graph.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
