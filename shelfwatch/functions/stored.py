@@ -29,3 +29,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store_bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """As ``store``, with the rows of each value of ``column`` in one of ``buckets`` files, so that grouping and joining by
+    it needs no exchange. The catalog needs a table for that while the result is analysed; it is dropped at once, its files
+    stay."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    (df.repartition(buckets, column).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}")
+     .bucketBy(buckets, column).saveAsTable(table))
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return written
