@@ -164,9 +164,66 @@ select doc_id, coalesce(low, doc_id) as class_id, (select count(*) from links wh
 from docs left join lowest on id = doc_id
 """
 
+REPEATED_PASSAGES = r"""
+with docs as (
+  select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), windows as (
+  select row, i, array_to_string(words[i:i + 34], ' ') as gram
+  from (select *, unnest(range(1, len(words) - 33)) as i from docs where len(words) >= 35)
+), repeated as (select gram from windows group by gram having count(*) > 1
+), gone as (select distinct row, unnest(range(i, i + 35)) as i from windows semi join repeated using (gram)
+), kept as (
+  select row, count(*) as n_kept, string_agg(word, ' ' order by i) as kept
+  from (select row, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from docs) anti join gone using (row, i)
+  group by row
+)
+select doc_id, cast(len(words) as bigint) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join kept using (row)
+"""
+
+PREFIX_TRIE = f"""
+with originals as (
+  select conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest,
+         length(coalesce(text, '')) as tokens
+  from conversations where conv_id is not null
+), turns as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest) as place from originals
+), convs as (
+  select conv_id, conv_id - conv_id % 100 as source,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(hex(encode(conv_id::varchar)))),
+             lambda i: strpos('0123456789ABCDEF', hex(encode(conv_id::varchar))[i + 2 - 2 * (i % 2)]) - 1)::bigint[]),
+             lambda crc, n: xor(crc >> 4, ({_CRC_TABLE}::bigint[])[1 + (xor(crc, n) & 15)]))) % 6 as taken
+  from (select distinct conv_id from turns)
+), rebuilt as (
+  select c.conv_id, place, digest, tokens from convs c join turns t on t.conv_id = c.source where place <= taken
+  union all
+  select conv_id, place, digest, tokens from convs join turns using (conv_id) where place > taken
+), paths as (
+  select conv_id, coalesce(string_agg(digest, '' order by place), '') as path, list(tokens order by place) filter (place is not null) as tokens
+  from convs left join rebuilt using (conv_id) group by conv_id
+), prefixes as (
+  select conv_id, path, d, path[1:32 * d] as node, case when d > 0 then tokens[d] else 0 end as tokens
+  from (select *, unnest(range(0, len(path) // 32 + 1)) as d from paths)
+), nodes as (
+  select node, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(tokens) as tokens,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (path = node), '')) as ends_sha256
+  from prefixes group by node, d
+), families as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes c where c.d = n.d + 1 and starts_with(c.node, n.node)) as n_children
+  from nodes n left join nodes p on n.d > 0 and p.node = n.node[1:32 * (n.d - 1)]
+), subtrees as (
+  select n.node, count(*) filter (b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.tokens) as saved_tokens
+  from families n join families b on starts_with(b.node, n.node) group by n.node
+)
+select conv_id, cast(d as bigint) as depth, parent_conv_id, n_convs, n_children, n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from families join subtrees using (node)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mix": SOURCE_MIX, "op4_vector_links": VECTOR_LINKS, "op5_byte_shards": BYTE_SHARDS,
         "op6_ngram_join": NGRAM_JOIN, "op9_decontamination": DECONTAMINATION, "op10_url_filter": URL_FILTER,
+        "op11_repeated_passages": REPEATED_PASSAGES, "op13_prefix_trie": PREFIX_TRIE,
     }

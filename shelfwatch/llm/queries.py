@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.workers import importable
-from shelfwatch.llm import decontaminate, licenses, mixing, ngram_join, pii, quality, shards, toxicity, url_filter, vector_graph
+from shelfwatch.llm import (
+    decontaminate, licenses, mixing, ngram_join, pii, prefix_trie, quality, shards, substring_dedup, toxicity, url_filter,
+    vector_graph, whitening,
+)
 from shelfwatch.llm.common import held_out
 
 # The rules of the URL query (host, path, verdict).
@@ -20,6 +23,7 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 SHARDS = 24
+WHITE_COMPONENTS = 16
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +89,31 @@ def op10_url_filter(spark, folder):
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_repeated_passages(spark, folder):
+    found = substring_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark, folder):
+    embeddings = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(embeddings, WHITE_COMPONENTS)
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]).cast("array<double>")
+    return whitening.whiten(embeddings, model).select(
+        "vec_id", F.col("whitening.deviation").alias("deviation"), F.posexplode("whitening.values").alias("pos", "whitened"),
+    ).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("pos")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_prefix_trie(spark, folder):
+    """Conversations that open with up to five turns of the one whose number ends their hundred."""
+    conv = F.col("conv_id")
+    opened = prefix_trie.rebuilt(
+        prefix_trie.turns(_table(spark, folder, "conversations")), conv - conv % 100, F.crc32(conv.cast("string")) % 6, most=5)
+    return prefix_trie.prefix_trie(opened).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def pipeline(spark, folder):
     from corpus_pipeline import run  # which imports this module
 
@@ -93,7 +122,8 @@ def pipeline(spark, folder):
 
 QUERIES = (
     op1_personal_data, op2_source_mix, op3_quality, op4_vector_links, op5_byte_shards, op6_ngram_join, op7_toxicity,
-    op8_license_scan, op9_decontamination, op10_url_filter, pipeline,
+    op8_license_scan, op9_decontamination, op10_url_filter, op11_repeated_passages, op12_whitening, op13_prefix_trie,
+    pipeline,
 )
 
 
