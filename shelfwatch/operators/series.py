@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.dates import date_key
-from shelfwatch.functions.stored import store
+from shelfwatch.functions.daybits import DayBits, day_bits
 from shelfwatch.params import Params
 
 PAIR = ["store_nbr", "item_nbr"]
@@ -58,41 +58,39 @@ def full_trading_days(store_days: DataFrame, p: Params) -> DataFrame:
     return store_calendar(store_days, p).drop("trading_days")
 
 
-def calendar_lookup(calendar: DataFrame) -> DataFrame:
-    """The store calendar as the small side of a join on (store, date).
-
-    Written once, so that Spark knows its size: below the session's threshold it is broadcast and the large side keeps
-    its partitioning by store-item; above, the join exchanges on (store, date), a key fine enough to spread a dominant
-    store over its days.
-    """
-    return store(calendar, "calendar")
+def trading_bits(store_days: DataFrame, p: Params) -> DayBits:
+    """Each store's calendar as one row: the bitmaps ``trading`` and, judged as in ``store_calendar``, ``full``."""
+    return day_bits(store_calendar(store_days, p), "store_nbr", trading=F.lit(True), full=F.col("full_day"))
 
 
-def _days_of_pairs(sales: DataFrame, p: Params) -> DataFrame:
-    """Every calendar day from first to last sale of each eligible store-item.
+def _days_of_pairs(sales: DataFrame, bits: DayBits, p: Params) -> DataFrame:
+    """Every trading day from first to last sale of each eligible store-item, and whether it was a full one.
 
     Each sale row carries the silent days up to the next sale, so the panel is filled in place: sales
-    rows are exchanged once by store-item and the much larger panel is not exchanged at all. Totals of
+    rows are exchanged once by store-item and the much larger panel is not exchanged at all. The store's bitmap tells which
+    of the days it traded on, so other days are never generated. Totals of
     the store-item come from the same sorted pass; ``centre`` is its typical day, as a whole number.
     """
     in_order = Window.partitionBy(*PAIR).orderBy("date")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        sales.filter(F.col("date") >= _history_start(p))
-        .select(*PAIR, F.col("date").alias("sale_date"), "units",
-                F.sum("units").over(whole).alias("sold"),
-                F.round(F.avg("units").over(whole)).alias("centre"),
-                F.lead("date").over(in_order).alias("next_sale"))
+    relevant = sales.filter(F.col("date") >= _history_start(p))
+    sold_days = (
+        relevant.select(*PAIR, F.col("date").alias("sale_date"), "units",
+                        F.sum("units").over(whole).alias("sold"),
+                        F.round(F.avg("units").over(whole)).alias("centre"),
+                        F.lead("date").over(in_order).alias("next_sale"))
         .filter(_sold_enough(F.col("sold"), p))
-        .select(*PAIR, "sale_date", "units", "centre",
-                F.explode(F.sequence("sale_date", F.coalesce(F.date_sub("next_sale", 1), "sale_date"))).alias("date"))
     )
+    sale_day = F.unix_date("sale_date")
+    last = F.coalesce(F.unix_date("next_sale") - 1, sale_day)
+    days = F.transform(bits.between("trading", sale_day, last), lambda day: F.struct(
+        F.date_from_unix_date(day).alias("date"), bits.has("full", day).alias("full_day")))
+    return bits.beside(sold_days, PAIR, relevant).select(*PAIR, "sale_date", "units", "centre", F.inline(days))
 
 
 def trading_spine(sales: DataFrame, store_days: DataFrame, p: Params) -> DataFrame:
     """Store-item × trading day between first and last sale."""
-    trading = calendar_lookup(store_days.filter(F.col("receipts") > 0).select("store_nbr", "date"))
-    return _days_of_pairs(sales, p).join(trading, ["store_nbr", "date"]).select(*PAIR, "date")
+    return _days_of_pairs(sales, trading_bits(store_days, p), p).select(*PAIR, "date")
 
 
 def stockout_series(sales: DataFrame, store_days: DataFrame, p: Params) -> DataFrame:
@@ -104,12 +102,11 @@ def stockout_series(sales: DataFrame, store_days: DataFrame, p: Params) -> DataF
     n, total, squares = F.col("history_days"), F.col("total"), F.col("squares")
     off_total = total - n * F.col("centre")
     return (
-        _days_of_pairs(sales, p)
-        .join(calendar_lookup(full_trading_days(store_days, p)), ["store_nbr", "date"])
+        _days_of_pairs(sales, trading_bits(store_days, p), p)
         .select(*PAIR, "date", "centre",
                 F.when(sold_today, F.col("units")).otherwise(0.0).alias("units"),
                 (~sold_today).alias("no_sale_row"),
-                F.coalesce("full_day", F.lit(False)).alias("full_day"))
+                "full_day")
         # sliding sums are several times cheaper than a sliding var_samp; taken around the typical
         # day they lose no digits
         .withColumns({

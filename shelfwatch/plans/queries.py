@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelfwatch.functions.stored import store
 from shelfwatch.functions.workers import importable
-from shelfwatch.operators import bootstrap, promo, quality, reconcile, reports, runs, series
+from shelfwatch.operators import bootstrap, fdr, promo, quality, reconcile, reports, runs, series
 from shelfwatch.params import Params
 from shelfwatch.plans import files
 from shelfwatch.plans.layers import Layers
@@ -103,7 +103,9 @@ def _seeded(t: Layers) -> dict[str, DataFrame]:
 
 
 def _exact_weeks(t: Layers) -> DataFrame:
-    return runs.weekly_stockout_rate(t.fact_stockout_run, t.stockout_series, t.stg_store, t.p, credit="own")
+    flagged, _ = fdr.flag_bh(store(runs.stockout_runs(t.stockout_series, t.p, keep_days=True), "stockout_run_days"), t.p.fdr_q)
+    calendar = series.trading_bits(t.store_day, t.p)
+    return runs.weekly_stockout_rate(flagged, t.stockout_series, t.stg_store, t.p, credit="own", calendar=calendar)
 
 
 def _order_summary(t: Layers) -> DataFrame:
@@ -128,7 +130,7 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "stockout_series": lambda t: t.stockout_series,
     "stockout_risk_days": lambda t: t.fact_stockout_risk,
     # runs and false-discovery control
-    "zero_sale_runs": lambda t: runs.zero_sale_runs(t.stockout_series).drop("run_id"),
+    "zero_sale_runs": lambda t: runs.zero_sale_runs(t.stockout_series).drop("run_id", "full_days"),
     "stockout_runs_tested": lambda t: t.stockout_run_tested,
     "stockout_runs_flagged": lambda t: t.fact_stockout_run,
     "bh_summary": lambda t: t.stockout_bh_summary,
