@@ -42,3 +42,36 @@ def store_bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataF
     written = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return written
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system and the qualified path."""
+    plain = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, files.makeQualified(plain)
+
+
+def _before(path):
+    """Where a folder waits while its successor takes its place."""
+    return path.suffix(".before")
+
+
+def replace_folder(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the finished folder ``staged`` in the place of ``path``. The old one is deleted last; until then
+    ``recover_folder`` can bring it back."""
+    files, target = _folder(spark, path)
+    recover_folder(spark, path)
+    if files.exists(target):
+        files.rename(target, _before(target))
+    files.rename(_folder(spark, staged)[1], target)
+    files.delete(_before(target), True)
+
+
+def recover_folder(spark: SparkSession, path: str) -> None:
+    """Bring back the old folder where a replacement stopped between its two renames."""
+    files, target = _folder(spark, path)
+    if files.exists(_before(target)):
+        if files.exists(target):
+            files.delete(_before(target), True)
+        else:
+            files.rename(_before(target), target)

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 
 from shelfwatch.operators.runs import LOG_DECIMALS
-from shelfwatch.plans.queries import DECIMALS, MISSING_ITEMS, MISSING_STORE, PARAMS, SLICED, TIE_SHIFT
+from shelfwatch.plans.queries import (
+    DECIMALS, DURABLE_DAYS, MISSING_ITEMS, MISSING_STORE, PARAMS, PERISHABLE_DAYS, SLICED, TIE_SHIFT,
+)
 from shelfwatch.params import Params
 
 
@@ -199,6 +201,21 @@ def _tables(p: Params, x: str = "") -> dict[str, str]:
                             AND t.date > e.end_date AND t.date <= e.end_date + {post}) AS post_trading_days
                   FROM events_raw{x} e
                   WHERE baseline_units > 0 AND start_date BETWEEN DATE '{p.window_start}' AND DATE '{p.window_end}')""",
+        f"family_windows{x}": f"""
+            SELECT family, CASE WHEN bool_or(perishable) THEN {PERISHABLE_DAYS} ELSE {DURABLE_DAYS} END AS post_days
+            FROM items GROUP BY family""",
+        f"events_by_family{x}": f"""
+            SELECT *, end_date + post_days AS post_end,
+                   (next_start IS NULL OR next_start > end_date + post_days) AND end_date + post_days <= DATE '{p.window_end}'
+                     AND post_trading_days > 0 AS post_ok
+            FROM (SELECT e.* REPLACE (coalesce((SELECT sum(f.units) FROM fact{x} f WHERE f.store_key = e.store_key
+                                                  AND f.item_key = e.item_key AND f.date > e.end_date
+                                                  AND f.date <= e.end_date + e.post_days), 0) AS post_units_raw),
+                         (SELECT nullif(count(*), 0) FROM trading{x} t WHERE t.store_nbr = e.store_key
+                            AND t.date > e.end_date AND t.date <= e.end_date + e.post_days) AS post_trading_days
+                  FROM (SELECT r.*, family, CAST(post_days AS INTEGER) AS post_days
+                        FROM events_raw{x} r JOIN items ON item_nbr = item_key JOIN family_windows{x} USING (family)) e
+                  WHERE baseline_units > 0 AND start_date BETWEEN DATE '{p.window_start}' AND DATE '{p.window_end}')""",
         f"events{x}": f"""
             SELECT store_key, item_key, family, {_key('start_date')} AS start_date_key, {_key('end_date')} AS end_date_key,
                    promo_days, promo_units, baseline_units, promo_units / (baseline_units * promo_days) - 1 AS uplift,
@@ -384,6 +401,8 @@ def _bodies() -> dict[str, str]:
                                   "post_promo_window:b baseline_units:d", "fact"),
         "promo_events_raw": _select(_RAW_EVENT, "events_raw"),
         "promo_post_window": _select(_RAW_EVENT + " post_trading_days:i post_end:t post_ok:b", "events_post"),
+        "promo_post_by_family": _select(
+            _RAW_EVENT + " family:t post_days:i post_trading_days:i post_end:t post_ok:b", "events_by_family"),
         "promo_events": _select("store_key:i item_key:i family:t start_date_key:i end_date_key:i promo_days:i promo_units:d "
                                 "baseline_units:d uplift:d post_units:d post_expected_units:d post_dip:d net_lift:d "
                                 "touches_payday_or_holiday:b", "events"),
@@ -475,5 +494,10 @@ def oracle_sql() -> dict[str, str]:
         "csv_load_counts": _query(files, load_counts),
         "csv_loaded_sales": _query(files, bodies["sales_daily"]),
         "csv_exported_runs": _query(files, bodies["stockout_runs_flagged"]),
+        "catalog_runs_tested": _query(regions, bodies["stockout_runs_tested"]),
+        "catalog_promo_days": _query(regions, _select("store_key:i item_key:i promo_days:i with_baseline:i promo_units:d", """
+            (SELECT store_key, item_key, count(*) AS promo_days, count(baseline_units) AS with_baseline, sum(units) AS promo_units
+             FROM fact WHERE on_promo GROUP BY store_key, item_key)""")),
+        "stored_profile": _query(regions, bodies["layer_profile"]),
         "sales_by_sql": _query(regions, _select("store_nbr:i item_nbr:i days:i units:d most_receipts:i", by_sql)),
     }

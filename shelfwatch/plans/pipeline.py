@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwatch.functions.stored import recover_folder, replace_folder
 from shelfwatch.operators.quality import dq_checks, require_clean
 from shelfwatch.params import Params
 from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER, Layers
+from shelfwatch.plans.publish import Shelf
 from shelfwatch.sources.raw import RAW_SCHEMAS, counted, read_raw
+from shelfwatch.sources.splits import partitions_of
 
 CHECKED = ["sales", "fact_sales", "fact_stockout_risk", "stg_store", "stg_item", "dim_date"]
 
@@ -40,10 +44,15 @@ class FolderStore(Store):
         self.spark, self.root = spark, root
 
     def save(self, layer: str, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{layer}/{name}")
+        """Write beside the table and swap the folders: a job that dies leaves the old table, and a table may be made from
+        itself."""
+        staged = f"{self.root}/{layer}/.{name}-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        replace_folder(self.spark, staged, f"{self.root}/{layer}/{name}")
         return self.table(layer, name)
 
     def table(self, layer: str, name: str) -> DataFrame:
+        recover_folder(self.spark, f"{self.root}/{layer}/{name}")
         return self.spark.read.parquet(f"{self.root}/{layer}/{name}")
 
 
@@ -54,25 +63,27 @@ class CatalogStore(Store):
     and groupings that follow read them without an exchange. ``sales`` is exchanged once, when it is
     written; the larger tables made from it are computed and written bucket by bucket. ``buckets``
     should give each bucket a few hundred megabytes; one store-item is at most one row per calendar
-    day, so buckets stay even.
+    day, so buckets stay even. ``prefix`` goes before the schema names, so that several sets of tables can lie in one
+    catalog; ``root`` is the folder of the schemas, by default in the warehouse.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int, prefix: str = "", root: str | None = None):
+        self.spark, self.buckets, self.prefix, self.root = spark, buckets, prefix, root
 
     def save(self, layer: str, name: str, df: DataFrame) -> DataFrame:
-        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
+        place = f" LOCATION '{self.root}/{layer}'" if self.root else ""
+        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.prefix}{layer}{place}")
         writer = df.write.mode("overwrite").format("parquet")
         if name in BY_STORE_ITEM:
             keys, day = BY_STORE_ITEM[name]
             if name == "sales":
                 writer = df.repartition(self.buckets, *keys).write.mode("overwrite").format("parquet")
             writer = writer.bucketBy(self.buckets, *keys).sortBy(*keys, day)
-        writer.saveAsTable(f"{layer}.{name}")
+        writer.saveAsTable(f"{self.prefix}{layer}.{name}")
         return self.table(layer, name)
 
     def table(self, layer: str, name: str) -> DataFrame:
-        return self.spark.table(f"{layer}.{name}")
+        return self.spark.table(f"{self.prefix}{layer}.{name}")
 
 
 class ViewStore(Store):
@@ -96,12 +107,13 @@ def load_raw(
 ) -> dict[str, int]:
     """Read the five raw files with their fixed types into the bronze layer; returns rows per table.
 
-    Rows are counted while they are written, not by a second scan. ``spread`` is the number of partitions for the sales file
-    when it arrives as fewer gzip files than there are cores.
+    Rows are counted while they are written, not by a second scan. The sales are dealt to ``spread`` partitions; by default
+    to as many as their bytes deserve, where they arrive as fewer gzip files.
     """
     counts = {}
     for name in RAW_SCHEMAS:
-        df = read_raw(spark, f"{folder}/{name}{extension}", name, spread=spread if name == "train" else None)
+        path = f"{folder}/{name}{extension}"
+        df = read_raw(spark, path, name, spread=(spread or partitions_of(spark, path)) if name == "train" else None)
         if store.writes:
             df, seen = counted(df, f"load_{name}")
             store.save("bronze", name, df)
@@ -123,12 +135,11 @@ def build(store: Store, p: Params) -> Layers:
     return tables
 
 
-def export(tables: Layers, target: str) -> list[str]:
-    """Write the consumer tables as Parquet, after all data checks pass; nothing is written otherwise."""
+def export(tables: Layers, target: str) -> str:
+    """Publish the consumer tables as one release, after all data checks pass; nothing is written otherwise."""
     require_clean(dq_checks(tables.tables(CHECKED)))
-    for name in EXPORTED:
-        getattr(tables, name).write.mode("overwrite").parquet(f"{target}/{name}")
-    return EXPORTED
+    tables = tables.tables(EXPORTED)
+    return Shelf(tables[EXPORTED[0]].sparkSession, target).publish(tables)
 
 
 def run(spark: SparkSession, store: Store, raw_folder: str, target: str, p: Params, extension: str = ".csv.gz",

@@ -112,6 +112,15 @@ def _order_summary(t: Layers) -> DataFrame:
     return bootstrap.family_summary(t.fact_promo_event, t.p, interval="order")
 
 
+# Days watched after a promotion of a family with perishable items, and of others.
+PERISHABLE_DAYS, DURABLE_DAYS = 3, 14
+
+
+def _family_windows(t: Layers) -> DataFrame:
+    days = F.when(F.max(F.col("is_perishable").cast("int")) == 1, PERISHABLE_DAYS).otherwise(DURABLE_DAYS)
+    return t.stg_item.groupBy("family").agg(days.alias("post_days"))
+
+
 PROFILED = ["sales", "store_day", "stockout_series"]
 
 # name -> result of the query, given the tables
@@ -143,6 +152,8 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "promo_events_raw": lambda t: promo.promo_events_raw(t.fact_sales, t.dim_date, t.p).drop("event_id"),
     "promo_post_window": lambda t: promo.promo_post_window(
         t.fact_sales, t.dim_date, t.stg_store_day, t.p).drop("event_id"),
+    "promo_post_by_family": lambda t: promo.promo_post_by_family(
+        t.fact_sales, t.dim_date, t.stg_store_day, t.stg_item, _family_windows(t), t.p).drop("event_id"),
     "promo_events": lambda t: t.fact_promo_event,
     "promo_family_medians": lambda t: bootstrap.family_medians(t.fact_promo_event, t.p),
     "promo_family_summary": lambda t: t.promo_family_summary,
@@ -199,6 +210,9 @@ _ON_RAW: dict[str, Callable[[SparkSession, StarSchemaTables, Params], DataFrame]
     "csv_loaded_sales": files.loaded_sales,
     "csv_exported_runs": files.exported_runs,
     "sales_by_sql": files.sales_by_sql,
+    "catalog_runs_tested": files.catalog_runs,
+    "catalog_promo_days": files.catalog_promo_days,
+    "stored_profile": files.stored_profile,
 }
 
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwatch.sources.statistics import column_ends
+
 # One year of holidays covering every rule branch
 # (month, day, type, locale, locale_name, description, transferred).
 HOLIDAYS = [
@@ -132,14 +134,15 @@ class StarSchemaTables(Mapping):
 
     def _holidays_events(self) -> DataFrame:
         """Every year from the first to the last that ships anything gets the same entries. The two ends come from the
-        column statistics of the files, without a scan."""
+        footers of the files, read when the table is first asked for; no row is."""
         fields = ("month", "day", "type", "locale", "locale_name", "description", "transferred")
         entries = F.array(*[
             F.struct(*[F.lit(value).alias(field) for field, value in zip(fields, row)]) for row in HOLIDAYS
         ])
-        ends = self._table("lineitem").agg(F.year(F.min("l_shipdate")).alias("first"), F.year(F.max("l_shipdate")).alias("last"))
+        ends = column_ends(self._spark, f"{self._folder}/lineitem.parquet", "l_shipdate")
+        years = range(ends.first.year, ends.last.year + 1) if ends.first else range(0)
         return (
-            ends.filter(F.col("first").isNotNull()).select(F.explode(F.sequence("first", "last")).alias("year"))
+            self._spark.range(years.start, years.stop).select(F.col("id").cast("int").alias("year"))
             .select("year", F.inline(entries))
             .select(F.make_date("year", "month", "day").alias("date"), *fields[2:])
         )

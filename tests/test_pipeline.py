@@ -10,6 +10,7 @@ from shelfwatch.operators.runs import stockout_runs
 from shelfwatch.operators.series import stockout_series
 from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER, Layers
 from shelfwatch.plans.pipeline import CatalogStore, FolderStore, ViewStore, build, counts_table, export, load_raw, run
+from shelfwatch.plans.publish import Shelf
 
 
 def plan(df) -> str:
@@ -35,7 +36,9 @@ def test_full_run_writes_every_table(spark, written, tables):
             expected = getattr(tables, name)
             assert stored.columns == expected.columns
             assert sorted(map(str, stored.collect())) == sorted(map(str, expected.collect())), name
-    assert sorted(os.listdir(root / "export")) == sorted(EXPORTED)
+    shelf = Shelf(spark, str(root / "export"))
+    assert sorted(os.listdir(root / "export" / "releases" / shelf.current())) == sorted(EXPORTED)
+    assert shelf.table("fact_stockout_run").count() == made.fact_stockout_run.count()
 
 
 def test_load_counts_rows(spark, shop, tmp_path, raw):
