@@ -7,7 +7,8 @@ its shards are united. Then each vector is searched: greedily from the shard's m
 enough the search expands over the graph until no nearer neighbour is new. Found neighbours are verified by the cosine in
 double precision. Recall is measured against brute force on samples of queries, one for each order of magnitude of the links
 found; the least of the pooled recall, the mean over queries and the means over queries with about as many true links counts.
-Below ``RECALL`` the index is rebuilt with more overlap.
+Below ``RECALL`` the index is rebuilt with more overlap; labels of which links are missed after ``ATTEMPTS`` builds are compared
+exactly, block by block.
 
 - Equal vectors of a label are one node with a number of copies.
 - Centroids are drawn from a bounded sample and sent to the tasks: at most ``MOST_CENTROIDS`` in all.
@@ -96,8 +97,9 @@ def _centroids(nodes: DataFrame, overlap: int) -> dict:
 
 
 def _sharded(nodes: DataFrame, overlap: int) -> DataFrame:
-    """Members of each group to search: label, size, shard, i, j (blocks), block, node, embedding, copies, shards."""
-    shared = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes, overlap))
+    """Members of each group to search: label, size, shard, i, j (blocks), block, node, embedding, copies, shards. Without
+    overlap a label is one shard."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes, overlap) if overlap else {})
 
     def nearest(labels: pd.Series, embeddings: pd.Series) -> pd.Series:
         out = [None] * len(labels)
@@ -264,7 +266,19 @@ def _search(x: np.ndarray, lists: list[np.ndarray], least: float) -> np.ndarray:
     return found
 
 
-def _links(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _exact(x: np.ndarray, least: float) -> np.ndarray:
+    """All links of a group."""
+    linked = np.zeros((len(x), len(x)), bool)
+    for start in range(0, len(x), 1000):
+        linked[start:start + 1000] = x[start:start + 1000] @ x.T >= least - 1e-9
+    a, b = np.nonzero(linked | linked.T)
+    good = (a != b) & (_cosines(x, a, b) >= least)
+    linked[:] = False
+    linked[a[good], b[good]] = True
+    return linked
+
+
+def _links(least: float, exact: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         """Links of a group's members that belong to this group, and the component they form in it."""
         frame = frame.sort_values("node").reset_index(drop=True)
@@ -272,11 +286,12 @@ def _links(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if n < 2:
             return pd.DataFrame({"node": nodes[:0], "links": nodes[:0], "others": nodes[:0], "root": nodes[:0]})
         lists = []
-        for near in frame["near"]:
+        for near in frame["near"] if not exact else []:
             near = np.unique(np.asarray(near, np.int64))
             at = np.minimum(np.searchsorted(nodes, near), n - 1)
             lists.append(at[nodes[at] == near])
-        linked = _search(_unit(frame["embedding"]), lists, least)
+        x = _unit(frame["embedding"])
+        linked = _exact(x, least) if exact else _search(x, lists, least)
         shard, block = frame["shard"].iloc[0], frame["block"].to_numpy()
         a, b = np.nonzero(linked)
         earlier = [np.array([s for s in shards if s < shard], np.int64) for shards in frame["shards"]]
@@ -312,6 +327,14 @@ def find_links(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
         spread_groups(searched, GROUP).groupBy(*GROUP).applyInPandas(_links(least), "node bigint, links bigint, others bigint, root bigint"), "found")
 
 
+def exact_links(nodes: DataFrame, least: float) -> DataFrame:
+    """The same without an index: every label is one shard, cut into blocks of which each pair is compared."""
+    members = store(_sharded(nodes, 0), "members")
+    return store(
+        spread_groups(members, GROUP).groupBy(*GROUP).applyInPandas(
+            _links(least, exact=True), "node bigint, links bigint, others bigint, root bigint"), "found")
+
+
 def _strata(nodes: DataFrame, links: DataFrame, queries: int) -> DataFrame:
     """About ``queries`` nodes for each order of magnitude of the links found (all if there are no more), chosen by hash:
     node, label, size, embedding, found, weight (nodes that each stands for)."""
@@ -344,12 +367,18 @@ def _least_recall(queries: pd.DataFrame) -> float | None:
 
 def measure_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = QUERIES) -> float | None:
     """The least recall against brute force for samples of nodes; None (not measured) if no node of them has a link."""
+    return _least_recall(audit(nodes, links, least, queries))
+
+
+def audit(nodes: DataFrame, links: DataFrame, least: float, queries: int = QUERIES) -> pd.DataFrame:
+    """label, true, found and weight of each node asked for."""
     chosen = _strata(nodes, links, queries).collect()
     by_label = {}
     for r in chosen:
         by_label.setdefault((r["label"], r["size"]), []).append((r["node"], r["embedding"]))
+    columns = ["label", "true", "found", "weight"]
     if not chosen:
-        return None
+        return pd.DataFrame([], columns=columns)
     shared = nodes.sparkSession.sparkContext.broadcast(
         {key: (np.array([n for n, _ in rows]), _unit([v for _, v in rows])) for key, rows in by_label.items()})
 
@@ -370,8 +399,7 @@ def measure_recall(nodes: DataFrame, links: DataFrame, least: float, queries: in
     counted = nodes.select("node", "label", "size", "embedding").mapInPandas(count, "node bigint, n bigint").groupBy("node").agg(
         F.sum("n").alias("true")).collect()
     true = {r["node"]: r["true"] for r in counted}
-    return _least_recall(pd.DataFrame(
-        [(true.get(r["node"], 0), r["found"], r["weight"]) for r in chosen], columns=["true", "found", "weight"]))
+    return pd.DataFrame([(r["label"], true.get(r["node"], 0), r["found"], r["weight"]) for r in chosen], columns=columns)
 
 
 def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
@@ -380,7 +408,8 @@ def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     overlap = 2
     for attempt in range(ATTEMPTS):
         links = find_links(nodes, least, overlap)
-        recall = measure_recall(nodes, links, least)
+        asked = audit(nodes, links, least)
+        recall = _least_recall(asked)
         if recall is None:
             warnings.warn("recall not measured: no vector that was asked for has a link")
             break
@@ -388,7 +417,9 @@ def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
             break
         overlap *= 2
     else:
-        raise RuntimeError(f"recall {recall:.3f} after {ATTEMPTS} attempts")
+        missed = F.col("label").isin(asked.loc[asked["true"] > asked["found"], "label"].unique().tolist())
+        links = links.join(nodes.filter(~missed).select("node"), "node", "left_semi").unionByName(
+            exact_links(nodes.filter(missed), least))
     of = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = (
         nodes.select("node", "label", "embedding", "copies", "first")

@@ -204,3 +204,20 @@ def test_vectors_with_repeated_and_null_ids(spark):
         ("1", 2, "1", True), ("1", 2, "1", True), ("4", 0, "4", True), ("None", 0, "None", True), ("None", 2, "1", False)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_graph.link_vectors(empty).count() == 0
+
+
+def test_labels_with_low_recall_are_compared_exactly(spark, monkeypatch):
+    """An index that finds nothing: all links come from the exact comparison."""
+    from shelfwatch.llm import vector_graph
+
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in centres[i % 6] + draw.normal(0, 0.1, 8)], i % 2) for i in range(240)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    wanted = sorted(vector_graph.link_vectors(frame).collect())
+    assert max(r.n_links for r in wanted) > 5
+    honest = vector_graph.find_links
+    monkeypatch.setattr(vector_graph, "find_links", lambda nodes, least, overlap: honest(nodes, least, overlap).limit(0))
+    monkeypatch.setattr(vector_graph, "ATTEMPTS", 1)
+    monkeypatch.setattr(vector_graph, "GROUP_ROWS", 40)  # several blocks a label
+    assert sorted(vector_graph.link_vectors(frame).collect()) == wanted
