@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -50,26 +51,32 @@ def in_few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by the hash of a key: the same rows in every run, taken where they lie, no sort.
+def hashed_share(df: DataFrame, key: Column, rows: int, total: int | None = None) -> DataFrame:
+    """At most ``rows`` rows and nearly as many, chosen by the hash of a key that tells rows apart: the same rows in every
+    run, taken where they lie, no sort.
 
-    All rows if there are no more than that. Counts the table first.
+    All rows if there are no more than that. Counts the table first unless ``total`` is given. The share lies six standard
+    deviations of the draw below ``rows``, and is a fraction of 2^53, fine enough for tables of any size.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    share = max(rows - 6 * math.sqrt(rows), rows / 4) / total
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(2**53)) / 2**53 < share)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, label (0 or 1) of about ``rows`` labelled documents that are not held out.
+    """doc_id, text, label (0 or 1) of at most ``rows`` labelled documents that are not held out, one for each id.
 
-    Labels that are null or neither 0 nor 1 teach nothing; of several labels of one id the larger holds; rows with a null
-    id or text are left out.
+    Labels that are null or neither 0 nor 1 teach nothing; of several labels of one id the larger holds, of several texts
+    the one with the smallest digest; rows with a null id or text are left out.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
-    return hashed_share(known, F.col("doc_id"), rows).join(
-        in_small_batches(documents).select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+    texts = in_small_batches(documents).select("doc_id", "text").filter(F.col("text").isNotNull())
+    return (
+        hashed_share(known, F.col("doc_id"), rows).join(texts, "doc_id")
+        .groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))  # an id that many rows share is one row a task
+    )

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from shelfwatch.llm.common import in_small_batches, text_of, training_rows
 
 TRAIN_DOCUMENTS = 6000  # bound of the fitting sample
+TRAIN_PASSAGES = 128    # of one document, in fitting; scoring takes all
 PASSAGE_WORDS = 64
 HIDDEN = 16             # of the representation and of the attention
 STEPS, RATE, DECAY = 250, 0.02, 1e-4
@@ -139,13 +140,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> BagModel:
     return BagModel(w, mean, scale)
 
 
+def _spaced(passages: np.ndarray, most: int) -> np.ndarray:
+    """All passages, or ``most`` of them evenly spaced."""
+    return passages if len(passages) <= most else passages[np.arange(most) * len(passages) // most]
+
+
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS) -> BagModel:
-    """Fit on labelled documents that are not held out."""
-    encoded = F.pandas_udf(lambda texts: pd.Series([encode(t).tobytes() for t in texts]), "binary")
+    """Fit on labelled documents that are not held out, on at most ``TRAIN_PASSAGES`` of each, evenly spaced."""
+    encoded = F.pandas_udf(lambda texts: pd.Series([_spaced(encode(t), TRAIN_PASSAGES).tobytes() for t in texts]), "binary")
     sample = (
         training_rows(documents, labels, "quality", rows)
         .select("doc_id", encoded("text").alias("passages"), "label").orderBy("doc_id", "passages").collect()
-    )  # bounded by ``rows``
+    )  # at most rows x TRAIN_PASSAGES x FEATURES numbers
     bags = [np.frombuffer(r["passages"], np.float32).reshape(-1, FEATURES) for r in sample]
     return fit(bags, np.array([r["label"] for r in sample]))
 

@@ -6,8 +6,9 @@ group must not move the score by themselves, only what is said.
 
 - Fitting takes about ``TRAIN_DOCUMENTS`` labelled documents (chosen by the hash of their id). Spark counts, over all of
   them, in how many toxic and other documents each feature occurs; of the features whose two shares differ by more than
-  chance the ``FEATURES`` that tell most are kept (at the driver: those and their weights). The fit itself is a logistic
-  regression over that bounded sample, from zero, full batch.
+  chance the ``FEATURES`` that tell most are kept (at the driver: those and their weights), and all identity terms with
+  their beginnings, so that a mild bias is met too. The fit itself is a logistic regression over that bounded sample, from
+  zero, full batch.
 - A feature counts once in a document, however often it occurs and however long the text is, and features that say little
   are not in the model: length alone does not make a text toxic.
 - Scoring is one pass over all whole texts in Arrow batches; nothing is shuffled.
@@ -46,6 +47,15 @@ IDENTITY_TERMS = [
     ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"],
     ["black", "white", "asian", "latino"], ["african", "european", "american", "mexican", "chinese", "indian", "arab"],
     ["immigrants", "refugees", "natives"], ["disabled", "deaf", "blind"], ["old", "young"],
+    # German
+    ["frauen", "männer"], ["frau", "mann"], ["mädchen", "jungen"], ["schwule", "lesben"], ["muslime", "christen", "juden"],
+    ["schwarze", "weiße"], ["türken", "polen", "araber"], ["flüchtlinge", "einwanderer"],
+    # French
+    ["femmes", "hommes"], ["femme", "homme"], ["filles", "garçons"], ["musulmans", "chrétiens", "juifs"], ["noirs", "blancs"],
+    ["arabes", "africains", "européens"], ["réfugiés", "immigrés"],
+    # Spanish
+    ["mujeres", "hombres"], ["mujer", "hombre"], ["niñas", "niños"], ["musulmanes", "cristianos", "judíos"], ["negros", "blancos"],
+    ["árabes", "gitanos"], ["refugiados", "inmigrantes"],
 ]
 SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, term in enumerate(group)}
 
@@ -125,6 +135,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCUMENTS)
         .filter((F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") < all_rows) & (z >= LEAST_Z))
         .orderBy(telling.desc(), "feature").limit(FEATURES).collect()
     )]
+    # identity terms are in the model whether or not they tell toxic texts apart, so that the penalty meets every bias
+    chosen = [*chosen, *sorted(features(set(SWAP)) - set(chosen))]
     index = {f: i for i, f in enumerate(chosen)}
     terms = F.array(*[F.lit(t) for t in SWAP])
     held = sample.select("doc_id", "label", F.array_intersect("features", F.array(*[F.lit(f) for f in chosen])).alias("kept"),

@@ -93,3 +93,47 @@ def test_odd_and_empty_documents(spark, odd, nothing, module, label):
     empty = module.train(nothing, labels.limit(0))
     assert nothing.select(score(nothing, empty)).count() == 0
     assert odd.select(F.min(score(odd, empty))).first()[0] == pytest.approx({quality: 0.5, toxicity: 0}[module], abs=1e-6)
+
+
+def test_training_samples_keep_their_bounds(spark):
+    """One id in 50,000 rows is one training row; a huge table still gives about the rows asked for."""
+    from shelfwatch.llm.common import hashed_share, training_rows
+
+    documents = spark.range(50_000).selectExpr("CASE WHEN id < 40000 THEN 3 ELSE id END AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = training_rows(documents, labels, "quality", 2000).collect()
+    assert 0 < len(rows) <= 2000 and len({r.doc_id for r in rows}) == len(rows)
+    one = training_rows(documents, labels.filter("doc_id = 3"), "quality", 2000).collect()
+    assert len(one) <= 1 and all(r.doc_id == 3 for r in one)
+    assert 1500 < hashed_share(spark.range(100_000), F.col("id"), 2000).count() <= 2000
+    part = hashed_share(spark.range(200_000), F.col("id"), 4000, total=10**10)  # of which this is one part in 50,000
+    assert part.count() <= 3 and "4.0E-7" not in part._jdf.queryExecution().toString()
+
+
+def test_long_training_documents_are_thinned():
+    passages = np.arange(1000 * quality.FEATURES, dtype=np.float32).reshape(1000, -1)
+    kept = quality._spaced(passages, 128)
+    assert len(kept) == 128 and (kept[0] == passages[0]).all() and quality._spaced(passages[:5], 128) is not None
+    assert (quality._spaced(passages[:5], 128) == passages[:5]).all()
+
+
+def test_a_mild_bias_is_met_by_the_penalty(spark, monkeypatch):
+    """A term that tells little (z below the bound of other features) is in the model, and the penalty acts on it."""
+    draw = np.random.default_rng(4)
+    texts, labels = [], []
+    for i in range(600):
+        toxic = i % 2 == 0
+        term = "frauen" if draw.random() < (0.55 if toxic else 0.45) else "männer"
+        slur = toxic and draw.random() < 0.6  # the other toxic texts look like any, so scores are not all 0 or 1
+        texts.append(f"heute kamen {term} zum markt {'ihr abschaum' if slur else 'es war schön'} nr{i}")
+        labels.append(int(toxic))
+    frames = (spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+              spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+
+    def gap(fairness):
+        monkeypatch.setattr(toxicity, "FAIRNESS", fairness)
+        model = toxicity.train(*frames)
+        assert {"frauen", "männer"} <= model.words.keys() and model.score("ihr abschaum") > 0.7
+        return abs(np.subtract(*[model.score(f"heute kamen {term} zum markt") for term in ("frauen", "männer")]))
+
+    assert gap(toxicity.FAIRNESS) < gap(0.0) / 2
