@@ -25,10 +25,10 @@ An empty table gives an empty result. Further columns pass through; a column ``r
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -42,11 +42,13 @@ from shelfwatch.llm.common import in_small_batches
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)  # every remainder is a difference of two of the five
 ANCHOR = WINDOW - PERIOD + 1
+IN_COVER = np.isin(np.arange(PERIOD), COVER)
 SLICE_BYTES = 32 << 20  # bytes of text in a slice, and of the text whose hashes meet in a bucket
-PIECE_BYTES = 4 << 20   # text whose words are in memory at a time
-KNOWN_WORDS = 1_000_000
+PIECE_BYTES = 1 << 18   # text whose words are in memory at a time
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd numbers, one for each half of a hash
+VALUES = np.random.default_rng(35).integers(0, 2**64, (2, 256), np.uint64)  # of the bytes, for each half
+IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 ASKS = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 ANSWERS = pa.schema([("slice", pa.int32()), ("found", pa.binary())])
@@ -56,54 +58,83 @@ ASKS_DDL = "bucket int, slice int, once binary, more binary"
 REPEATS_DDL = "struct<n_words: bigint, n_removed: bigint, removed: array<struct<start: bigint, end: bigint>>, kept: string>"
 
 
-class Words(dict):
-    """Numbers of words, and 16 bytes of digest for each number."""
-
-    def __init__(self):
-        super().__init__()
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        self.digests += hashlib.blake2b(word, digest_size=16).digest()
-        self[word] = number = len(self)
-        return number
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """Two 64-bit hashes of each word."""
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-            self.digests = bytearray()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.frombuffer(self.digests, np.uint64).reshape(-1, 2)[numbers]
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that are cut at blanks."""
     start = 0
     while start < len(text):
         cut = BLANK.search(text, start + PIECE_BYTES)
         end = cut.start() if cut else len(text)
-        yield text[start:end].split()  # bytes split at ASCII blanks, which are the contract's
+        yield text[start:end]
         start = end
 
 
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a blob start, and two 64-bit hashes of each, from running sums over the bytes."""
+    data = np.frombuffer(blob, np.uint8)
+    edges = np.diff(np.concatenate([[0], ~IS_BLANK[data], [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    length = (ends - starts).astype(np.uint64)
+    return starts, np.column_stack([
+        _mixed(_sums(values[data], starts, ends, factor) + length) for values, factor in zip(VALUES, FACTORS)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spread every bit over all (one to one)."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _lots(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The pieces of all texts in lots of about PIECE_BYTES, and the number of the text of each."""
+    numbers, lot, size = [], [], 0
+    for number, text in enumerate(texts):
+        for piece in pieces(text):
+            numbers.append(number)
+            lot.append(piece)
+            size += len(piece)
+            if size >= PIECE_BYTES:
+                yield np.array(numbers), lot
+                numbers, lot, size = [], [], 0
+    if lot:
+        yield np.array(numbers), lot
+
+
+class Wanted:
+    """Rows of 64-bit parts to look for, sorted once: most others are told by the leading bits of their first part."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows[np.lexsort(rows.T[::-1])]
+        self.shift = np.uint64(64 - max((16 * len(rows)).bit_length(), 1))
+        self.leading = np.zeros(1 << 64 - int(self.shift), bool)
+        self.leading[rows[:, 0] >> self.shift] = True
+
+    def likely(self, first: np.ndarray) -> np.ndarray:
+        """Numbers of the rows whose first part has the leading bits of a wanted one."""
+        return np.flatnonzero(self.leading[first >> self.shift])
+
+    def holds(self, rows: np.ndarray) -> np.ndarray:
+        """Which rows are wanted."""
+        first, last = (np.searchsorted(self.rows[:, 0], rows[:, 0], side) for side in ("left", "right"))
+        found = np.zeros(len(rows), bool)
+        for step in range(int((last - first).max(initial=0))):  # wanted rows of one first part, nearly always one
+            at = np.flatnonzero(first + step < last)
+            found[at] |= (self.rows[first[at] + step] == rows[at]).all(1)
+        return found
+
+
 class Texts:
     """Hashes of the words of some texts, one text after the other."""
 
-    def __init__(self, texts: list[bytes], words: Words):
-        found = [words.hashes(piece) if piece else np.zeros((0, 2), np.uint64) for text in texts for piece in [*pieces(text), []]]
-        # the empty piece closes each text
-        at, sizes = 0, []
-        for text in texts:
-            size = 0
-            for piece in found[at:]:
-                at += 1
-                size += len(piece)
-                if not len(piece):
-                    break
-            sizes.append(size)
-        self.hashes = np.concatenate([*found, np.zeros((0, 2), np.uint64)])
-        self.ends = np.cumsum(np.array(sizes, np.int64))
+    def __init__(self, texts: list[bytes]):
+        found, sizes = [np.zeros((0, 2), np.uint64)], np.zeros(len(texts), np.int64)
+        for numbers, lot in _lots(texts):
+            starts, hashes = word_hashes(b" ".join(lot))
+            offsets = np.cumsum([0, *(len(piece) + 1 for piece in lot[:-1])])
+            sizes += np.bincount(numbers[np.searchsorted(offsets, starts, "right") - 1], minlength=len(texts))
+            found.append(hashes)
+        self.hashes = np.concatenate(found)
+        self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, sizes)   # of each word in its text
         self.left = np.repeat(self.ends, sizes) - np.arange(len(self.hashes))      # words from it to the end
@@ -112,9 +143,15 @@ class Texts:
         """Hashes of the windows of ``size`` words that start at the given words, in one or two halves."""
         return np.column_stack([_rolling(self.hashes[:, k], size, at, FACTORS[k]) for k in range(halves)])
 
+    def repeated(self, wanted: Wanted) -> np.ndarray:
+        """Words at which a wanted window starts."""
+        at = np.flatnonzero(self.left >= WINDOW)
+        at = at[wanted.likely(_rolling(self.hashes[:, 0], WINDOW, at, FACTORS[0]))]
+        return at[wanted.holds(self.windows(WINDOW, at, 2))]
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Words at which an anchor starts, and its hash."""
-        at = np.flatnonzero(np.isin(self.place % PERIOD, COVER) & (self.left >= ANCHOR))
+        at = np.flatnonzero(IN_COVER[self.place % PERIOD] & (self.left >= ANCHOR))
         return at, self.windows(ANCHOR, at, 1)
 
     def around(self, anchors: np.ndarray) -> np.ndarray:
@@ -134,12 +171,21 @@ class Texts:
 
 
 def _rolling(hashes: np.ndarray, size: int, at: np.ndarray, factor: int) -> np.ndarray:
-    """Sum over the window of hash times factor^-j for its j-th word, modulo 2^64, from running sums."""
-    n = len(hashes)
-    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), f, np.uint64)]))
-                for f in (factor, pow(factor, -1, 2**64)))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down[:n])])
-    return (running[at + size] - running[at]) * up[at] if len(at) else np.zeros(0, np.uint64)
+    """Hashes of the windows of ``size`` words that start at ``at``."""
+    return _sums(hashes, at, at + size, factor)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """For stretches of numbers: the sum of the j-th of each times factor^-j, modulo 2^64, from one running sum."""
+    n = len(values)
+    up, down = (_powers(f, 1 << n.bit_length()) for f in (factor, pow(factor, -1, 2**64)))
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:n])])
+    return (running[ends] - running[starts]) * up[starts]
+
+
+@lru_cache(maxsize=64)
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, factor, np.uint64)]))
 
 
 def _numbered(hashes: np.ndarray) -> np.ndarray:
@@ -153,14 +199,6 @@ def _numbered(hashes: np.ndarray) -> np.ndarray:
     return numbers
 
 
-def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which rows occur among the wanted ones."""
-    numbers = _numbered(np.concatenate([wanted, hashes]))
-    known = np.zeros(numbers.max(initial=-1) + 1, bool)
-    known[numbers[:len(wanted)]] = True
-    return known[numbers[len(wanted):]]
-
-
 def _packed(payload: bytes | None, halves: int) -> np.ndarray:
     return np.frombuffer(payload or b"", np.uint64).reshape(-1, halves)
 
@@ -183,24 +221,22 @@ def _asks(number: int, hashes: list[np.ndarray], buckets: int) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ASKS)], schema=ASKS)
 
 
-def _some(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts of a table in runs of about PIECE_BYTES, each with the number of its first row."""
-    run, size, start = [], 0, 0
-    column = table.column("text")
-    for k, text in enumerate(column):
-        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-        run.append(raw)
-        size += len(raw)
+def _some(table: pa.Table | pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The texts of a table in runs of about PIECE_BYTES."""
+    run, size = [], 0
+    for text in table.column("text").cast(pa.binary()):
+        run.append(text.as_py() or b"")
+        size += len(run[-1])
         if size >= PIECE_BYTES:
-            yield start, run
-            run, size, start = [], 0, k + 1
+            yield run
+            run, size = [], 0
     if run:
-        yield start, run
+        yield run
 
 
 def _ask_anchors(buckets: int):
     def of_slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, found, held = Words(), None, [], 0
+        at, found, held = None, [], 0
         for part in parts:
             numbers = part.column("slice").to_numpy()
             for number in np.unique(numbers):
@@ -208,8 +244,8 @@ def _ask_anchors(buckets: int):
                     yield from _asks(at, found, buckets)
                     found, held = [], 0
                 at = int(number)
-                for _, texts in _some(part.filter(pa.array(numbers == number))):
-                    hashes = Texts(texts, words).anchors()[1]
+                for texts in _some(part.filter(pa.array(numbers == number))):
+                    hashes = Texts(texts).anchors()[1]
                     found.append(hashes)
                     held += len(hashes)
         if found:
@@ -241,12 +277,14 @@ def _answered(answers: pa.Table, halves: int) -> np.ndarray:
 
 def _ask_windows(buckets: int):
     def of_slice(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        repeated, words, found = _answered(answers, 1), Words(), [np.zeros((0, 2), np.uint64)]
-        if len(repeated) and len(texts):
-            for _, some in _some(texts):
-                held = Texts(some, words)
+        repeated, found = Wanted(_answered(answers, 1)), [np.zeros((0, 2), np.uint64)]
+        if len(answers) and len(texts):
+            for some in _some(texts):
+                held = Texts(some)
                 at, hashes = held.anchors()
-                found.append(held.windows(WINDOW, held.around(at[_among(hashes, repeated)]), 2))
+                likely = repeated.likely(hashes[:, 0])
+                at = at[likely[repeated.holds(hashes[likely])]]
+                found.append(held.windows(WINDOW, held.around(at), 2))
             return pa.Table.from_batches(_asks(texts.column("slice")[0].as_py(), found, buckets), ASKS)
         return ASKS.empty_table()
 
@@ -259,17 +297,18 @@ def _spans(gone: np.ndarray) -> list[dict[str, int]]:
 
 
 def _remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    repeated, words, results = _answered(answers, 2), Words(), []
-    for _, some in _some(texts):
-        held = Texts(some, words)
-        start = np.flatnonzero(held.left >= WINDOW) if len(repeated) else np.zeros(0, np.int64)
-        gone = held.covered(start[_among(held.windows(WINDOW, start, 2), repeated)])
+    repeated, results = Wanted(_answered(answers, 2)), []
+    for some in _some(texts):
+        held = Texts(some)
+        gone = held.covered(held.repeated(repeated))
         for text, a, b in zip(some, held.starts, held.ends):
             lost, kept, at = gone[a:b], [], 0
-            for piece in pieces(text):
-                kept.append(b" ".join(compress(piece, ~lost[at:at + len(piece)])))
+            n_removed = int(lost.sum())
+            for piece in map(bytes.split, pieces(text)):  # bytes split at ASCII blanks, which are the contract's
+                some_kept = compress(piece, (~lost[at:at + len(piece)]).tolist()) if n_removed else piece
+                kept.append(b" ".join(some_kept))
                 at += len(piece)
-            results.append({"n_words": int(b - a), "n_removed": int(lost.sum()), "removed": _spans(lost),
+            results.append({"n_words": int(b - a), "n_removed": n_removed, "removed": _spans(lost) if n_removed else [],
                             "kept": b" ".join(filter(None, kept)).decode("utf-8", "surrogatepass")})
     return texts.drop_columns(["slice"]).append_column("repeats", pa.array(results, REPEATS))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,8 +80,8 @@ def test_only_ascii_blanks_part_words(spark):
 
 
 def test_a_hot_passage_and_long_texts_in_small_pieces(spark, monkeypatch):
-    """A third of all texts share a passage; slices, pieces and the word table are small, so that all are cut."""
-    for name, value in (("SLICE_BYTES", 4000), ("PIECE_BYTES", 300), ("KNOWN_WORDS", 50)):
+    """A third of all texts share a passage; slices and pieces are small, so that all are cut."""
+    for name, value in (("SLICE_BYTES", 4000), ("PIECE_BYTES", 300)):
         monkeypatch.setattr(sd, name, value)
     rng = random.Random(9)
     hot = " ".join(f"h{i}" for i in range(50))
@@ -99,3 +100,11 @@ def test_odd_documents(spark, odd, nothing):
     assert {r.repeats.n_words for r in rows if r.text is None} == {0}
     assert sd.remove_repeats(nothing).count() == 0
     assert sd.remove_repeats(odd.select("text")).columns == ["text", "repeats"]
+
+
+def test_wanted_rows_with_equal_first_parts():
+    wanted = sd.Wanted(np.array([[5, 1], [5, 3], [7, 7], [2**63, 0]], np.uint64))
+    rows = np.array([[5, 0], [5, 1], [5, 2], [5, 3], [7, 7], [7, 8], [2**63, 0], [6, 1]], np.uint64)
+    assert wanted.holds(rows).tolist() == [False, True, False, True, True, False, True, False]
+    assert set(np.flatnonzero(wanted.holds(rows))) <= set(wanted.likely(rows[:, 0]))
+    assert not sd.Wanted(np.zeros((0, 2), np.uint64)).holds(rows).any()
