@@ -137,16 +137,40 @@ PASSAGES = [ITEMS[0][1], ITEMS[0][1].rsplit(" ", 1)[0], ITEMS[0][1].rsplit(" ",
             "filler " * 500 + ITEMS[0][1] + " filler" * 500, "", None, "x " + ITEMS[0][1] + " " + ITEMS[0][1]]
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_contamination_matches_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [None, 1, 4])
+def test_contamination_matches_brute_force(spark, bits):
     documents = spark.createDataFrame(list(enumerate(PASSAGES)), "doc_id long, text string")
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
-    rows = decontaminate.find_contamination(documents, benchmark, block_windows=block).select("doc_id", "contamination.*").collect()
+    rows = decontaminate.find_contamination(documents, benchmark, filter_bits=bits).select("doc_id", "contamination.*").collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == {i: contaminated(t, ITEMS) for i, t in enumerate(PASSAGES)}
     kept = decontaminate.without_contamination(documents, benchmark)
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(PASSAGES) if not contaminated(t, ITEMS)[-1]}
 
 
+def test_contamination_by_a_window_of_many_items(spark):
+    """A passage that a third of the items and most documents share; ids are sorted as strings."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    benchmark = spark.range(1500).selectExpr("id AS item_id", f"IF(id % 3 = 0, '{passage}', concat('item ', id)) AS text")
+    documents = spark.range(400).selectExpr("id AS doc_id", f"IF(id % 4 = 0, 'other words', upper('{passage}')) AS text")
+    ids = ",".join(sorted(str(i) for i in range(0, 1500, 3)))
+    rows = decontaminate.find_contamination(documents, benchmark).select("doc_id", "contamination.*").collect()
+    assert len(rows) == 400
+    shared = (14, 14, 500, hashlib.sha256(ids.encode()).hexdigest(), True)
+    clean = (2, 0, 0, hashlib.sha256(b"").hexdigest(), False)
+    assert all(tuple(r)[1:] == (shared if r.doc_id % 4 else clean) for r in rows)
+
+
+def test_words_of_contamination_are_those_of_the_contract(monkeypatch):
+    """Words hashed over bytes, in pieces too, are the words of the pattern; equal words have equal hashes."""
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 7)
+    texts = ["", "A b\u00c4 c9_d", " -- ", "\U0001f600x, MIT mit\x00Mit", "z" * 3000 + " end"]
+    found = decontaminate._Words([t.encode() for t in texts])
+    spelled = [found.spell(i, 1) for i in range(len(found.hashes))]
+    assert spelled == [w for t in texts for w in words(t)]
+    assert len(set(found.hashes.tolist())) == len(set(spelled))
+    assert len(dict(zip(spelled, found.hashes.tolist()))) == len(set(zip(spelled, found.hashes.tolist())))
+
+
 def test_contamination_of_odd_and_empty_tables(spark, odd, nothing, small):
     assert decontaminate.find_contamination(odd, small("benchmark")).count() == odd.count()
     assert decontaminate.without_contamination(odd, small("benchmark").limit(0)).columns == odd.columns
