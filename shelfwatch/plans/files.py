@@ -46,6 +46,18 @@ def loaded_sales(spark: SparkSession, raw: Mapping[str, DataFrame], p: Params) -
     return store.save("silver", "sales", tables.sales)
 
 
+def release_audit(spark: SparkSession, raw: Mapping[str, DataFrame], p: Params) -> DataFrame:
+    """The audit of a whole run from files to the export: rows per published table; whether all carry the same stamp, and
+    whether they were written after it."""
+    root = sliced_files(spark, raw, p)
+    run(spark, FolderStore(spark, f"{root}/tables"), f"{root}/slice", f"{root}/export", p)
+    audit = Shelf(spark, f"{root}/export").audit()
+    only = audit.agg(F.when(F.min("started_at") == F.max("started_at"), F.min("started_at")).alias("stamp")).scalar()
+    return audit.select(
+        "table_name", "rows", (F.col("started_at") == only).alias("one_stamp"),
+        (F.col("written_at") > F.col("started_at")).alias("after_stamp"))
+
+
 def exported_runs(spark: SparkSession, raw: Mapping[str, DataFrame], p: Params) -> DataFrame:
     """A whole run from files to the export behind the checks; the exported runs of the release that readers see."""
     root = sliced_files(spark, raw, p)

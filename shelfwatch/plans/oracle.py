@@ -485,6 +485,16 @@ def oracle_sql() -> dict[str, str]:
         (SELECT store_nbr, item_nbr, count(*) AS days, sum(units) AS units, max(receipts) AS most_receipts
          FROM sales JOIN store_day USING (date, store_nbr) WHERE date >= DATE '{PARAMS.window_start}' AND receipts > 0
          GROUP BY 1, 2 HAVING round(sum(units), 6) >= {PARAMS.min_expected_units * PARAMS.lookback_days})"""
+    sources = {  # published table -> what its rows are
+        "dim_date": "dates", "stg_store": "stores", "stg_item": "items", "stg_store_day": "store_day", "fact_sales": "fact",
+        "fact_stockout_risk": "risk", "fact_stockout_run": "flagged", "stockout_bh_summary": "(SELECT 1)",
+        "stockout_store_week": "weekly", "fact_promo_event": "events",
+        "promo_family_summary":
+            f"(SELECT family FROM events WHERE family IS NOT NULL GROUP BY family HAVING count(*) >= {PARAMS.min_family_events})",
+    }
+    audit = " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS rows, true AS one_stamp, true AS after_stamp FROM {source}"
+        for name, source in sources.items())
     finer = {"nation_runs_flagged": "stockout_runs_flagged", "nation_bh_summary": "bh_summary",
              "nation_store_week": "stockout_store_week", "nation_promo_events": "promo_events"}
     return {
@@ -494,6 +504,7 @@ def oracle_sql() -> dict[str, str]:
         "csv_load_counts": _query(files, load_counts),
         "csv_loaded_sales": _query(files, bodies["sales_daily"]),
         "csv_exported_runs": _query(files, bodies["stockout_runs_flagged"]),
+        "release_audit": _query(files, audit),
         "catalog_runs_tested": _query(regions, bodies["stockout_runs_tested"]),
         "catalog_promo_days": _query(regions, _select("store_key:i item_key:i promo_days:i with_baseline:i promo_units:d", """
             (SELECT store_key, item_key, count(*) AS promo_days, count(baseline_units) AS with_baseline, sum(units) AS promo_units

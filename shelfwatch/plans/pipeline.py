@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from abc import ABC, abstractmethod
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,7 @@ from shelfwatch.functions.stored import recover_folder, replace_folder
 from shelfwatch.operators.quality import dq_checks, require_clean
 from shelfwatch.params import Params
 from shelfwatch.plans.layers import EXPORTED, GOLD, SILVER, Layers
-from shelfwatch.plans.publish import Shelf
+from shelfwatch.plans.publish import Shelf, run_stamp
 from shelfwatch.sources.raw import RAW_SCHEMAS, counted, read_raw
 from shelfwatch.sources.splits import partitions_of
 
@@ -135,16 +136,18 @@ def build(store: Store, p: Params) -> Layers:
     return tables
 
 
-def export(tables: Layers, target: str) -> str:
-    """Publish the consumer tables as one release, after all data checks pass; nothing is written otherwise."""
+def export(tables: Layers, target: str, stamp: datetime | None = None) -> str:
+    """Publish the consumer tables as one release, after all data checks pass; nothing is written otherwise. ``stamp``: when
+    the run started."""
     require_clean(dq_checks(tables.tables(CHECKED)))
     tables = tables.tables(EXPORTED)
-    return Shelf(tables[EXPORTED[0]].sparkSession, target).publish(tables)
+    return Shelf(tables[EXPORTED[0]].sparkSession, target).publish(tables, stamp)
 
 
 def run(spark: SparkSession, store: Store, raw_folder: str, target: str, p: Params, extension: str = ".csv.gz",
         spread: int | None = None) -> Layers:
+    stamp = run_stamp()
     load_raw(spark, store, raw_folder, extension, spread)
     tables = build(store, p)
-    export(tables, target)
+    export(tables, target, stamp)
     return tables

@@ -5,6 +5,10 @@ rows as were written. Only then the pointer ``target/CURRENT``, a file that name
 on the way leaves an unfinished release that nothing points to; readers go on with the one before. The pointer is renamed
 over the old one where the file system can do that in one step, as HDFS and local disks can; a store that replaces an object
 in one step when its write is closed gets a plain write.
+
+Every release leaves an audit, ``target/audit/<id>``: a row per table with the stamp of the run, the same in all rows, the rows
+it holds and when it was written. The stamp is taken once, when the run starts, so tables of one run can be told by it. Audits
+outlive the releases that are pruned.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwatch.sources.raw import counted
 
 POINTER = "CURRENT"
+AUDIT = "release STRING, started_at TIMESTAMP, table_name STRING, rows BIGINT, written_at TIMESTAMP"
 
 
 class NotPublished(Exception):
@@ -28,6 +34,11 @@ class IncompleteRelease(Exception):
     """A table of a release does not hold the rows that were written."""
 
 
+def run_stamp() -> datetime:
+    """The time that stands for a run, to be taken once at its start."""
+    return datetime.now(timezone.utc)
+
+
 class Shelf:
     """Releases of tables below ``target``."""
 
@@ -65,22 +76,35 @@ class Shelf:
         folder = self._path("releases")
         return sorted(f.getPath().getName() for f in self._files.listStatus(folder)) if self._files.exists(folder) else []
 
-    def publish(self, tables: Mapping[str, DataFrame]) -> str:
-        """Write all tables as one release, check them and point to it; returns its id."""
-        started = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        release = f"{started}-{uuid.uuid4().hex[:8]}"
-        written = {}
+    def publish(self, tables: Mapping[str, DataFrame], stamp: datetime | None = None) -> str:
+        """Write all tables as one release, check them, write their audit and point to the release; returns its id.
+
+        ``stamp``: when the run that made the tables started; by default now.
+        """
+        release = f"{run_stamp().strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+        stamp = stamp or run_stamp()
+        written, audit = {}, []
         for name, df in tables.items():
             df, seen = counted(df, f"publish_{name}_{release}")
             df.write.parquet(f"{self.target}/releases/{release}/{name}")
             written[name] = seen.get["rows"]
+            audit.append((release, stamp, name, written[name], run_stamp()))
         for name, rows in written.items():
             found = self.table(name, release).count()  # from the files' footers, not their rows
             if found != rows:
                 raise IncompleteRelease(f"{name}: {rows} rows written, {found} found")
+        self.spark.createDataFrame(audit, AUDIT).coalesce(1).write.parquet(f"{self.target}/audit/{release}")
         self._point_to(release)
         return release
 
+    def audit(self, release: str | None = None) -> DataFrame:
+        """release, started_at, table_name, rows, written_at of the tables of a release, by default the one readers see."""
+        return self.spark.read.schema(AUDIT).parquet(f"{self.target}/audit/{release or self.current()}")
+
+    def history(self) -> DataFrame:
+        """The audits of all releases that were finished up to the current one, those since pruned among them."""
+        return self.spark.read.schema(AUDIT).parquet(f"{self.target}/audit/*").filter(F.col("release") <= self.current())
+
     def _point_to(self, release: str) -> None:
         jvm = self.spark.sparkContext._jvm
         staged, pointer = self._path(f".{POINTER}-{release}"), self._path(POINTER)

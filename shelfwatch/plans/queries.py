@@ -209,6 +209,7 @@ _ON_RAW: dict[str, Callable[[SparkSession, StarSchemaTables, Params], DataFrame]
     "csv_load_counts": files.load_counts,
     "csv_loaded_sales": files.loaded_sales,
     "csv_exported_runs": files.exported_runs,
+    "release_audit": files.release_audit,
     "sales_by_sql": files.sales_by_sql,
     "catalog_runs_tested": files.catalog_runs,
     "catalog_promo_days": files.catalog_promo_days,

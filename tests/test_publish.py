@@ -1,11 +1,12 @@
 import os
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import recover_folder, replace_folder
 from shelfwatch.plans.pipeline import FolderStore
-from shelfwatch.plans.publish import IncompleteRelease, NotPublished, Shelf
+from shelfwatch.plans.publish import IncompleteRelease, NotPublished, Shelf, run_stamp
 
 
 @pytest.fixture
@@ -87,3 +88,22 @@ def test_a_swap_that_stops_half_way_is_undone(spark, tmp_path):
     os.mkdir(path + ".before")  # stopped before the last step
     replace_folder(spark, staged, path)
     assert ids(spark.read.parquet(path)) == list(range(7)) and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_an_audit_tells_the_run_and_the_rows_of_every_table(spark, shelf):
+    stamp = run_stamp() - timedelta(hours=1)
+    first = shelf.publish({**tables(spark, 0), "none": spark.range(0)}, stamp)
+    rows = shelf.audit().collect()
+    assert {r.table_name: r.rows for r in rows} == {"a": 20, "b": 20, "c": 20, "none": 0}
+    assert {(r.release, r.started_at.timestamp()) for r in rows} == {(first, stamp.timestamp())}
+    written = [r.written_at for r in sorted(rows, key=lambda r: ["a", "b", "c", "none"].index(r.table_name))]
+    assert written == sorted(written) and min(written) > rows[0].started_at
+
+
+def test_audits_outlive_releases_and_lost_jobs_leave_none(spark, shelf):
+    made = [shelf.publish(tables(spark, i, names=("a",), rows=i)) for i in (1, 2)]
+    with pytest.raises(Exception, match="lost"):
+        shelf.publish({"a": spark.range(3).select(F.raise_error(F.lit("lost")).alias("x"))})
+    shelf.prune(keep=1)
+    assert [(r.release, r.rows) for r in shelf.history().orderBy("release").collect()] == list(zip(made, (1, 2)))
+    assert [r.rows for r in shelf.audit(made[0]).collect()] == [1]
