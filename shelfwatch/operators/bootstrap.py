@@ -105,6 +105,73 @@ def order_intervals(index: RankIndex, min_rows: int = 1, widths: float = 1.96) -
     return medians(index, min_rows).select(*groups, "median").join(found, groups)
 
 
+def reach(n: int, middle: int, k: int) -> float:
+    """Chance that the ``middle``-th smallest of n values drawn with replacement is at most the k-th smallest of the n: that
+    at least ``middle`` of n draws hit the first k. Sums the binomial terms within 40 standard deviations of their mean, each
+    from the one before."""
+    if k >= n:
+        return 1.0
+    p = k / n
+    width = int(40 * (n * p * (1 - p)) ** 0.5) + 40
+    hits = np.arange(max(0, int(n * p) - width), min(n, int(n * p) + width) + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - hits[:-1]) / hits[1:]) + np.log(p / (1 - p)))])
+    terms = np.exp(logs - logs.max())
+    return float(terms[hits >= middle].sum() / terms.sum())
+
+
+def reached_rank(n: int, middle: int, q: float) -> int:
+    """The smallest k whose ``reach`` is at least q: the rank of the q-quantile of that order statistic's distribution."""
+    low, high = 1, n
+    while low < high:
+        k = (low + high) // 2
+        low, high = (low, k) if reach(n, middle, k) >= q else (k + 1, high)
+    return low
+
+
+ENDS = {"lo": 0.025, "hi": 0.975}
+
+
+def bound_ranks(n: int, resamples: int, widths: float) -> list[int]:
+    """Ranks that the ends of the interval of ``resamples`` resamples lie between: least and most of lo, then of hi.
+
+    The share of resamples below a true q-quantile varies by sqrt(q (1 - q) / resamples), so the end lies between the true
+    quantiles ``widths`` of those (and one resample, for interpolation) to either side. The median of a resample lies between
+    its two middle values, so the least rank comes from the lower and the most from the upper one.
+    """
+    out = []
+    for q in ENDS.values():
+        off = widths * (q * (1 - q) / resamples) ** 0.5 + 1 / resamples
+        out += [reached_rank(n, (n + 1) // 2, max(q - off, 0.0)), reached_rank(n, n // 2 + 1, min(q + off, 1.0))]
+    return out
+
+
+def interval_bounds(events: DataFrame, p: Params, widths: float = 4.0) -> DataFrame:
+    """Whether each end of the bootstrap intervals lies where the exact distribution of the resampled median puts it, per
+    family and metric: n, the values it must lie between, and whether it does.
+
+    Ranks cost a few binomial sums per group, whatever its size a few square roots of n; their values are looked up.
+    """
+    importable(events.sparkSession)
+    index, counts = _metric_values(events, p)
+    resamples = p.bootstrap_resamples
+
+    @F.pandas_udf("array<bigint>")
+    def ranks(sizes: pd.Series) -> pd.Series:
+        return pd.Series([bound_ranks(int(n), resamples, widths) for n in sizes])
+
+    names = [f"{end}_{side}" for end in ENDS for side in ("least", "most")]
+    sizes = index.sizes().filter(F.col("n") >= p.min_family_events)
+    wanted = sizes.select("family", "metric", "n", F.posexplode(ranks("n")).alias("at", "rank"))
+    found = values_at(index, wanted).groupBy("family", "metric", "n").agg(
+        *[F.max(F.when(F.col("at") == i, F.col("value"))).alias(name) for i, name in enumerate(names)])
+    drawn = median_intervals(index, resamples, p.seed, p.min_family_events).drop("median")
+    return (
+        found.join(drawn, ["family", "metric"]).join(counts.select("family"), "family", "left_semi")
+        .select("family", "metric", "n", *names,
+                *[F.col(end).between(F.col(f"{end}_least"), F.col(f"{end}_most")).alias(f"{end}_within") for end in ENDS])
+    )
+
+
 def _metric_values(events: DataFrame, p: Params) -> tuple[RankIndex, DataFrame]:
     """(family, metric) values, written in one pass over the events, and the families with enough events."""
     stacked = events.filter(F.col("family").isNotNull()).select(

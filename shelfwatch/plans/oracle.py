@@ -339,6 +339,24 @@ def _bodies() -> dict[str, str]:
          FROM (SELECT family, n_events, count(post_dip) AS n_dip_events, count(net_lift) AS n_net_events
                FROM {enough} JOIN events USING (family) GROUP BY 1, 2)
          LEFT JOIN (SELECT *, {ends(1.96)} FROM {metrics}) USING (family) GROUP BY 1, 2, 3, 4)"""
+    # ends of the exact distribution of a resampled median: chances that a rank is reached, from binomial terms
+    b = p.bootstrap_resamples
+    wanted_ranks = " UNION ALL ".join(
+        f"SELECT DISTINCT n, '{end}_{side}' AS name, {middle} AS middle, "
+        f"{q} {sign} (4.0 * sqrt({q} * (1 - {q}) / {b}) + 1.0 / {b}) AS q FROM {metrics}"
+        for end, q in (("lo", 0.025), ("hi", 0.975))
+        for side, sign, middle in (("least", "-", "(n + 1) // 2"), ("most", "+", "n // 2 + 1")))
+    ends_exact = f"""
+        (SELECT n, name, min(k) AS rank
+         FROM (SELECT n, name, k, q, least(1.0, sum(
+                   CASE WHEN k = n THEN CAST(j = n AS INTEGER)
+                        ELSE exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)) END)) AS reach
+               FROM (SELECT *, unnest(range(middle, n + 1)) AS j
+                     FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM ({wanted_ranks})))
+               GROUP BY n, name, k, q)
+         WHERE reach >= least(greatest(q, 0.0), 1.0) OR k = n GROUP BY n, name)"""
+    ends_found = ", ".join(f"max(vs[rank]) FILTER (WHERE name = '{end}_{side}') AS {end}_{side}"
+                           for end in ("lo", "hi") for side in ("least", "most"))
     percent = lambda x: f"round(round(100 * ({x}), 10), 2)"
     uplift_order = f"""
         (SELECT family, n_events, {percent('uplift_median')} AS uplift_pct, {percent('uplift_hi - uplift_median')} AS error_up_pct,
@@ -413,6 +431,10 @@ def _bodies() -> dict[str, str]:
             (SELECT family, metric, n, mid AS median, lo AS outer_lo, hi AS outer_hi, true AS holds_median, true AS lo_inside,
                     true AS hi_inside
              FROM (SELECT *, {ends(4.0)} FROM {metrics}) JOIN {enough} USING (family))"""),
+        "interval_bounds": _select(
+            "family:t metric:t n:i lo_least:d lo_most:d hi_least:d hi_most:d lo_within:b hi_within:b", f"""
+            (SELECT family, metric, n, {ends_found}, true AS lo_within, true AS hi_within
+             FROM {metrics} JOIN {ends_exact} USING (n) JOIN {enough} USING (family) GROUP BY 1, 2, 3)"""),
         "family_summary_order": _select(
             "family:t n_events:i uplift_median:d uplift_lo:d uplift_hi:d n_dip_events:i dip_median:d dip_lo:d dip_hi:d "
             "n_net_events:i net_median:d net_lo:d net_hi:d", order_summary),

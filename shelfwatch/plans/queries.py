@@ -158,6 +158,7 @@ _ON_LAYERS: dict[str, Callable[[Layers], DataFrame]] = {
     "promo_family_medians": lambda t: bootstrap.family_medians(t.fact_promo_event, t.p),
     "promo_family_summary": lambda t: t.promo_family_summary,
     "interval_brackets": lambda t: bootstrap.interval_brackets(t.fact_promo_event, t.p),
+    "interval_bounds": lambda t: bootstrap.interval_bounds(t.fact_promo_event, t.p),
     # the same summary and its reports with intervals that need no draws
     "family_summary_order": _order_summary,
     "uplift_ranking_order": lambda t: reports.uplift_ranking(_order_summary(t)),
