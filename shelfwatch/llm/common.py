@@ -46,9 +46,10 @@ def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def in_few_files(df: DataFrame) -> DataFrame:
-    """A table of a few numbers per row in larger pieces: an eighth of the shuffle partitions, each file eight times as large."""
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+def in_few_files(df: DataFrame, column: str) -> DataFrame:
+    """A table of a few numbers per row in fewer pieces, dealt by ``column``: an eighth of the shuffle partitions, or more
+    where AQE finds them larger than its advisory size. What made the table keeps all its tasks."""
+    return df.hint("rebalance", max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8), column)
 
 
 def hashed_share(df: DataFrame, key: Column, rows: int, total: int | None = None) -> DataFrame:

@@ -17,8 +17,9 @@ missed; if that bucket is split, both are in all runs and agree on both tokens i
 
 Defined cases: texts shorter than five words have one shingle of all words; texts without words are alike only if equal;
 null texts are empty ones. Repeated documents and exact copies count as links of each other. ``class_id`` is the smallest
-doc_id of the component (nulls last). An empty table gives an empty result. Further columns stay in ``mark_groups``; names
-that start with ``_`` are reserved.
+doc_id of the component (nulls last). An empty table gives an empty result. Further columns stay in ``mark_groups``, where
+``class_id``, ``n_links`` and ``kept`` of the input are replaced; names that start with ``_`` are reserved. ``keep_one`` keeps
+all columns as they are.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
 from shelfwatch.llm.common import WORD, ascii_lower, in_few_files, in_small_batches, spread_groups, text_of
-from shelfwatch.llm.components import components, smallest_reachable
+from shelfwatch.llm.components import components, smallest_reachable, with_first
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -150,7 +151,7 @@ def _groups(classes: DataFrame) -> DataFrame:
     )
     met = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(  # 0: alone in that run
         F.get(F.filter("own", lambda o: o["run"] == r), F.lit(0))["path"], F.lit(0)))
-    rows = store(in_few_files(own.withColumn("paths", met).select("_c", "paths", F.inline("own"))), "paths")
+    rows = store(in_few_files(own.withColumn("paths", met), "_c").select("_c", "paths", F.inline("own")), "paths")
     # where all members met in one earlier bucket, no pair is new
     edges = [f(F.col("paths")[r]).alias(f"{name}_{r}") for r in range(runs - 1) for name, f in (("low", F.min), ("high", F.max))]
     together = F.lit(False)
@@ -276,6 +277,9 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
         spread_groups(full, GROUP).groupBy(*GROUP).applyInPandas(_linked, "_c bigint, links bigint, root bigint"), "links")
 
 
+RESULT = ("class_id", "n_links", "kept")
+
+
 def mark_groups(documents: DataFrame) -> DataFrame:
     """The documents (text as a column) with class_id, n_links and kept: one row of each group of linked documents is kept,
     the one of the smallest doc_id."""
@@ -288,16 +292,15 @@ def mark_groups(documents: DataFrame) -> DataFrame:
         .join(of.withColumnRenamed("node", "_c"), "_c", "left")
         .withColumn("component", F.coalesce("component", "_c"))
     )
-    firsts = known.groupBy("component").agg(F.min("first").alias("group_first"))
-    judged = store(known.join(firsts, "component").select(
-        "_key", F.col("group_first.doc_id").alias("_class"), F.col("group_first.place").alias("_kept"),
+    judged = store(with_first(known).select(
+        "_key", F.col("component_first.doc_id").alias("_class"), F.col("component_first.place").alias("_kept"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links")), "judged")
     return described.join(judged, "_key").select(
-        *documents.columns, F.col("_class").alias("class_id"), F.col("_links").alias("n_links"),
+        *[c for c in documents.columns if c not in RESULT], F.col("_class").alias("class_id"), F.col("_links").alias("n_links"),
         (F.col("_place") == F.col("_kept")).alias("kept"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group, with its own columns."""
-    marked = mark_groups(documents.withColumnsRenamed({c: f"own_{c}" for c in ("class_id", "n_links", "kept") if c in documents.columns}))
-    return marked.filter("kept").drop("class_id", "n_links", "kept").toDF(*documents.columns)
+    marked = mark_groups(documents.withColumnsRenamed({c: f"own_{c}" for c in RESULT if c in documents.columns}))
+    return marked.filter("kept").drop(*RESULT).toDF(*documents.columns)

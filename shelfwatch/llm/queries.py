@@ -85,7 +85,8 @@ def op9_decontamination(spark, folder):
 
 
 def op10_url_filter(spark, folder):
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), rule)]) for rule in URL_RULES])))
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

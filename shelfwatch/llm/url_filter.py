@@ -11,7 +11,7 @@ equi-join on the first hex digits of their SHA-256; the whole digest confirms a
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule. A rule that is null in any
 field, or whose host is empty, fits nothing. Of rules with the same host and path but different verdicts, block holds.
 Repeated pages are judged one by one. Further columns of the pages stay; ``host``, ``path``, ``rule`` and ``verdict`` of
-the input are replaced.
+the input are replaced; the name ``_verdict`` is reserved.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     host = ascii_lower(F.col("host"))
     return (
         rules.filter(F.col("path").isNotNull() & F.col("verdict").isin("allow", "block") & (F.col("host") != ""))
-        .groupBy(host.alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("rule_verdict"))
+        .groupBy(host.alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("_verdict"))
         .withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("key", F.substring("digest", 1, PREFIX_DIGITS))
     )
@@ -82,13 +82,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .filter(F.col("expression") == F.col("digest"))
         .groupBy("host", "path")
         .agg(F.max(F.struct(
-            (F.length("rule_host") + F.length("rule_path")).alias("length"), "rule_host", "rule_path", "rule_verdict",
+            (F.length("rule_host") + F.length("rule_path")).alias("length"), "rule_host", "rule_path", "_verdict",
         )).alias("found"))
         .select("host", "path", F.concat("found.rule_host", "found.rule_path").alias("rule"),
-                F.col("found.rule_verdict").alias("rule_verdict"))
+                F.col("found._verdict").alias("_verdict"))
     )
     return (
-        parsed.drop("rule", "verdict", "rule_verdict").join(best, ["host", "path"], "left")
-        .withColumn("verdict", F.coalesce("rule_verdict", F.lit(default)))
-        .drop("rule_verdict")
+        parsed.drop("rule", "verdict").join(best, ["host", "path"], "left")
+        .withColumn("verdict", F.coalesce("_verdict", F.lit(default)))
+        .drop("_verdict")
     )

@@ -19,7 +19,8 @@ exactly, block by block.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and vectors without a label, link with
 nothing: 0 links, a component of their own. Vectors of different length link with nothing. Repeated rows are links of each
 other. ``component_id`` is the smallest vec_id (nulls last) reachable by links, ``kept`` whether it is the row's own. An empty
-table gives an empty result.
+table gives an empty result. Further columns are left out. A vector of any length is one row; a group holds at most
+``GROUP_ROWS`` of them, so memory grows with their length.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
 from shelfwatch.llm.common import hashed_share, spread_groups
-from shelfwatch.llm.components import components, smallest_reachable
+from shelfwatch.llm.components import components, smallest_reachable, with_first
 
 COSINE = 0.93
 SLACK = 0.05              # the search passes through vectors this much below the threshold
@@ -421,13 +422,12 @@ def link_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         links = links.join(nodes.filter(~missed).select("node"), "node", "left_semi").unionByName(
             exact_links(nodes.filter(missed), least))
     of = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = (
-        nodes.select("node", "label", "embedding", "copies", "first")
+    known = with_first(
+        nodes.select("node", "first", "copies")
         .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
-    firsts = known.groupBy("component").agg(F.min("first").alias("component_first"))
-    judged = store(known.join(firsts, "component").select(
+    judged = store(known.join(nodes.select("node", "label", "embedding"), "node").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("component_first.vec_id").alias("component_id")), "judged")
     return (

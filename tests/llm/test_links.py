@@ -121,6 +121,24 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("many", [2, 1000])
+def test_first_of_large_and_small_components(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY", many)
+    rows = [(i, 0 if i % 3 else i, 1000 - i) for i in range(300)]  # one component holds two thirds
+    found = components.with_first(spark.createDataFrame(rows, "node long, component long, first long")).collect()
+    least = {}
+    for _, c, f in rows:
+        least[c] = min(f, least.get(c, f))
+    assert sorted((r.node, r.component, r.first, r.component_first) for r in found) == [(n, c, f, least[c]) for n, c, f in rows]
+    assert components.with_first(spark.createDataFrame([], "node long, component long, first long")).count() == 0
+
+
+def test_result_names_in_the_input_are_replaced(odd):
+    marked = ngram_join.mark_groups(odd)
+    assert sorted(marked.columns) == sorted(odd.columns)  # the odd documents have all three
+    assert {r.class_id for r in marked.filter("doc_id IN (6, 7)").select("class_id").collect()} == {6}
+
+
 def vector_links(rows, least=0.93):
     usable = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v and None not in v
               and np.isfinite(np.array(v, float)).all() and np.any(v)]

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwatch.llm import decontaminate, licenses, shards, url_filter
 from shelfwatch.llm.queries import SHARDS, URL_RULES, queries
@@ -246,5 +247,7 @@ def test_urls_of_odd_and_empty_tables(spark):
                                   "page_id long, url string, rule string, host string")
     rows = url_filter.filter_urls(pages, rules).select("page_id", "rule", "verdict").collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(1, "a.b/", "block")] * 2 + [(None, None, "allow"), (2, "c", "block")], key=str)
+    named = url_filter.filter_urls(pages.withColumn("rule_verdict", F.lit("own")), rules)
+    assert {r.rule_verdict for r in named.collect()} == {"own"}
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
