@@ -5,11 +5,13 @@ further, overlapping candidates of each kind (obfuscated addresses, numbers with
 each candidate by its format and context, and a threshold per kind, calibrated on documents the trees have not seen, selects
 which candidates are redacted besides the base spans.
 
-- The trees are fitted by Spark ML on the candidates of about ``TRAIN_DOCUMENTS`` documents with a digit or an @ (chosen by
-  a hash). No table marks personal data, so the rules teach: a candidate is positive if, normalised ("(at)" and "(dot)" undone, cards
+- The trees are fitted by Spark ML on the candidates of all documents, thresholds on those of a third of the documents (chosen
+  by a hash) that the trees are not fitted on. Candidates that look alike are one example, weighted by their number. No table
+  marks personal data, so the rules teach: a candidate is positive if, normalised ("(at)" and "(dot)" undone, cards
   without separators, a leading 00 as +), it is a valid base match. The trees do not see the checks of the rules (checksum,
   ranges) nor the signs that normalising restores, only how such spans look and where they stand. A kind with few candidates to
-  calibrate on leans on those of all kinds.
+  calibrate on leans on those of all kinds. Where a feature has more than 32 values, Spark ML chooses the bounds it tries
+  from some 10,000 examples; how good a bound is, it judges on all.
 - The fitted trees become one SQL expression, so scoring happens inside the row that holds the text: no join, no shuffle, no
   Python. Texts are never moved; a long text costs its own task only.
 - A match at a known place is found in time linear in the text: every pattern starts where the last match ended and repeats
@@ -30,10 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.stored import store
-from shelfwatch.llm.common import hashed_share, text_of
+from shelfwatch.llm.common import text_of
 
-TRAIN_DOCUMENTS = 4000   # bound of the fitting sample
-TRAIN_CANDIDATES = 20_000
 TREES, DEPTH = 10, 3
 PRECISION = 0.98         # of the selected candidates among the calibration documents
 POOLED = 5               # candidates that the share of all kinds counts for in the share of one
@@ -218,23 +218,30 @@ def _matches_rule(candidate: Column) -> Column:
     return out
 
 
-def fit_selector(documents: DataFrame, rows: int = TRAIN_DOCUMENTS) -> Selector:
-    """Fit trees and thresholds on the candidates of a bounded share of the documents."""
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))
-    telling = documents.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")  # others hold no candidate
-    row = F.concat_ws(":", key, F.monotonically_increasing_id().cast("string"))  # tells repeated rows apart
-    sample = hashed_share(telling, row, rows)
-    found = sample.select(F.pmod(F.xxhash64(key), F.lit(3)).alias("fold"), F.explode(candidates(F.col("text"))).alias("c"))
-    examples = store(hashed_share(store(
-        found.select("fold", "c.kind", "c.x", _matches_rule(F.col("c")).cast("double").alias("label")), "pii-candidates"),
-        F.struct("fold", "kind", "x", F.monotonically_increasing_id()), TRAIN_CANDIDATES), "pii-sample").withColumn("features", array_to_vector("x"))
+def _examples(documents: DataFrame) -> DataFrame:
+    """The candidates of all documents: fold, kind, x, label, and n, how many of them there are."""
+    text = F.col("text")
+    telling = F.lit(False)
+    for kind in KINDS:
+        telling = telling | _gate(kind, text, True)  # others hold no candidate
+    fold = F.pmod(F.xxhash64(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))), F.lit(3))
+    found = documents.filter(telling).select(fold.alias("fold"), F.explode(candidates(text)).alias("c"))
+    return (
+        found.groupBy("fold", F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), _matches_rule(F.col("c")).cast("double").alias("label"))
+        .agg(F.count("*").cast("double").alias("n"))
+    )
+
+
+def fit_selector(documents: DataFrame) -> Selector:
+    """Fit trees and thresholds on the candidates of all documents."""
+    examples = store(_examples(documents), "pii-candidates").withColumn("features", array_to_vector("x"))
     fitting, calibration = examples.filter("fold < 2"), examples.filter("fold = 2")
     if fitting.select("label").distinct().count() < 2:
         return Selector([], [], {})
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=32).fit(fitting)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=32, weightCol="n").fit(fitting)
     scored = (
-        model.transform(calibration).select("kind", "label", F.round(vector_to_array("probability")[1], 2).alias("score"))
-        .groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+        model.transform(calibration).select("kind", "label", "n", F.round(vector_to_array("probability")[1], 2).alias("score"))
+        .groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     )  # at most 101 scores a kind
     thresholds = {}
     for score in sorted({r["score"] for r in scored}, reverse=True):

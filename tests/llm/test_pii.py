@@ -123,3 +123,22 @@ def test_obfuscated_data_is_found(spark):
     assert found[0][0] == "" and "email:9:33" in found[0][1].split(",")
     assert found[1][0] == "" and "card:5:24" in found[1][1].split(",")
     assert found[2] == ("", "")
+
+
+def test_all_documents_teach(spark):
+    """More documents and candidates than a sample of some thousands; no candidate is left out, copies count each."""
+    teach = [f"phone +{i % 9 + 1} 555 {1000000 + 7919 * i % 8999999} or {i}.{i}.{i}" for i in range(3500)] * 2
+    documents = spark.createDataFrame(list(enumerate(teach)), "doc_id long, text string").repartition(4)
+    held = documents.select(F.explode(pii.candidates(F.col("text")))).count()
+    examples = pii._examples(documents)
+    assert examples.agg(F.sum("n")).first()[0] == held > 20_000
+    assert examples.count() == examples.select("fold", "kind", "x", "label").distinct().count() < held
+
+
+def test_texts_without_digits_and_signs_teach(spark):
+    names = ["anna", "bert", "carla", "dora", "emil", "frida", "gustav", "hanna", "ida", "jonas"]
+    teach = [f"please write to {a} (at) {b} (dot) org today" for a in names for b in names]
+    teach += [f"we met (at) {a} and {b} there" for a in names for b in names]
+    selector = pii.fit_selector(spark.createDataFrame(list(enumerate(teach)), "doc_id long, text string"))
+    found = spans_of(spark, ["please write to kurt (at) firm (dot) org today"], selector)
+    assert found[0] == ("", "email:16:40")
