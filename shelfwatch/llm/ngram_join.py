@@ -27,11 +27,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ FIRST_RUNS, RUNS = (math.ceil(math.log(MISS / 2) / math.log(1 - THRESHOLD**split
 SKETCH = RUNS * SPLITS
 BUCKET_ROWS = 3000      # compared in one task
 BUCKET_SHINGLES = 3_000_000
+MIXED_WORDS = 1 << 17   # hashed at once
 
 _words = re.compile(WORD).findall
 
@@ -73,24 +75,50 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(lowered: str, hashes: _WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = _words(lowered)
-    if not words:
+def shingle_sets(lowered: Iterable[str], hashes: _WordHashes) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text, in order; words of many texts are mixed at once."""
+    held, n_held = [], 0
+    for text in lowered:
+        words = _words(text)
+        held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        n_held += len(words)
+        if n_held > MIXED_WORDS:
+            yield from _mixed_sets(held)
+            held, n_held = [], 0
+    if held:
+        yield from _mixed_sets(held)
+
+
+def _mixed_sets(texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """From the word hashes of each text, the sorted distinct shingles."""
+    h, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    total = np.full(len(h), SHINGLE_WORDS, np.uint64)  # of the shingle that starts at a word, if its text goes on so long
+    for i in range(SHINGLE_WORDS):
+        total[:len(h) - i] += _mixed(h[i:] * PLACES[i])
+    total = _mixed(total)
+    for words, end in zip(texts, ends):
+        if len(words) < SHINGLE_WORDS:
+            yield _short_set(words)
+            continue
+        found = np.sort(total[end - len(words):end - SHINGLE_WORDS + 1])
+        yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def _short_set(words: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(SHINGLE_WORDS, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        total += _mixed(h[i:len(h) - n + 1 + i] * PLACES[i])
-    return np.unique(_mixed(total))
+    total = np.full(1, len(words), np.uint64)
+    for i in range(len(words)):
+        total += _mixed(words[i:i + 1] * PLACES[i])
+    return _mixed(total)
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[start:start + 4096, None]
-        low = np.minimum(low, ((part * DRAWS + SHIFTS) >> np.uint64(32)).astype(np.uint32).min(0))
+    for start in range(0, len(shingles), 2048):
+        drawn = (shingles[start:start + 2048] * DRAWS[:, None] + SHIFTS[:, None]).min(1)
+        low = np.minimum(low, (drawn >> np.uint64(32)).astype(np.uint32))
     return low.view(np.int32)
 
 
@@ -98,8 +126,7 @@ def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = _WordHashes()
     for texts in batches:
         rows = []
-        for text in texts:
-            shingles = shingle_set(text, hashes)
+        for text, shingles in zip(texts, shingle_sets(texts, hashes)):
             whole = shingles.tobytes() if len(shingles) else text.encode("utf-8", "surrogatepass")
             rows.append((hashlib.md5(whole).hexdigest() + ("" if len(shingles) else "-"), len(shingles), _sketch(shingles)))
         yield pd.DataFrame(rows, columns=["key", "n", "sketch"])
@@ -182,29 +209,65 @@ def _fewer_agree(least: int) -> float:
 LEAST_AGREEING = max(k for k in range(SKETCH) if _fewer_agree(k) <= 1e-9)
 
 
-def _possible(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """For blocks of rows: the first row, and which pairs (row, column) may be similar and are compared in this group."""
-    n = frame["_n"].to_numpy()
-    sketch = np.stack(frame["_sketch"].to_numpy())
-    paths = np.stack(frame["paths"].to_numpy())
-    run, block, crossing = int(frame["run"].iloc[0]), frame["block"].to_numpy(), frame["i"].iloc[0] != frame["j"].iloc[0]
-    for start in range(0, len(frame), 256):
-        rows = slice(start, start + 256)
-        agree = np.zeros((len(n[rows]), len(n)), np.int16)
-        for k in range(SKETCH):
-            agree += sketch[rows, k, None] == sketch[:, k]
-        allowed = (agree >= LEAST_AGREEING) & (np.minimum(n[rows, None], n) >= THRESHOLD * np.maximum(n[rows, None], n))
-        for r in range(run):
-            allowed &= (paths[rows, r, None] != paths[:, r]) | (paths[:, r] == 0)
-        allowed &= (block[rows, None] != block) if crossing else (np.arange(len(n))[rows, None] != np.arange(len(n)))
-        yield start, allowed
-
-
-def _with_partner(frame: pd.DataFrame) -> pd.DataFrame:
-    """The members that may be similar to another."""
-    frame = frame.sort_values("_c").reset_index(drop=True)
-    keep = np.concatenate([allowed.any(1) for _, allowed in _possible(frame)])
-    return frame[keep]
+PAIRS = 1 << 15  # compared by sketch at once
+
+
+def _starts(columns: Mapping[str, np.ndarray]) -> np.ndarray:
+    """The rows with which the groups begin, of rows sorted by group."""
+    keys = np.stack([columns[c] for c in GROUP])
+    return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+
+
+def _pairs(columns: Mapping[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows sorted by group: the pairs (row, later row) that may be similar and are compared in this group."""
+    n, sketch, paths, run, block = (columns[c] for c in ("_n", "_sketch", "paths", "run", "block"))
+    crossing = columns["i"] != columns["j"]
+    starts, place, runs = _starts(columns), np.arange(len(n)), np.arange(paths.shape[1])
+    ends = np.append(starts[1:], len(n))
+    partners = np.repeat(ends, ends - starts) - place - 1  # the later rows of each row's group
+    upto = np.concatenate([[0], np.cumsum(partners)])
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + PAIRS, "right")) - 1)
+        a = np.repeat(place[first:last], partners[first:last])
+        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[first])
+        first = last
+        allowed = (np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])) & (~crossing[a] | (block[a] != block[b]))
+        a, b = a[allowed], b[allowed]
+        met = (paths[a] == paths[b]) & (paths[a] != 0) & (runs < run[a, None])  # in an earlier run
+        a, b = a[~met.any(1)], b[~met.any(1)]
+        alike = (sketch[a] == sketch[b]).sum(1) >= LEAST_AGREEING
+        yield a[alike], b[alike]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """Rows sorted by group, in pieces that no group lies across, and what ``_pairs`` reads of them."""
+    def columns_of(rows, names):
+        return {c: rows[c].to_numpy() for c in names}
+
+    def piece(rows):
+        lists = {c: np.stack(rows[c].to_numpy()) for c in ("_sketch", "paths")}
+        return rows, columns_of(rows, [*GROUP, "block", "_n"]) | lists
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, rows]) if held is not None else rows
+        last = _starts(columns_of(held, GROUP))[-1] if len(held) else 0
+        if last:
+            yield piece(held.slice(0, last))
+            held = held.slice(last)
+    if held is not None and len(held):
+        yield piece(held)
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members that may be similar to another. Most groups are a few rows, so many are compared at once."""
+    for rows, columns in _whole_groups(batches):
+        keep = np.zeros(len(rows), bool)
+        for a, b in _pairs(columns):
+            keep[a] = keep[b] = True
+        yield from rows.filter(pa.array(keep)).to_batches()
 
 
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
@@ -212,30 +275,34 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("_c").reset_index(drop=True)
     sets = [np.frombuffer(b, np.uint64) for b in frame["set"]]
     n, copies = frame["_n"].to_numpy(), frame["copies"].to_numpy()
-    # tokens of one set only cannot be shared
-    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-    tokens = tokens[counts > 1]
-    held = [np.searchsorted(tokens, s[np.isin(s, tokens, assume_unique=True)]) for s in sets]
-    links, linked = np.zeros(len(n), np.int64), np.zeros((len(n), len(n)), bool)
-    for start, allowed in _possible(frame):
-        rows = np.flatnonzero(allowed.any(1))
-        if not len(rows):
-            continue
-        if allowed.sum() <= 4 * len(n):
-            shared = np.zeros(allowed.shape, np.int64)
-            for a, b in np.argwhere(allowed):
-                shared[a, b] = np.intersect1d(held[start + a], held[b], assume_unique=True).size
-        else:
+    columns = {c: frame[c].to_numpy() for c in [*GROUP, "block", "_n"]}
+    columns |= {c: np.stack(frame[c].to_numpy()) for c in ("_sketch", "paths")}
+    possible, linked = np.zeros((len(n), len(n)), bool), np.zeros((len(n), len(n)), bool)
+    for a, b in _pairs(columns):
+        possible[a, b] = True
+    if possible.sum() <= 2 * len(n):
+        for a, b in np.argwhere(possible):
+            shared = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+            linked[a, b] = linked[b, a] = shared >= THRESHOLD * (n[a] + n[b] - shared) - 1e-9
+    else:
+        # tokens of one set only cannot be shared
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        tokens = tokens[counts > 1]
+        held = [np.searchsorted(tokens, s[np.isin(s, tokens, assume_unique=True)]) for s in sets]
+        possible |= possible.T
+        for start in range(0, len(n), 256):
+            allowed = possible[start:start + 256]
+            if not allowed.any():
+                continue
             shared = np.zeros(allowed.shape, np.float32)
             for first in range(0, len(tokens), 2048):
                 has = np.zeros((len(n), 2048), np.float32)
                 for k, h in enumerate(held):
                     has[k, h[np.searchsorted(h, first):np.searchsorted(h, first + 2048)] - first] = 1
                 shared += has[start:start + len(allowed)] @ has.T
-        both = n[start:start + len(allowed), None] + n
-        similar = allowed & (shared >= THRESHOLD * (both - shared) - 1e-9)
-        links[start:start + len(allowed)] = similar @ copies
-        linked[start:start + len(allowed)] = similar
+            both = n[start:start + len(allowed), None] + n
+            linked[start:start + len(allowed)] = allowed & (shared >= THRESHOLD * (both - shared) - 1e-9)
+    links = linked @ copies
     root = smallest_reachable(linked)
     some = links > 0
     keys = frame["_c"].to_numpy()
@@ -260,7 +327,7 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("_c", F.monotonically_increasing_id()), "classes")
     members = _groups(classes)
     wanted = store(
-        spread_groups(members, GROUP).groupBy(*GROUP).applyInPandas(_with_partner, members.schema), "members")
+        spread_groups(members, GROUP).sortWithinPartitions(*GROUP).mapInArrow(_with_partner, members.schema), "members")
     texts = (
         described.select("_place", "text")
         .join(wanted.select("_c").distinct().join(classes.select("_c", F.col("first.place").alias("_place")), "_c"), "_place")
@@ -269,7 +336,7 @@ def _join_classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = _WordHashes()
         for batch in batches:
-            yield pd.Series([shingle_set(t, hashes).tobytes() for t in batch])
+            yield pd.Series([found.tobytes() for found in shingle_sets(batch, hashes)])
 
     as_set = F.pandas_udf(sets, "binary")(ascii_lower(text_of()))
     full = wanted.join(texts.select("_c", as_set.alias("set")), "_c")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfwatch.llm import components, ngram_join, vector_graph
@@ -105,6 +106,46 @@ def test_sketches_drop_no_pair_before_it_is_compared():
     assert agreeing.min() >= ngram_join.LEAST_AGREEING
 
 
+def test_many_groups_are_compared_at_once(monkeypatch):
+    """Groups of all sizes in one stream, cut anywhere into batches: each pair once, in its own group and run only."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
+    draw, runs = np.random.default_rng(5), ngram_join.FIRST_RUNS
+    rows = []
+    for path, size in enumerate(draw.choice([2, 2, 2, 3, 5, 30], 60)):
+        run, blocks = int(draw.integers(runs)), sorted(int(b) for b in draw.integers(2, size=2))
+        sketch = draw.integers(3, size=ngram_join.SKETCH)
+        for _ in range(size):
+            own = np.where(draw.random(ngram_join.SKETCH) < draw.choice([0.1, 0.9]), draw.integers(3, size=ngram_join.SKETCH), sketch)
+            rows.append({"run": run, "path": path, "i": blocks[0], "j": blocks[1], "block": int(draw.choice(blocks)), "_c": len(rows),
+                         "_n": int(draw.integers(80, 120)), "_sketch": own.tolist(), "paths": draw.integers(0, 9, size=runs).tolist()})
+    rows.sort(key=lambda r: [r[c] for c in ngram_join.GROUP])
+
+    def possible(x, y):
+        return (all(x[c] == y[c] for c in ngram_join.GROUP) and min(x["_n"], y["_n"]) >= 0.8 * max(x["_n"], y["_n"])
+                and (x["i"] == x["j"] or x["block"] != y["block"])
+                and not any(p == q != 0 for p, q in zip(x["paths"][:x["run"]], y["paths"]))
+                and sum(p == q for p, q in zip(x["_sketch"], y["_sketch"])) >= ngram_join.LEAST_AGREEING)
+
+    pairs = {(x["_c"], y["_c"]) for x, y in combinations(rows, 2) if possible(x, y)}
+    for size in (1, 7, 1000):
+        batches = [b for start in range(0, len(rows), size) for b in pa.Table.from_pylist(rows[start:start + size]).to_batches()]
+        found = [(int(rows_of["_c"][int(x)].as_py()), int(rows_of["_c"][int(y)].as_py()))
+                 for rows_of, columns in ngram_join._whole_groups(iter(batches)) for p in ngram_join._pairs(columns) for x, y in zip(*p)]
+        assert len(found) == len(set(found)) and set(found) == pairs
+        kept = [c for b in ngram_join._with_partner(iter(batches)) for c in b["_c"].to_pylist()]
+        assert sorted(kept) == sorted({c for p in pairs for c in p}) and 0 < len(kept) < len(rows)
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    texts = ["", "...", "a", "a b c d", "a b c d e", "a b c d e f", "e f a b c d e f", "x " * 300, "a b c d e a b c d e"] * 3
+    alone = [next(ngram_join.shingle_sets([t], ngram_join._WordHashes())) for t in texts]
+    for words in (1, 20, 1 << 17):
+        monkeypatch.setattr(ngram_join, "MIXED_WORDS", words)
+        together = list(ngram_join.shingle_sets(texts, ngram_join._WordHashes()))
+        assert [s.tolist() for s in together] == [s.tolist() for s in alone]
+    assert [len(s) for s in alone[:9]] == [len(shingles(t)) for t in texts[:9]]
+
+
 def test_one_of_each_group_stays(odd, near_copies, nothing):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
