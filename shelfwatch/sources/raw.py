@@ -56,6 +56,7 @@ def slice_raw(spark: SparkSession, source: str, target: str, start: date, end: d
         (
             rows.write.mode("overwrite")
             .option("header", True).option("escape", '"').option("compression", "gzip")
+            .option("zlib.compress.level", "BEST_SPEED")  # a slice is read back at once
             .csv(f"{target}/{name}.csv.gz")
         )
         counts[name] = seen.get["rows"]

@@ -95,10 +95,11 @@ class StarSchemaTables(Mapping):
 
     def _lines(self) -> DataFrame:
         """Line items with their store and day."""
-        places = self._table("supplier").join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        return (
-            self._table("lineitem")
-            .join(places.select(F.col("s_suppkey").alias("l_suppkey"), self._store.alias("store_nbr")), "l_suppkey")
+        lines = self._table("lineitem")
+        return (  # one after the other: Spark knows the size of a table, and overrates that of a join
+            lines.join(self._table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(*lines.columns, self._store.alias("store_nbr"))
             .withColumn("date", F.col("l_shipdate").cast("date"))
         )
 

@@ -10,7 +10,7 @@ from shelfwatch.params import Params
 from shelfwatch.plans.files import catalog_tables
 from shelfwatch.operators.runs import stockout_runs
 from shelfwatch.sources import splits
-from shelfwatch.sources.star_schema import StarSchemaTables
+from shelfwatch.sources.star_schema import COLUMNS, StarSchemaTables
 from shelfwatch.sources.statistics import _bounds, column_ends, profile_files
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,3 +120,25 @@ def test_points_in_intervals_equal_the_range_join(spark, seed, longest):
 def test_no_intervals(spark):
     points = spark.createDataFrame([(1, 1)], "k INT, x INT")
     assert points_in_intervals(points, spark.createDataFrame([], "k INT, a INT, b INT"), ["k"], "x", "a", "b").isEmpty()
+
+
+def test_lines_find_their_store_without_a_shuffle(spark, tmp_path):
+    """While suppliers fit a broadcast, line items stay where they lie."""
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("region", [(0, "r")], COLUMNS["region"])
+    write("nation", [(k, f"n{k}", 0) for k in range(25)], COLUMNS["nation"])
+    write("supplier", [(k, k % 26) for k in range(3000)] + [(7, 3), (None, 1)], COLUMNS["supplier"])
+    day = datetime(1998, 2, 3)
+    write("lineitem", [(i, 1, k, 2.0, 0.0, "N", "O", day) for i, k in enumerate([7, 25, 8, 9999, None, 8])], COLUMNS["lineitem"])
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, str(100_000))
+    try:
+        lines = StarSchemaTables(spark, str(tmp_path))._lines()
+        assert "Exchange hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.l_orderkey, r.store_nbr, r.date) for r in lines.collect()) == [
+            (i, 0, day.date()) for i in (0, 0, 2, 5)]  # 25 is of no nation, 7 is listed twice
+    finally:
+        spark.conf.set(threshold, before)
